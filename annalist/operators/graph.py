@@ -27,30 +27,36 @@ def merge_flags(parents: DataFrame, by=()) -> DataFrame:
 def _follow(edges: DataFrame, starts: DataFrame, by) -> DataFrame:
     """``starts`` and all nodes on the chains that leave them.
 
-    ``edges`` has at most one row per ``node``. After round k the marked nodes are those
-    within 2**k generations, and ``jumps`` leads 2**k generations on.
+    ``edges`` has at most one row per ``node``. Jump tables lead 1, 2, 4 ... generations
+    on and shrink as chains end. Marking then takes the longest jumps first: each step is
+    one join that adds, for every marked node, the node it leads to.
     """
     keys = [*by, "node"]
     jumps = edges.select(*keys, "target")
-    marked = starts.select(*keys).distinct()
-    pieces = [marked]
-    for _ in range(MAX_DOUBLINGS):
-        reached = marked.join(jumps, keys).select(*by, F.col("target").alias("node"))
-        newest, found = cut_lineage_counted(reached.distinct().join(marked, keys, "left_anti"))
-        if not found:
-            return marked
-        pieces.append(newest)
-        marked = reduce(DataFrame.unionByName, pieces)
+    tables = [jumps]
+    while True:
         second = jumps.select(*by, F.col("node").alias("target"), F.col("target").alias("_next"))
-        jumps = cut_lineage(jumps.join(second, [*by, "target"]).select(*keys, F.col("_next").alias("target")))
-    raise RuntimeError("chain of first parents does not end; the parents table has a cycle")
+        twice = jumps.join(second, [*by, "target"]).select(*keys, F.col("_next").alias("target"))
+        jumps, found = cut_lineage_counted(twice)
+        if not found:
+            break
+        tables.append(jumps)
+        if len(tables) > MAX_DOUBLINGS:
+            raise RuntimeError("chain of first parents does not end; the parents table has a cycle")
+    marked = starts.select(*keys).distinct()
+    for jumps in reversed(tables):
+        both = F.explode(F.array_compact(F.array("node", "target")))
+        marked = marked.join(jumps, keys, "left").select(*by, both.alias("node")).distinct()
+    return marked
 
 
 def first_parent_chain(parents: DataFrame, heads: DataFrame, by=()) -> DataFrame:
     """Commits met by going from each head to first parents only, heads included."""
     by = list(by)
-    edges = parents.filter((F.col("ordinal") == 0) & (F.col("parent_id") != "")).select(
-        *by, F.col("commit_id").alias("node"), F.col("parent_id").alias("target")
+    edges = cut_lineage(
+        parents.filter((F.col("ordinal") == 0) & (F.col("parent_id") != "")).select(
+            *by, F.col("commit_id").alias("node"), F.col("parent_id").alias("target")
+        )
     )
     starts = heads.select(*by, F.col("commit_id").alias("node"))
     return _follow(edges, starts, by).select(*by, F.col("node").alias("commit_id"))
@@ -66,8 +72,10 @@ def reachable(parents: DataFrame, heads: DataFrame, by=(), max_rounds: int = 10_
     """
     by = list(by)
     keys = [*by, "node"]
-    edges = parents.filter(F.col("parent_id") != "").select(
-        *by, F.col("commit_id").alias("node"), F.col("parent_id").alias("target"), "ordinal"
+    edges = cut_lineage(
+        parents.filter(F.col("parent_id") != "").select(
+            *by, F.col("commit_id").alias("node"), F.col("parent_id").alias("target"), "ordinal"
+        )
     )
     frontier = heads.select(*by, F.col("commit_id").alias("node")).distinct()
     pieces = []

@@ -343,7 +343,7 @@ def extensions_folded(spark, sf):
 
 @query
 def extension_shares(spark, sf):
-    files = V.files(spark, sf)
+    files = V.page_files(spark, sf)
     lines = activity.line_totals(V.linear(spark, sf))
     return revision.extension_shares(revision.extensions(files), files, lines)
 
@@ -528,7 +528,7 @@ def _history_of(spark, sf):
     return report.History(
         commits=V.commits(spark, sf, lines=True),
         linear=V.linear(spark, sf),
-        files=V.files(spark, sf),
+        files=V.page_files(spark, sf),
         blame=V.blame(spark, sf),
         assigned_tags=_assigned(spark, sf),
     )
