@@ -9,7 +9,9 @@ from annalist.operators import series as T
 from annalist.operators.facts import facts, is_rollup
 from annalist.operators.grouping import fold_others, leaders, with_totals
 
-COUNT = F.count(F.lit(1)).alias("commits_count")
+
+def _count():
+    return F.count(F.lit(1)).alias("commits_count")
 
 
 def commit_totals(commits: DataFrame, by=()) -> DataFrame:
@@ -61,7 +63,7 @@ def review_durations(commits: DataFrame, by=()) -> DataFrame:
     order = F.coalesce(
         *[F.when(F.col("bin") == label, F.lit(i)) for i, (_, label) in enumerate(S.DURATION_BINS)]
     ).alias("bin_order")
-    counted = commits.groupBy(*by, S.duration_bin("review_duration").alias("bin")).agg(COUNT)
+    counted = commits.groupBy(*by, S.duration_bin("review_duration").alias("bin")).agg(_count())
     labels = F.array(*[F.lit(label) for _, label in S.DURATION_BINS])
     # the counted rows hold at most ten per history, so histories and bins come from them
     spine = counted.groupBy(*by).agg(F.lit(1).alias("_one")).select(*by, F.explode(labels).alias("bin"))
@@ -77,7 +79,7 @@ def timezones(commits: DataFrame, by=()) -> DataFrame:
     """Commits per author time zone, west to east."""
     return (
         commits.groupBy(*by, "author_tz_offset")
-        .agg(COUNT)
+        .agg(_count())
         .select(*by, "author_tz_offset", S.offset_label("author_tz_offset").alias("timezone"), "commits_count")
         .orderBy(*by, "author_tz_offset")
     )
@@ -87,7 +89,7 @@ def domains(commits: DataFrame, by=()) -> DataFrame:
     """Commits per e-mail domain, most frequent first."""
     return (
         commits.groupBy(*by, S.email_domain("author_email").alias("domain"))
-        .agg(COUNT)
+        .agg(_count())
         .orderBy(*by, F.desc("commits_count"), "domain")
     )
 
@@ -95,7 +97,7 @@ def domains(commits: DataFrame, by=()) -> DataFrame:
 def domains_with_others(commits: DataFrame, max_domains: int = 10, by=()) -> DataFrame:
     """Most frequent domains, all further ones added up as ``Others``."""
     by = list(by)
-    counted = commits.groupBy(*by, S.email_domain("author_email").alias("domain")).agg(COUNT)
+    counted = commits.groupBy(*by, S.email_domain("author_email").alias("domain")).agg(_count())
     kept = leaders(counted, by, "domain", [F.desc("commits_count"), F.asc("domain")], max_domains)
     return (
         fold_others(counted, kept, by, "domain", [], ["commits_count"])
@@ -128,7 +130,7 @@ def recent_weeks(commits: DataFrame, as_of, weeks: int = 32, by=()) -> DataFrame
     counted = (
         commits.filter((time >= oldest) & (time > first_edge) & (time <= last_edge))
         .groupBy(*by, S.integer_div(F.lit(last_edge) - time, week).alias("weeks_ago"))
-        .agg(COUNT)
+        .agg(_count())
     )
     ago = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(weeks - 1).cast("long"))).alias("weeks_ago")
     if by:
@@ -166,7 +168,7 @@ def months_of_year(commits: DataFrame, by=(), all_months: bool = False) -> DataF
 
 def _weekday_hours(commits, by):
     local = S.local_seconds("author_timestamp", "author_tz_offset")
-    return commits.groupBy(*by, S.utc_weekday(local).alias("weekday"), S.utc_hour(local).alias("hour")).agg(COUNT)
+    return commits.groupBy(*by, S.utc_weekday(local).alias("weekday"), S.utc_hour(local).alias("hour")).agg(_count())
 
 
 def weekday_hours(commits: DataFrame, by=()) -> DataFrame:

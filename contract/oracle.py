@@ -441,7 +441,7 @@ def _top_series(bucket, step, label, top, repo="0"):
     return f"""
     WITH c AS (SELECT *, {bucket} AS p, {repo} AS repo FROM {{{{commits}}}}),
     k AS (SELECT repo, author_name, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, author_name) AS r
-          FROM c GROUP BY ALL),
+          FROM c GROUP BY repo, author_name),
     f AS (SELECT c.repo, c.p, CASE WHEN r <= {top} THEN r ELSE 0 END AS r,
                  CASE WHEN r <= {top} THEN c.author_name ELSE 'Others' END AS name,
                  CAST(sum(insertions) AS BIGINT) AS ins, count(*) AS n
