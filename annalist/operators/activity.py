@@ -1,13 +1,13 @@
 """Commit activity: totals, distributions over calendar, zone, domain and duration, series."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import scalars as S
 from annalist.functions.periods import Sampling
 from annalist.operators import series as T
 from annalist.operators.facts import facts, is_rollup
-from annalist.operators.grouping import fold_others, leaders, with_totals
+from annalist.operators.grouping import fill_cells, fold_others, leaders
 
 
 def _count():
@@ -60,19 +60,17 @@ def review_durations(commits: DataFrame, by=()) -> DataFrame:
     Negative durations and those beyond the last edge are in no bin.
     """
     by = list(by)
-    order = F.coalesce(
-        *[F.when(F.col("bin") == label, F.lit(i)) for i, (_, label) in enumerate(S.DURATION_BINS)]
-    ).alias("bin_order")
-    counted = commits.groupBy(*by, S.duration_bin("review_duration").alias("bin")).agg(_count())
-    labels = F.array(*[F.lit(label) for _, label in S.DURATION_BINS])
-    # the counted rows hold at most ten per history, so histories and bins come from them
-    spine = counted.groupBy(*by).agg(F.lit(1).alias("_one")).select(*by, F.explode(labels).alias("bin"))
-    return (
-        spine.join(counted, [*by, "bin"], "left")
-        .fillna(0, subset=["commits_count"])
-        .select(*by, order, "bin", "commits_count")
-        .orderBy(*by, "bin_order")
+    labels = [label for _, label in S.DURATION_BINS]
+    binned = commits.select(*by, S.duration_bin("review_duration").alias("_bin"))
+    counted = binned.groupBy(*by).agg(
+        F.array(
+            *[
+                F.struct(F.lit(i).alias("bin_order"), F.lit(b).alias("bin"), F.count_if(F.col("_bin") == b).alias("commits_count"))
+                for i, b in enumerate(labels)
+            ]
+        ).alias("_bins")
     )
+    return counted.select(*by, F.inline("_bins")).orderBy(*by, "bin_order")
 
 
 def timezones(commits: DataFrame, by=()) -> DataFrame:
@@ -99,11 +97,7 @@ def domains_with_others(commits: DataFrame, max_domains: int = 10, by=()) -> Dat
     by = list(by)
     counted = commits.groupBy(*by, S.email_domain("author_email").alias("domain")).agg(_count())
     kept = leaders(counted, by, "domain", [F.desc("commits_count"), F.asc("domain")], max_domains)
-    return (
-        fold_others(counted, kept, by, "domain", [], ["commits_count"])
-        .orderBy(*by, F.asc_nulls_last("rank"))
-        .select(*by, "rank", "domain", "is_others", "commits_count")
-    )
+    return fold_others(counted, kept, by, "domain", "commits_count")
 
 
 def recent_weeks(commits: DataFrame, as_of, weeks: int = 32, by=()) -> DataFrame:
@@ -158,9 +152,7 @@ def months_of_year(commits: DataFrame, by=(), all_months: bool = False) -> DataF
     month = F.month(S.day_to_date("day")).cast("int")
     counted = facts(commits, by).groupBy(*by, month.alias("month")).agg(F.sum("commits_count").alias("commits_count"))
     if all_months:
-        spine = counted.groupBy(*by).agg(F.lit(1).alias("_one"))
-        spine = spine.select(*by, F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-        counted = spine.join(counted, [*by, "month"], "left").fillna(0, subset=["commits_count"])
+        counted = fill_cells(counted, by, "month", "commits_count", 1, 12)
     return counted.select(*by, "month", S.month_name("month").alias("month_name"), "commits_count").orderBy(
         *by, "month"
     )
@@ -174,21 +166,16 @@ def _weekday_hours(commits, by):
 def weekday_hours(commits: DataFrame, by=()) -> DataFrame:
     """Commits per weekday (Monday = 0) and hour on the author's clock, all 168 cells."""
     by = list(by)
-    counted = _weekday_hours(commits, by)
-    cells = F.explode(F.sequence(F.lit(0), F.lit(167)))
-    spine = counted.groupBy(*by).agg(F.lit(1).alias("_one")).select(*by, cells.alias("_cell"))
-    spine = spine.select(
+    counted = _weekday_hours(commits, by).withColumn("_cell", F.col("weekday") * 24 + F.col("hour"))
+    cells = fill_cells(counted, by, "_cell", "commits_count", 0, 167)
+    weekday = F.call_function("div", F.col("_cell"), F.lit(24)).cast("int")
+    return cells.select(
         *by,
-        F.call_function("div", F.col("_cell"), F.lit(24)).cast("int").alias("weekday"),
-        (F.col("_cell") % 24).cast("int").alias("hour"),
-    )
-    return (
-        spine.join(counted, [*by, "weekday", "hour"], "left")
-        .fillna(0, subset=["commits_count"])
-        .withColumn("weekday_name", S.weekday_name("weekday"))
-        .select(*by, "weekday", "weekday_name", "hour", "commits_count")
-        .orderBy(*by, "weekday", "hour")
-    )
+        weekday.alias("weekday"),
+        S.weekday_name(weekday).alias("weekday_name"),
+        (F.col("_cell") % 24).alias("hour"),
+        "commits_count",
+    ).orderBy(*by, "weekday", "hour")
 
 
 def weekday_hour_matrix(commits: DataFrame, by=()) -> DataFrame:
@@ -222,12 +209,12 @@ def weekday_hour_margins(commits: DataFrame, by=()) -> DataFrame:
 
 
 def heat_levels(cells: DataFrame, levels: int, by=(), value: str = "commits_count") -> DataFrame:
-    """Add ``heat``: the value's place among ``levels`` steps up to the largest value."""
-    by = list(by)
-    largest = cells.groupBy(*by).agg(F.max(value).alias("_largest"))
-    return (
-        with_totals(cells, largest, by).withColumn("heat", S.heat_level(value, "_largest", levels)).drop("_largest")
-    )
+    """Add ``heat``: the value's place among ``levels`` steps up to the largest value.
+
+    ``cells`` is one of the small tables above (weekdays and hours, months, time zones).
+    """
+    largest = F.max(value).over(Window.partitionBy(*by))
+    return cells.withColumn("heat", S.heat_level(value, largest, levels))
 
 
 def commit_history(commits: DataFrame, sampling: str = "W", by=()) -> DataFrame:

@@ -8,7 +8,7 @@ from annalist.functions.periods import Sampling, label_epoch_millis
 from annalist.operators import series as T
 from annalist.operators.activity import commit_totals
 from annalist.operators.facts import facts, is_rollup
-from annalist.operators.grouping import fold_others, leaders, ranked, top_rows, with_totals
+from annalist.operators.grouping import leaders, name_others, ranked, top_rows, with_totals
 
 
 def _by_commits():
@@ -84,8 +84,10 @@ def remaining_authors(commits: DataFrame, max_authors: int = 20, by=()) -> DataF
     ranked; the long rest is an anti join against it."""
     by = list(by)
     counted = commit_counts(commits, by)
-    kept = top_rows(counted, by, _by_commits(), max_authors).select(*by, "author_name")
-    return counted.join(kept, [*by, "author_name"], "left_anti").orderBy(*by, *_by_commits())
+    kept = leaders(counted, by, "author_name", _by_commits(), max_authors)
+    # an anti join would be pushed below the aggregation and count the commits twice
+    rest = counted.join(kept, [*by, "author_name"], "left")
+    return rest.filter(F.col("rank").isNull()).drop("rank").orderBy(*by, *_by_commits())
 
 
 def commit_counts(commits: DataFrame, by=()) -> DataFrame:
@@ -150,21 +152,24 @@ def authors_of_periods(
     if max_periods is not None:
         # one row per period: bounded by the calendar
         totals = top_rows(totals, by, [F.desc(period)], max_periods, "_recency").drop("_recency")
-        counted = counted.join(totals.select(*by, period), [*by, period], "left_semi")
-    first = top_rows(counted, [*by, period], _by_commits(), next_count + 1)
+    first = top_rows(counted.join(totals, [*by, period]), [*by, period], _by_commits(), next_count + 1)
     # at most next_count + 1 rows meet per period
     listed = F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "author_name"))))
-    best = first.groupBy(*by, period).agg(
-        F.max(F.when(F.col("rank") == 1, F.col("author_name"))).alias("top_author"),
-        F.max(F.when(F.col("rank") == 1, F.col("commits_count"))).alias("top_author_commits_count"),
-        F.array_join(F.transform(listed, lambda row: row["author_name"]), ", ").alias("next_top_authors"),
+    return (
+        first.groupBy(*by, period)
+        .agg(
+            F.max(F.when(F.col("rank") == 1, F.col("author_name"))).alias("top_author"),
+            F.max(F.when(F.col("rank") == 1, F.col("commits_count"))).alias("top_author_commits_count"),
+            F.array_join(F.transform(listed, lambda row: row["author_name"]), ", ").alias("next_top_authors"),
+            F.max("all_commits_count").alias("all_commits_count"),
+            F.max("total_authors_count").alias("total_authors_count"),
+        )
+        .orderBy(*by, F.desc(period))
     )
-    return best.join(totals, [*by, period]).orderBy(*by, F.desc(period))
 
 
-def _author_periods(commits, sample, by):
-    """Sums per period and author; ``_index`` numbers the period."""
-    measures = ["insertions", "deletions", "commits_count"]
+def _timed_rows(commits, sample, by):
+    """Weighted rows of authors, and the number of the single period each falls into."""
     if sample.is_clock:
         if is_rollup(commits):
             raise ValueError("a day rollup has no time of day; pass the commits table")
@@ -176,17 +181,18 @@ def _author_periods(commits, sample, by):
             "deletions",
             F.lit(1).cast("long").alias("commits_count"),
         )
-        index = sample.index("author_timestamp")
-    else:
-        rows, index = facts(commits, by), sample.index_of_day("day")
-    return T.aggregate_periods(rows, index, sample, by, ["author_name"], measures)
+        return rows, sample.index("author_timestamp")
+    return facts(commits, by), sample.index_of_day("day")
 
 
 def author_history(commits: DataFrame, sampling: str = "W", by=()) -> DataFrame:
     """Lines and commits per period and author, one row per pair with commits."""
     by = list(by)
     sample = Sampling.parse(sampling)
-    return T.labelled(_author_periods(commits, sample, by), sample, by).orderBy(*by, "period", "author_name")
+    rows, index = _timed_rows(commits, sample, by)
+    measures = ["insertions", "deletions", "commits_count"]
+    summed = T.aggregate_periods(rows, index, sample, by, ["author_name"], measures)
+    return T.labelled(summed, sample, by).orderBy(*by, "period", "author_name")
 
 
 def top_author_history(
@@ -194,28 +200,32 @@ def top_author_history(
 ) -> DataFrame:
     """Cumulative lines and commits of the authors with most commits and of all others.
 
-    The tail is folded before gaps are filled, so the filled table has at most
-    ``max_authors + 1`` lines per period. ``commits_delta`` is the change against the
-    period before, 0 in the first one; ``period_commits_count`` is the true count.
+    The tail is folded before rows are shuffled and gaps filled, so at most
+    ``max_authors + 1`` lines per period and history travel. ``commits_delta`` is the change
+    against the period before, 0 in the first one; ``period_commits_count`` the true count.
     """
     by = list(by)
     sample = Sampling.parse(sampling)
     measures = ["insertions", "commits_count"]
-    summed = _author_periods(commits, sample, by)
-    totals = summed.groupBy(*by, "author_name").agg(F.sum("commits_count").alias("commits_count"))
-    kept = leaders(totals, by, "author_name", _by_commits(), max_authors)
-    folded = fold_others(summed, kept, by, "author_name", ["_index"], measures)
+    rows, index = _timed_rows(commits, sample, by)
+    kept = leaders(commit_counts(commits, by), by, "author_name", _by_commits(), max_authors)
+    if by:
+        # the list grows with the histories, so the join may shuffle: sum up first
+        rows = rows.groupBy(*by, "author_name", index.alias("_single")).agg(*[F.sum(m).alias(m) for m in measures])
+        index = F.col("_single")
+    else:
+        # max_authors rows at most
+        kept = F.broadcast(kept)
+    # rank is NULL in the folded line, and join keys must be comparable
+    named = name_others(rows, kept, by, "author_name").fillna(0, subset=["rank"])
     labels = ["author_name", "is_others", "rank"]
-    # rank is NULL in the folded row, and join keys must be comparable
-    folded = folded.fillna(0, subset=["rank"])
+    folded = T.aggregate_periods(named, index, sample, by, labels, measures)
     filled = T.fill_gaps(folded, sample, by, measures, labels)
     filled = filled.withColumn("period_commits_count", F.col("commits_count"))
     ran = T.running(filled, sample, [*by, *labels], sums=measures)
-    # the series starts with the first period of the whole history
-    first = folded.groupBy(*by).agg(F.min("_index").alias("_first"))
-    delta = F.when(F.col("_index") == F.col("_first"), F.lit(0)).otherwise(F.col("period_commits_count"))
-    shown = with_totals(ran, first, by).withColumn("commits_delta", delta.cast("long")).drop("_first")
-    result = T.labelled(shown, sample, by)
+    # every line starts with the first period of the whole history
+    delta = F.when(F.col("_index") == F.col("_from"), F.lit(0)).otherwise(F.col("period_commits_count"))
+    result = T.labelled(ran.withColumn("commits_delta", delta.cast("long")), sample, by)
     return result.select(
         *by,
         F.expr("nullif(rank, 0)").alias("rank"),

@@ -109,21 +109,22 @@ def blame(
     """Lines of a revision per file, committer and time.
 
     A commit without a usable committer is credited to its author. Binary files and
-    submodules are left out. Lines are summed per file and commit before the join, so an
+    submodules are left out. Lines are summed per file and commit before any join, so an
     initial import that owns a third of all lines arrives as one row per file.
     """
     by = list(by)
     lines = blame_lines
     if revision is not None and "revision" in blame_lines.columns:
         lines = lines.filter(F.col("revision") == revision)
+    owned = lines.groupBy(*by, "filepath", "commit_id").agg(F.sum("lines_count").alias("lines_count"))
     if files is not None:
         if revision is not None and "revision" in files.columns:
             files = files.filter(F.col("revision") == revision)
         text_files = files.filter(~F.col("is_binary")).select(*by, F.col("file").alias("filepath"))
-        lines = lines.join(text_files, [*by, "filepath"], "left_semi")
+        owned = owned.join(text_files, [*by, "filepath"], "left_semi")
     if submodules is not None:
-        lines = lines.join(submodules.select(*by, F.col("path").alias("filepath")), [*by, "filepath"], "left_anti")
-    owned = lines.groupBy(*by, "filepath", "commit_id").agg(F.sum("lines_count").alias("lines_count"))
+        paths = submodules.select(*by, F.col("path").alias("filepath"))
+        owned = owned.join(paths, [*by, "filepath"], "left_anti")
     # git drops a signature whose name or e-mail is empty
     has_committer = F.coalesce((F.trim("committer_email") != "") & (F.trim("committer_name") != ""), F.lit(False))
 

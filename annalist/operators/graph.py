@@ -47,7 +47,7 @@ def _follow(edges: DataFrame, starts: DataFrame, by) -> DataFrame:
     for jumps in reversed(tables):
         both = F.explode(F.array_compact(F.array("node", "target")))
         marked = marked.join(jumps, keys, "left").select(*by, both.alias("node")).distinct()
-    return marked
+    return cut_lineage(marked)
 
 
 def first_parent_chain(parents: DataFrame, heads: DataFrame, by=()) -> DataFrame:
@@ -80,7 +80,7 @@ def reachable(parents: DataFrame, heads: DataFrame, by=(), max_rounds: int = 10_
     frontier = heads.select(*by, F.col("commit_id").alias("node")).distinct()
     pieces = []
     for _ in range(max_rounds):
-        marked = cut_lineage(_follow(edges.filter("ordinal = 0"), frontier, by))
+        marked = _follow(edges.filter("ordinal = 0"), frontier, by)
         pieces.append(marked)
         seen = reduce(DataFrame.unionByName, pieces)
         sideways = edges.filter("ordinal > 0").join(marked, keys).select(*by, F.col("target").alias("node"))

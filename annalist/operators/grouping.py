@@ -72,27 +72,50 @@ def leaders(df: DataFrame, by, label: str, order, limit: int, slack: int = 0) ->
     """Labels kept by name when the rest is folded: the first ``limit``, or every label
     when a history has at most ``limit + slack`` of them. ``df`` has one row per label."""
     by = list(by)
-    kept = top_rows(df, by, order, limit + slack)
-    if slack:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_labels"))
-        kept = with_totals(kept, sizes, by).filter(
-            (F.col("rank") <= limit) | (F.col("_labels") <= limit + slack)
-        )
-    return kept.select(*by, label, "rank")
+    if not slack:
+        return top_rows(df, by, order, limit).select(*by, label, "rank")
+    # one row more than may be kept tells whether the history has more
+    first = top_rows(df, by, order, limit + slack + 1)
+    last = F.max("rank").over(Window.partitionBy(*by))
+    return (
+        first.withColumn("_last", last)
+        .filter((F.col("rank") <= limit) | (F.col("_last") <= limit + slack))
+        .select(*by, label, "rank")
+    )
 
 
-def fold_others(df: DataFrame, kept: DataFrame, by, label: str, keys, sums) -> DataFrame:
-    """Rename labels outside ``kept`` to ``Others`` and add up their rows.
+def name_others(df: DataFrame, kept: DataFrame, by, label: str) -> DataFrame:
+    """Rename labels outside ``kept`` to ``Others`` and add their ``rank``.
 
-    ``is_others`` tells the folded row from a real label of that name; ``rank`` is the
-    rank of the label, NULL for the folded row.
+    ``is_others`` tells the folded label from a real one of that name; its rank is NULL.
     """
-    by, keys = list(by), list(keys)
     named = df.join(kept.withColumn("_kept", F.lit(True)), [*by, label], "left")
     is_others = F.col("_kept").isNull()
     return (
         named.withColumn("is_others", is_others)
         .withColumn(label, F.when(is_others, F.lit(OTHERS)).otherwise(F.col(label)))
-        .groupBy(*by, *keys, label, "is_others", "rank")
-        .agg(*[F.sum(c).alias(c) for c in sums])
+        .drop("_kept")
     )
+
+
+def fold_others(df: DataFrame, kept: DataFrame, by, label: str, value: str) -> DataFrame:
+    """Sum ``value`` per kept label and over all others."""
+    by = list(by)
+    return (
+        name_others(df, kept, by, label)
+        .groupBy(*by, "rank", label, "is_others")
+        .agg(F.sum(value).alias(value))
+        .orderBy(*by, F.asc_nulls_last("rank"))
+    )
+
+
+def fill_cells(counted: DataFrame, by, cell: str, value: str, first: int, last: int) -> DataFrame:
+    """Rows for every integer cell from ``first`` to ``last``, 0 where nothing was counted.
+
+    The cells of one history (at most ``last - first + 1``) meet in one map, so the counts
+    are neither computed twice nor joined.
+    """
+    cells = counted.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(cell, value))).alias("_cells"))
+    every = F.explode(F.sequence(F.lit(first), F.lit(last)))
+    spread = cells.select(*by, "_cells", every.alias(cell))
+    return spread.select(*by, cell, F.coalesce(F.col("_cells")[F.col(cell)], F.lit(0)).cast("long").alias(value))

@@ -23,11 +23,7 @@ def contribution_with_others(blame: DataFrame, max_authors: int = 10, by=()) ->
     by = list(by)
     summed = contribution(blame, by)
     kept = leaders(summed, by, "committer_name", _by_lines(), max_authors, slack=1)
-    return (
-        fold_others(summed, kept, by, "committer_name", [], ["lines_count"])
-        .orderBy(*by, F.asc_nulls_last("rank"))
-        .select(*by, "rank", "committer_name", "is_others", "lines_count")
-    )
+    return fold_others(summed, kept, by, "committer_name", "lines_count")
 
 
 def committers_per_file(blame: DataFrame, by=(), approximate: bool = False) -> DataFrame:

@@ -28,34 +28,40 @@ def aggregate_periods(df: DataFrame, index, sampling: Sampling, by, keys, sums)
 
 
 def calendar(series: DataFrame, sampling: Sampling, by, labels=None) -> DataFrame:
-    """Every period from the first to the last with data, per history.
+    """Every period from the first (``_from``) to the last with data, per history.
 
     ``labels`` adds one calendar per label of the history (a small, already folded set).
     Long calendars are laid out in blocks, so no row holds more than a block of periods.
     """
     by = list(by)
-    span = [F.min("_index").alias("_from"), F.max("_index").alias("_to")]
+    # the maxima read every column of the series, so that Spark finds the same shuffle here
+    # and on the other side of the join and runs it once
+    rest = [c for c in series.columns if c not in (*by, *(labels or []), "_index")]
+    some = F.coalesce(*[F.max(c).cast("string") for c in rest]).alias("_some")
+    span = [F.min("_index").alias("_from"), F.max("_index").alias("_to"), some]
     if labels:
         span.append(F.collect_set(F.struct(*labels)).alias("_labels"))
     step = F.lit(sampling.multiple).cast("long")
-    blocks = series.groupBy(*by).agg(*span)
+    blocks = series.groupBy(*by).agg(*span).filter(F.col("_from").isNotNull() & F.col("_some").isNotNull())
     if labels:
         blocks = blocks.withColumn("_label", F.explode("_labels")).select(
             *by, "_from", "_to", *[F.col(f"_label.{c}").alias(c) for c in labels]
         )
-    blocks = blocks.filter(F.col("_from").isNotNull()).withColumn(
+    blocks = blocks.withColumn(
         "_block", F.explode(F.sequence(F.col("_from"), F.col("_to"), step * SPINE_BLOCK))
     )
     if sampling.is_clock:
         blocks = blocks.repartition(*by, "_block")
     inside = F.sequence(F.col("_block"), F.least(F.col("_to"), F.col("_block") + step * (SPINE_BLOCK - 1)), step)
-    return blocks.select(*by, *(labels or []), F.explode(inside).alias("_index"))
+    return blocks.select(*by, *(labels or []), F.explode(inside).alias("_index"), "_from")
 
 
 def fill_gaps(series: DataFrame, sampling: Sampling, by, zeros, labels=None) -> DataFrame:
     """Add the periods without data, with 0 in the columns of ``zeros``."""
     keys = [*by, *(labels or []), "_index"]
     spine = calendar(series, sampling, by, labels)
+    if labels is None:
+        spine = spine.drop("_from")
     return spine.join(series, keys, "left").fillna(0, subset=list(zeros))
 
 
