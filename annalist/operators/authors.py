@@ -107,15 +107,31 @@ def authors_by_recency(commits: DataFrame, by=()) -> DataFrame:
 
 
 def _period_counts(commits, period, by):
+    """Commits per author and year or month; months are numbers (``yyyymm``) until shown."""
     date = S.day_to_date("day")
-    named = {"year": F.year(date), "month": S.month_label(date)}[period]
+    number = {"year": F.year(date), "month": F.year(date) * 100 + F.month(date)}[period]
     return (
         facts(commits, by)
-        .groupBy(*by, named.alias(period), "author_name")
+        .withColumn(period, number)
+        .filter(F.col(period).isNotNull())
+        .groupBy(*by, period, "author_name")
         .agg(F.sum("commits_count").alias("commits_count"))
     )
 
 
+def _shown(df, period):
+    if period == "year":
+        return df
+    digits = F.lpad(F.col(period).cast("string"), 6, "0")
+    return df.withColumn(period, F.concat(F.left(digits, F.lit(4)), F.lit("-"), F.right(digits, F.lit(2))))
+
+
+def _totals(counted, period, by):
+    return counted.groupBy(*by, period).agg(
+        F.sum("commits_count").alias("all_commits_count"), F.count("author_name").alias("total_authors_count")
+    )
+
+
 def author_ranking(commits: DataFrame, period: str = "year", by=(), limit: int | None = None) -> DataFrame:
     """Authors of every ``year`` or ``month`` (``yyyy-MM``) ranked by commits.
 
@@ -124,19 +140,14 @@ def author_ranking(commits: DataFrame, period: str = "year", by=(), limit: int |
     """
     by = list(by)
     counted = _period_counts(commits, period, by)
-    return ranked(counted, [*by, period], _by_commits(), limit).select(
-        *by, period, "rank", "author_name", "commits_count"
-    )
+    order = ranked(counted, [*by, period], _by_commits(), limit)
+    return _shown(order, period).select(*by, period, "rank", "author_name", "commits_count")
 
 
 def period_totals(commits: DataFrame, period: str = "year", by=()) -> DataFrame:
     """Commits and authors of every year or month."""
     by = list(by)
-    return (
-        _period_counts(commits, period, by)
-        .groupBy(*by, period)
-        .agg(F.sum("commits_count").alias("all_commits_count"), F.count(F.lit(1)).alias("total_authors_count"))
-    )
+    return _shown(_totals(_period_counts(commits, period, by), period, by), period)
 
 
 def authors_of_periods(
@@ -146,26 +157,21 @@ def authors_of_periods(
     newest period first; ``max_periods`` keeps the newest."""
     by = list(by)
     counted = _period_counts(commits, period, by)
-    totals = counted.groupBy(*by, period).agg(
-        F.sum("commits_count").alias("all_commits_count"), F.count(F.lit(1)).alias("total_authors_count")
-    )
+    totals = _totals(counted, period, by)
     if max_periods is not None:
         # one row per period: bounded by the calendar
         totals = top_rows(totals, by, [F.desc(period)], max_periods, "_recency").drop("_recency")
     first = top_rows(counted.join(totals, [*by, period]), [*by, period], _by_commits(), next_count + 1)
     # at most next_count + 1 rows meet per period
     listed = F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "author_name"))))
-    return (
-        first.groupBy(*by, period)
-        .agg(
-            F.max(F.when(F.col("rank") == 1, F.col("author_name"))).alias("top_author"),
-            F.max(F.when(F.col("rank") == 1, F.col("commits_count"))).alias("top_author_commits_count"),
-            F.array_join(F.transform(listed, lambda row: row["author_name"]), ", ").alias("next_top_authors"),
-            F.max("all_commits_count").alias("all_commits_count"),
-            F.max("total_authors_count").alias("total_authors_count"),
-        )
-        .orderBy(*by, F.desc(period))
+    found = first.groupBy(*by, period).agg(
+        F.max(F.when(F.col("rank") == 1, F.col("author_name"))).alias("top_author"),
+        F.max(F.when(F.col("rank") == 1, F.col("commits_count"))).alias("top_author_commits_count"),
+        F.array_join(F.transform(listed, lambda row: row["author_name"]), ", ").alias("next_top_authors"),
+        F.max("all_commits_count").alias("all_commits_count"),
+        F.max("total_authors_count").alias("total_authors_count"),
     )
+    return _shown(found, period).orderBy(*by, F.desc(period))
 
 
 def _timed_rows(commits, sample, by):

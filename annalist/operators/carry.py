@@ -13,49 +13,41 @@ from annalist.functions.scalars import integer_div
 CHUNK = 100_000
 
 
-def _chunks(df, position, chunk):
-    return df.withColumn("_chunk", integer_div(position, chunk))
-
-
-def fill_forward(df: DataFrame, by, position: str, value: str, chunk: int = CHUNK) -> DataFrame:
-    """Replace NULLs of ``value`` by the last non-NULL at a lower ``position``."""
-    by = list(by)
-    cut = _chunks(df, position, chunk)
-    # one row per chunk; chunks without a value get a row too, so that it passes through
-    known_at = F.when(F.col(value).isNotNull(), F.col(position))
-    ends = cut.groupBy(*by, "_chunk").agg(F.max_by(F.col(value), known_at).alias("_last"))
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*by, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    inside = (
-        Window.partitionBy(*by, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def carry(df: DataFrame, by, position: str, sums=(), fills=(), chunk: int = CHUNK) -> DataFrame:
+    """Replace ``sums`` by their sum over all rows up to ``position``, and NULLs in
+    ``fills`` by the last value at a lower ``position``."""
+    by, sums, fills = list(by), list(sums), list(fills)
+    cut = df.withColumn("_chunk", integer_div(position, chunk))
+
+    def known_at(name):
+        return F.when(F.col(name).isNotNull(), F.col(position))
+
+    # one row per chunk; a chunk without a value still passes the earlier one on
+    ends = cut.groupBy(*by, "_chunk").agg(
+        *[F.sum(c).alias(f"_end_{c}") for c in sums],
+        *[F.max_by(F.col(c), known_at(c)).alias(f"_end_{c}") for c in fills],
     )
-    return (
-        cut.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
-        .join(carried, [*by, "_chunk"], "left")
-        .withColumn(value, F.coalesce("_inside", "_carry"))
-        .drop("_chunk", "_inside", "_carry")
-    )
-
-
-def running_sums(df: DataFrame, by, position: str, values, chunk: int = CHUNK) -> DataFrame:
-    """Replace each column of ``values`` by its sum over all rows up to ``position``."""
-    by, values = list(by), list(values)
-    cut = _chunks(df, position, chunk)
-    totals = cut.groupBy(*by, "_chunk").agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
+    carried = ends.select(
         *by,
         "_chunk",
-        *[F.coalesce(F.sum(f"_total_{v}").over(before), F.lit(0)).alias(f"_carry_{v}") for v in values],
+        *[F.sum(f"_end_{c}").over(before).alias(f"_carry_{c}") for c in sums],
+        *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in fills],
     )
     inside = (
         Window.partitionBy(*by, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    summed = cut.select(
-        *[c for c in cut.columns if c not in values],
-        *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(v) for v in values],
-    )
-    joined = summed.join(carried, [*by, "_chunk"], "left")
-    return joined.select(
-        *[(F.col(c) + F.col(f"_carry_{c}")).alias(c) if c in values else F.col(c) for c in df.columns]
-    )
+    ran = cut.select(
+        *[c for c in cut.columns if c not in (*sums, *fills)],
+        *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in sums],
+        *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in fills],
+    ).join(carried, [*by, "_chunk"], "left")
+
+    def joined(name):
+        if name in sums:
+            return (F.col(name) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0))).alias(name)
+        if name in fills:
+            return F.coalesce(F.col(name), F.col(f"_carry_{name}")).alias(name)
+        return F.col(name)
+
+    return ran.select(*[joined(c) for c in df.columns])

@@ -66,7 +66,7 @@ def chain_file_counts(chain: DataFrame, file_changes: DataFrame, by=(), chunk: i
         .join(net, [*by, "commit_id"], "left")
         .fillna(0, subset=["files_count"])
     )
-    return carry.running_sums(steps, by, "_step", ["files_count"], chunk).select(*by, "commit_id", "files_count")
+    return carry.carry(steps, by, "_step", sums=["files_count"], chunk=chunk).select(*by, "commit_id", "files_count")
 
 
 def linear_history(

@@ -13,13 +13,14 @@ SPINE_BLOCK = 10_000
 
 def aggregate_periods(df: DataFrame, index, sampling: Sampling, by, keys, sums) -> DataFrame:
     """Sum columns per period (and key). Single periods are summed first; multiples are
-    merged on that much smaller result, whose lowest index anchors them."""
+    merged on that much smaller result, whose lowest index anchors them. Rows without a
+    time belong to no period."""
     by, keys = list(by), list(keys)
 
     def add(rows):
         return rows.groupBy(*by, "_index", *keys).agg(*[F.sum(c).alias(c) for c in sums])
 
-    single = add(df.withColumn("_index", index))
+    single = add(df.withColumn("_index", index).filter(F.col("_index").isNotNull()))
     if sampling.multiple == 1:
         return single
     lowest = single.groupBy(*by).agg(F.min("_index").alias("_lowest"))
@@ -73,11 +74,7 @@ def running(series: DataFrame, sampling: Sampling, by, sums=(), fills=()) -> Dat
     """
     by = list(by)
     if sampling.is_clock:
-        if sums:
-            series = carry.running_sums(series, by, "_index", sums)
-        for column in fills:
-            series = carry.fill_forward(series, by, "_index", column)
-        return series
+        return carry.carry(series, by, "_index", sums, fills)
     window = Window.partitionBy(*by).orderBy("_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return series.select(
         *[

@@ -29,7 +29,7 @@ def assign_tags(commits: DataFrame, tag_refs: DataFrame, by=(), chunk: int = car
         F.col("author_timestamp").alias("commit_time"),
         F.col("is_merge_commit").alias("is_merge"),
     ).join(tag_targets(tag_refs, by), [*by, "commit_id"], "left")
-    filled = carry.fill_forward(walked, by, "walk_pos", "_tag", chunk)
+    filled = carry.carry(walked, by, "walk_pos", fills=["_tag"], chunk=chunk)
     return filled.select(
         *by,
         "commit_id",
