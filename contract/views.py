@@ -1,13 +1,11 @@
 """History tables derived from the driver's tables, so that operators run on their rows.
 
-Each view is written once here and once in SQL (``oracle.py``), with integer arithmetic
-only. All read whole tables.
+Each view is written once here and once in DuckDB's SQL (``oracle.py``), with integer
+arithmetic only. All read whole tables.
 """
 
 from pyspark.sql import functions as F
 
-from annalist.functions.scalars import DAY_SECONDS, date_to_day
-
 # Review durations on and beside every bin edge, by key modulo 14.
 DURATIONS = (0, 1, 2, 3600, 3601, 86400, 86401, 604800, 604801, 1209601, 2592001, 94608000, 94608001, -5)
 
@@ -27,146 +25,144 @@ def table(spark, sf_dir, name):
 
 def epoch(ntz):
     """Epoch seconds of a timestamp without zone, read as UTC."""
-    ntz = F.col(ntz)
-    clock = F.hour(ntz) * 3600 + F.minute(ntz) * 60 + F.second(ntz)
-    return date_to_day(ntz.cast("date")) * DAY_SECONDS + clock
-
-
-def newlines(text):
-    return (F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))).cast("long")
+    return (
+        f"(unix_date(cast({ntz} as date)) * 86400L"
+        f" + (hour({ntz}) * 3600 + minute({ntz}) * 60 + cast(second({ntz}) as int)))"
+    )
 
 
 def commit_id(key):
-    return F.lpad(F.col(key).cast("string"), 9, "0")
+    return f"lpad(cast({key} as string), 9, '0')"
 
 
 def pick(key, values):
     """``values[key % len(values)]``"""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values)).cast("int") + 1)
+    listed = ", ".join(repr(v) for v in values)
+    return f"element_at(array({listed}), cast({key} % {len(values)} as int) + 1)"
+
+
+def newlines(text):
+    return f"cast(length({text}) - length(replace({text}, '\\n', '')) as bigint)"
+
+
+EMAIL = (
+    "case when c_custkey % 17 = 0 then concat(c_name, '.', lower(c_mktsegment))"
+    " else concat(c_name, '@', lower(c_mktsegment), '.example') end"
+)
+AUTHORED = f"{epoch('o_orderdate')} + (o_orderkey * 7919) % 86400"
 
 
 def commit_files(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    path = F.concat(F.lit("src/p"), F.col("l_partkey").cast("string"), F.lit(".py"))
-    return lines.groupBy(commit_id("l_orderkey").alias("commit_id"), path.alias("path")).agg(
-        F.sum(F.col("l_quantity").cast("long")).alias("insertions"),
-        F.sum(F.col("l_linenumber").cast("long")).alias("deletions"),
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        f"{commit_id('l_orderkey')} as commit_id",
+        "concat('src/p', l_partkey, '.py') as path",
+        "cast(l_quantity as bigint) as l_quantity",
+        "l_linenumber",
+    )
+    return lines.groupBy("commit_id", "path").agg(
+        F.sum("l_quantity").alias("insertions"), F.sum("l_linenumber").alias("deletions")
     )
 
 
 def file_changes(spark, sf_dir):
-    """Odd line numbers create a file, every fifth line removes one."""
-    lines = table(spark, sf_dir, "lineitem")
-    change = F.when(F.col("l_linenumber") % 2 == 1, F.lit(1)).when(F.col("l_linenumber") == 4, F.lit(-1))
-    path = F.concat(F.lit("src/p"), F.col("l_partkey").cast("string"), F.lit(".py"))
-    return lines.select(commit_id("l_orderkey").alias("commit_id"), path.alias("path"), change.alias("change")).filter(
-        "change is not null"
+    """Odd line numbers create a file, every fourth line removes one."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .filter("l_linenumber % 2 = 1 or l_linenumber = 4")
+        .selectExpr(
+            f"{commit_id('l_orderkey')} as commit_id",
+            "concat('src/p', l_partkey, '.py') as path",
+            "if(l_linenumber = 4, -1, 1) as change",
+        )
     )
 
 
-def raw_commits(spark, sf_dir):
+def _orders_and_customers(spark, sf_dir):
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    key = F.col("o_orderkey")
-    segment = F.lower("c_mktsegment")
-    email = F.when(F.col("c_custkey") % 17 == 0, F.concat(F.col("c_name"), F.lit("."), segment)).otherwise(
-        F.concat(F.col("c_name"), F.lit("@"), segment, F.lit(".example"))
-    )
-    authored = epoch("o_orderdate") + (key * 7919) % DAY_SECONDS
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
-        commit_id("o_orderkey").alias("commit_id"),
-        key.alias("walk_pos"),
-        F.col("c_name").alias("author_name"),
-        email.alias("author_email"),
-        authored.alias("author_timestamp"),
-        ((key % 9 - 4) * 90).cast("int").alias("author_tz_offset"),
-        (F.col("o_orderpriority") == "1-URGENT").alias("is_merge_commit"),
-        (authored + pick("o_orderkey", DURATIONS)).alias("committer_timestamp"),
-        F.when(key % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("Committer "), F.col("c_mktsegment"))).alias(
-            "committer_name"
-        ),
-        F.when(key % 11 == 1, F.lit(None).cast("string")).otherwise(F.lit("committer@team.example")).alias(
-            "committer_email"
-        ),
+    return orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+
+
+def raw_commits(spark, sf_dir):
+    return _orders_and_customers(spark, sf_dir).selectExpr(
+        f"{commit_id('o_orderkey')} as commit_id",
+        "o_orderkey as walk_pos",
+        "c_name as author_name",
+        f"{EMAIL} as author_email",
+        f"{AUTHORED} as author_timestamp",
+        "cast((o_orderkey % 9 - 4) * 90 as int) as author_tz_offset",
+        f"{AUTHORED} + {pick('o_orderkey', DURATIONS)} as committer_timestamp",
+        "if(o_orderkey % 11 = 0, '', concat('Committer ', c_mktsegment)) as committer_name",
+        "if(o_orderkey % 11 = 1, null, 'committer@team.example') as committer_email",
     )
 
 
 def commits(spark, sf_dir, lines=False):
     """Commits; with ``lines`` also the lines of their files, 0 for merges."""
-    history = raw_commits(spark, sf_dir).select(
-        "commit_id",
-        "walk_pos",
-        "is_merge_commit",
-        "author_name",
-        "author_email",
-        "author_tz_offset",
-        "author_timestamp",
-        (F.col("committer_timestamp") - F.col("author_timestamp")).alias("review_duration"),
+    history = _orders_and_customers(spark, sf_dir).selectExpr(
+        "o_orderkey",
+        f"{commit_id('o_orderkey')} as commit_id",
+        "o_orderkey as walk_pos",
+        "o_orderpriority = '1-URGENT' as is_merge_commit",
+        "c_name as author_name",
+        f"{EMAIL} as author_email",
+        "cast((o_orderkey % 9 - 4) * 90 as int) as author_tz_offset",
+        f"{AUTHORED} as author_timestamp",
+        f"cast({pick('o_orderkey', DURATIONS)} as bigint) as review_duration",
     )
     if not lines:
-        return history.withColumn("insertions", F.lit(0)).withColumn("deletions", F.lit(0))
-    changed = table(spark, sf_dir, "lineitem").groupBy(commit_id("l_orderkey").alias("commit_id")).agg(
-        F.sum(F.col("l_quantity").cast("long")).alias("_insertions"),
-        F.sum(F.col("l_linenumber").cast("long")).alias("_deletions"),
+        return history.selectExpr("* except (o_orderkey)", "0L as insertions", "0L as deletions")
+    return history.join(_order_lines(spark, sf_dir), "o_orderkey", "left").selectExpr(
+        "* except (o_orderkey, _insertions, _deletions)",
+        "if(is_merge_commit, 0, coalesce(_insertions, 0)) as insertions",
+        "if(is_merge_commit, 0, coalesce(_deletions, 0)) as deletions",
     )
 
-    def counted(name):
-        value = F.coalesce(F.col(f"_{name}"), F.lit(0))
-        return F.when(F.col("is_merge_commit"), F.lit(0)).otherwise(value).cast("long").alias(name)
 
-    return history.join(changed, "commit_id", "left").select(
-        *history.columns, counted("insertions"), counted("deletions")
+def _order_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as o_orderkey", "cast(l_quantity as bigint) as l_quantity", "l_linenumber"
+    )
+    return lines.groupBy("o_orderkey").agg(
+        F.sum("l_quantity").alias("_insertions"), F.sum("l_linenumber").alias("_deletions")
     )
 
 
 def event_commits(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return events.select(
-        F.col("event_id").cast("string").alias("commit_id"),
-        F.col("event_id").alias("walk_pos"),
-        F.lit(False).alias("is_merge_commit"),
-        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("author_name"),
-        F.lit("a@b.c").alias("author_email"),
-        ((F.col("event_id") % 9 - 4) * 90).cast("int").alias("author_tz_offset"),
-        epoch("ts").alias("author_timestamp"),
-        (F.col("event_id") % 7).alias("insertions"),
-        (F.col("event_id") % 3).alias("deletions"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "cast(event_id as string) as commit_id",
+        "event_id as walk_pos",
+        "false as is_merge_commit",
+        "concat('user', user_id) as author_name",
+        "cast((event_id % 9 - 4) * 90 as int) as author_tz_offset",
+        f"{epoch('ts')} as author_timestamp",
+        "event_id % 7 as insertions",
+        "event_id % 3 as deletions",
     )
 
 
 def linear(spark, sf_dir):
     """A cheap stand-in for the first-parent history."""
-    changed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.sum(F.col("l_quantity").cast("long")).alias("insertions"),
-        F.sum(F.col("l_linenumber").cast("long")).alias("deletions"),
-    )
     orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 1")
-    return (
-        orders.join(changed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .fillna(0, subset=["insertions", "deletions"])
-        .select(
-            commit_id("o_orderkey").alias("commit_id"),
-            (epoch("o_orderdate") + (F.col("o_orderkey") * 7919) % DAY_SECONDS).alias("committer_timestamp"),
-            (100 + F.col("o_orderkey") % 50).alias("files_count"),
-            "insertions",
-            "deletions",
-        )
+    return orders.join(_order_lines(spark, sf_dir), "o_orderkey", "left").selectExpr(
+        f"{commit_id('o_orderkey')} as commit_id",
+        f"{AUTHORED} as committer_timestamp",
+        "100 + o_orderkey % 50 as files_count",
+        "coalesce(_insertions, 0) as insertions",
+        "coalesce(_deletions, 0) as deletions",
     )
 
 
 def parents(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    key = F.col("o_orderkey")
-    first = F.struct((key + 1 + key % 3).alias("parent"), F.lit(0).alias("ordinal"))
-    second = F.struct((key + 4 + key % 7).alias("parent"), F.lit(1).alias("ordinal"))
-    both = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(first, second)).otherwise(F.array(first))
-    edges = orders.select(key, F.explode(both).alias("edge"))
+    edges = orders.selectExpr(
+        f"{commit_id('o_orderkey')} as commit_id",
+        "posexplode(if(o_orderpriority = '1-URGENT',"
+        " array(o_orderkey + 1 + o_orderkey % 3, o_orderkey + 4 + o_orderkey % 7),"
+        " array(o_orderkey + 1 + o_orderkey % 3))) as (ordinal, o_orderkey)",
+    )
     # a parent must be a commit; keys are dense
-    return edges.join(
-        orders.select(F.col("o_orderkey").alias("_known")), F.col("edge.parent") == F.col("_known"), "left_semi"
-    ).select(
-        commit_id("o_orderkey").alias("commit_id"),
-        F.lpad(F.col("edge.parent").cast("string"), 9, "0").alias("parent_id"),
-        F.col("edge.ordinal").alias("ordinal"),
+    return edges.join(orders.select("o_orderkey"), "o_orderkey", "left_semi").selectExpr(
+        "commit_id", f"{commit_id('o_orderkey')} as parent_id", "ordinal"
     )
 
 
@@ -174,86 +170,76 @@ def head(spark, sf_dir, share=0):
     """Head commit: key 0, or the key a third of the way in."""
     orders = table(spark, sf_dir, "orders")
     if not share:
-        return orders.filter("o_orderkey = 0").select(commit_id("o_orderkey").alias("commit_id"))
-    third = orders.agg(F.expr(f"count(*) div {share}").alias("key"))
-    return third.select(commit_id("key").alias("commit_id"))
+        return orders.filter("o_orderkey = 0").selectExpr(f"{commit_id('o_orderkey')} as commit_id")
+    return orders.selectExpr(f"{commit_id(f'count(*) div {share}')} as commit_id")
 
 
 def files(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
-    return documents.select(
-        pick("doc_id", PATHS).alias("file"),
-        (F.col("source") == "src3").alias("is_binary"),
-        F.col("n_chars").alias("size_bytes"),
-        newlines("text").alias("lines_count"),
+    return table(spark, sf_dir, "documents").selectExpr(
+        f"{pick('doc_id', PATHS)} as file",
+        "source = 'src3' as is_binary",
+        "n_chars as size_bytes",
+        f"{newlines('text')} as lines_count",
     )
 
 
 def page_files(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
-        F.col("url").alias("file"),
-        (F.col("page_id") % 5 == 0).alias("is_binary"),
-        F.length("html").cast("long").alias("size_bytes"),
-        newlines("html").alias("lines_count"),
+    return table(spark, sf_dir, "pages").selectExpr(
+        "url as file",
+        "page_id % 5 = 0 as is_binary",
+        "cast(length(html) as bigint) as size_bytes",
+        f"{newlines('html')} as lines_count",
     )
 
 
 def blame(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("committer_name"),
-        F.col("l_quantity").cast("long").alias("lines_count"),
-        epoch("l_shipdate").alias("timestamp"),
-        F.col("l_orderkey").cast("string").alias("filepath"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "cast(l_suppkey as string) as committer_name",
+        "cast(l_quantity as bigint) as lines_count",
+        f"{epoch('l_shipdate')} as timestamp",
+        "cast(l_orderkey as string) as filepath",
     )
 
 
 def blame_lines(spark, sf_dir):
     """Lines of part files by the commit that last changed them, two revisions."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.when(F.col("l_linenumber") <= 4, F.lit("HEAD")).otherwise(F.lit("old")).alias("revision"),
-        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("filepath"),
-        commit_id("l_orderkey").alias("commit_id"),
-        F.col("l_quantity").cast("long").alias("lines_count"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "if(l_linenumber <= 4, 'HEAD', 'old') as revision",
+        "concat('p', l_partkey) as filepath",
+        f"{commit_id('l_orderkey')} as commit_id",
+        "cast(l_quantity as bigint) as lines_count",
     )
 
 
 def part_files(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file"),
-        (F.col("p_size") % 10 == 0).alias("is_binary"),
-        F.lit(0).cast("long").alias("size_bytes"),
-        F.lit(0).cast("long").alias("lines_count"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('p', p_partkey) as file",
+        "p_size % 10 = 0 as is_binary",
+        "0L as size_bytes",
+        "0L as lines_count",
     )
 
 
 def submodules(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter("p_partkey % 13 = 0").select(
-        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path")
-    )
+    return table(spark, sf_dir, "part").filter("p_partkey % 13 = 0").selectExpr("concat('p', p_partkey) as path")
 
 
 def tag_refs(spark, sf_dir):
-    key = F.col("o_orderkey")
-    light = key % 3000 == 700
-    return table(spark, sf_dir, "orders").filter(key % 1500 == 700).select(
-        commit_id("o_orderkey").alias("commit_id"),
-        F.concat(F.lit("v"), key.cast("string")).alias("tag_name"),
-        F.when(~light, F.lit("Release Master")).alias("tagger_name"),
-        F.when(~light, epoch("o_orderdate") + DAY_SECONDS).alias("tagger_time"),
-        key.alias("ref_order"),
+    annotated = "o_orderkey % 3000 <> 700"
+    return table(spark, sf_dir, "orders").filter("o_orderkey % 1500 = 700").selectExpr(
+        f"{commit_id('o_orderkey')} as commit_id",
+        "concat('v', o_orderkey) as tag_name",
+        f"if({annotated}, 'Release Master', null) as tagger_name",
+        f"if({annotated}, {epoch('o_orderdate')} + 86400, null) as tagger_time",
+        "o_orderkey as ref_order",
     )
 
 
 def mailmap(spark, sf_dir):
-    key = F.col("c_custkey")
-    segment = F.lower("c_mktsegment")
-    email = F.when(key % 17 == 0, F.concat(F.col("c_name"), F.lit("."), segment)).otherwise(
-        F.concat(F.col("c_name"), F.lit("@"), segment, F.lit(".example"))
-    )
-    return table(spark, sf_dir, "customer").filter(key % 5 == 1).select(
-        F.concat(F.lit("Customer#"), F.lpad((key - 1).cast("string"), 9, "0")).alias("canonical_name"),
-        F.lit(None).cast("string").alias("canonical_email"),
-        F.when(key % 10 == 1, F.upper("c_name")).alias("match_name"),
-        F.upper(email).alias("match_email"),
-        key.alias("rule_order"),
+    return table(spark, sf_dir, "customer").filter("c_custkey % 5 = 1").selectExpr(
+        "concat('Customer#', lpad(cast(c_custkey - 1 as string), 9, '0')) as canonical_name",
+        "cast(null as string) as canonical_email",
+        "if(c_custkey % 10 = 1, upper(c_name), null) as match_name",
+        f"upper({EMAIL}) as match_email",
+        "c_custkey as rule_order",
     )
