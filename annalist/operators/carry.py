@@ -15,25 +15,26 @@ CHUNK = 100_000
 
 def carry(df: DataFrame, by, position: str, sums=(), fills=(), chunk: int = CHUNK) -> DataFrame:
     """Replace ``sums`` by their sum over all rows up to ``position``, and NULLs in
-    ``fills`` by the last value at a lower ``position``."""
+    ``fills`` by the last value at a lower ``position``. Positions are unique."""
     by, sums, fills = list(by), list(sums), list(fills)
     cut = df.withColumn("_chunk", integer_div(position, chunk))
-
-    def known_at(name):
-        return F.when(F.col(name).isNotNull(), F.col(position))
-
-    # one row per chunk; a chunk without a value still passes the earlier one on
+    # one row per chunk; of a fill only the place is aggregated, which hashes whatever the
+    # type of the value, and the few values that are carried on are looked up after
     ends = cut.groupBy(*by, "_chunk").agg(
         *[F.sum(c).alias(f"_end_{c}") for c in sums],
-        *[F.max_by(F.col(c), known_at(c)).alias(f"_end_{c}") for c in fills],
+        *[F.max(F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_end_{c}") for c in fills],
     )
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         *by,
         "_chunk",
         *[F.sum(f"_end_{c}").over(before).alias(f"_carry_{c}") for c in sums],
-        *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in fills],
+        *[F.max(f"_end_{c}").over(before).alias(f"_at_{c}") for c in fills],
     )
+    for c in fills:
+        known = df.filter(F.col(c).isNotNull())
+        known = known.select(*by, F.col(position).alias(f"_at_{c}"), F.col(c).alias(f"_carry_{c}"))
+        carried = carried.join(known, [*by, f"_at_{c}"], "left").drop(f"_at_{c}")
     inside = (
         Window.partitionBy(*by, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

@@ -40,12 +40,8 @@ def top_files(blame: DataFrame, top: int = 10, by=()) -> DataFrame:
 
 
 def monoauthor_files(blame: DataFrame, by=()) -> DataFrame:
-    """Files whose lines all come from one committer (lowest and highest name agree,
-    which needs no distinct count)."""
-    names = blame.groupBy(*by, "filepath").agg(
-        F.min("committer_name").alias("committer_name"), F.max("committer_name").alias("_highest")
-    )
-    return names.filter(F.col("committer_name") == F.col("_highest")).drop("_highest")
+    """Files whose lines all come from one committer."""
+    return committers_per_file(blame, by).filter(F.col("committers_count") == 1)
 
 
 def lost_knowledge(blame: DataFrame, as_of, months: int = 6, by=()) -> DataFrame:

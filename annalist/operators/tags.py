@@ -59,17 +59,19 @@ def tag_summary(assigned: DataFrame, by=()) -> DataFrame:
     ``walk_start`` orders the tags. ``is_consistent`` is false when the commits of a tag
     disagree on tagger or creation time, which means two tags share one name.
     """
-    summed = assigned.groupBy(*by, "tag_name").agg(
+    # the tagger is a key first, so that the many rows are aggregated by numbers only
+    runs = assigned.groupBy(*by, "tag_name", "tagger_name", "tagger_time").agg(
         F.count(F.lit(1)).alias("commits_count"),
         F.min("commit_time").alias("_initiated"),
+        F.min("walk_pos").alias("walk_start"),
+    )
+    summed = runs.groupBy(*by, "tag_name").agg(
+        F.sum("commits_count").alias("commits_count"),
+        F.min("_initiated").alias("_initiated"),
         F.min("tagger_time").alias("_created"),
         F.min("tagger_name").alias("tagger_name"),
-        F.min("walk_pos").alias("walk_start"),
-        (
-            F.min("tagger_name").eqNullSafe(F.max("tagger_name"))
-            & F.min("tagger_time").eqNullSafe(F.max("tagger_time"))
-            & F.count("tagger_name").isin(F.lit(0), F.count(F.lit(1)))
-        ).alias("is_consistent"),
+        F.min("walk_start").alias("walk_start"),
+        (F.count(F.lit(1)) == 1).alias("is_consistent"),
     )
     return summed.select(
         *by,

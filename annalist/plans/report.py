@@ -48,7 +48,7 @@ class History:
     assigned tags, tag tables are. ``by`` names the columns of one repository."""
 
     commits: DataFrame
-    linear: DataFrame
+    linear_history: DataFrame
     files: DataFrame
     blame: DataFrame | None = None
     assigned_tags: DataFrame | None = None
@@ -68,7 +68,7 @@ def general(history: History, days: DataFrame | None = None) -> DataFrame:
             activity.commit_totals(facts, by),
             authors.authors_count(facts, by),
             revision.file_totals(history.files, by).select(*by, "files_count"),
-            activity.line_totals(history.linear, by),
+            activity.line_totals(history.linear_history, by),
         ],
         by,
     )
@@ -102,7 +102,7 @@ def file_series(history: History, options: Options) -> DataFrame:
     """Files and lines per period with plotting times and the maxima of both series."""
     by = list(history.by)
     sample = Sampling.parse(options.time_sampling)
-    series = activity.line_history(history.linear, options.time_sampling, by)
+    series = activity.line_history(history.linear_history, options.time_sampling, by)
     maxima = series.groupBy(*by).agg(
         F.floor(F.max("files_count")).alias("max_files"), F.max("lines_count").alias("max_lines")
     )
@@ -145,7 +145,7 @@ def report_tables(history: History, as_of, options: Options = Options(), days: D
         "extensions": revision.extension_shares(
             revision.extensions_folded(history.files, options.orphaned_extension_count, by),
             history.files,
-            activity.line_totals(history.linear, by),
+            activity.line_totals(history.linear_history, by),
             by,
         ),
     }

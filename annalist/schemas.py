@@ -122,6 +122,19 @@ TAG_REFS = _table(
     ("ref_order", LongType(), False),
 )
 
+#: commits with the tag they belong to (NULL = unreleased)
+ASSIGNED_TAGS = _table(
+    ("repo_id", StringType(), False),
+    ("commit_id", StringType(), False),
+    ("walk_pos", LongType(), False),
+    ("tag_name", StringType(), True),
+    ("tagger_name", StringType(), True),
+    ("tagger_time", LongType(), True),
+    ("commit_author", StringType(), False),
+    ("commit_time", LongType(), False),
+    ("is_merge", BooleanType(), False),
+)
+
 #: name corrections; ``match_name`` NULL applies to every name with the e-mail
 MAILMAP = _table(
     ("repo_id", StringType(), False),
@@ -143,5 +156,6 @@ TABLES = {
     "blame": BLAME,
     "files": FILES,
     "tag_refs": TAG_REFS,
+    "assigned_tags": ASSIGNED_TAGS,
     "mailmap": MAILMAP,
 }

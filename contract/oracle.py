@@ -493,7 +493,7 @@ sql(
 )
 sql(
     "monoauthor",
-    """SELECT filepath, any_value(committer_name) AS committer_name FROM {{blame}}
+    """SELECT filepath, count(DISTINCT committer_name) AS committers_count FROM {{blame}}
     GROUP BY filepath HAVING count(DISTINCT committer_name) = 1""",
 )
 LIMIT_TS = f"CAST(epoch(make_timestamp({BLAME_AS_OF}::BIGINT * 1000000) - INTERVAL 6 MONTH) AS BIGINT)"

@@ -527,7 +527,7 @@ def url_scalars(spark, sf):
 def _history_of(spark, sf):
     return report.History(
         commits=V.commits(spark, sf, lines=True),
-        linear=V.linear(spark, sf),
+        linear_history=V.linear(spark, sf),
         files=V.page_files(spark, sf),
         blame=V.blame(spark, sf),
         assigned_tags=_assigned(spark, sf),

@@ -41,7 +41,7 @@ def test_written_report_equals_the_lazy_tables(spark, tmp_path, by, format):
 
 def test_optional_parts(spark):
     full = sample(spark)
-    bare = History(full.commits, full.linear, full.files)
+    bare = History(full.commits, full.linear_history, full.files)
     names = set(report_tables(bare, 0))
     assert not names & {"contribution", "knowledge_carriers", "top_files", "tags"}
     assert "lost_knowledge_ratio" not in report_tables(bare, 0)["files_overview"].columns

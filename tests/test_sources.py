@@ -11,7 +11,7 @@ from annalist import schemas as T
 from annalist.operators import commits as extract
 from annalist.operators import revision, tags
 from annalist.operators.identity import resolve_identities
-from annalist.plans.load import history_from_exports
+from annalist.plans.load import history_from_exports, store_history, stored_history
 from annalist.sources import exports, tables
 
 
@@ -77,8 +77,12 @@ def exported(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def loaded(spark, exported):
-    return history_from_exports(spark, exported[0])
+def loaded(spark, exported, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("store") / "history")
+    stored = store_history(history_from_exports(spark, exported[0]), path)
+    again = stored_history(spark, path)
+    assert again.blame is None and again.commits.count() == stored.commits.count()
+    return stored
 
 
 def test_commit_log(spark, exported):
@@ -106,7 +110,7 @@ def test_histories(exported, loaded):
     assert lines[ids["first"]] == (2, 0) and lines[ids["side"]] == (4, 0) and lines[ids["merge"]] == (0, 0)
     assert set(rows(history.commits, "author_name")) == {("Jack Dau",), ("John Snow",)}
     assert ("john@doe.com",) in rows(history.commits, "author_email")
-    linear = {r["commit_id"]: (r["files_count"], r["insertions"]) for r in history.linear.collect()}
+    linear = {r["commit_id"]: (r["files_count"], r["insertions"]) for r in history.linear_history.collect()}
     assert linear == {
         ids["first"]: (2, 2),
         ids["main"]: (3, 1),
