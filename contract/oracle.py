@@ -36,9 +36,8 @@ VIEWS = {
         SELECT commit_id, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions
         FROM {{commit_files}} GROUP BY commit_id""",
     "file_changes": """
-        SELECT lpad(CAST(l_orderkey AS VARCHAR), 9, '0') AS commit_id,
-               CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE -1 END AS change
-        FROM lineitem WHERE l_linenumber % 2 = 1 OR l_linenumber = 4""",
+        SELECT lpad(CAST(l_orderkey AS VARCHAR), 9, '0') AS commit_id, CASE WHEN l_linenumber <= 4 THEN 1 ELSE -1 END AS change
+        FROM lineitem""",
     "commits": """
         SELECT c.commit_id, walk_pos, is_merge_commit, author_name, author_email, author_tz_offset, author_timestamp,
                review_duration,
@@ -56,8 +55,7 @@ VIEWS = {
                make_timestamp((CAST(epoch(o_orderdate) AS BIGINT) + (o_orderkey * 7919) % 86400) * 1000000) AS ts,
                100 + o_orderkey % 50 AS files_count,
                coalesce(insertions, 0) AS insertions, coalesce(deletions, 0) AS deletions
-        FROM orders LEFT JOIN {{commit_lines}} ON commit_id = lpad(CAST(o_orderkey AS VARCHAR), 9, '0')
-        WHERE o_orderkey % 3 <> 1""",
+        FROM orders LEFT JOIN {{commit_lines}} ON commit_id = lpad(CAST(o_orderkey AS VARCHAR), 9, '0')""",
     "parents": """
         SELECT o_orderkey AS child, unnest(CASE WHEN o_orderpriority = '1-URGENT'
                  THEN [o_orderkey + 1 + o_orderkey % 3, o_orderkey + 4 + o_orderkey % 7]
@@ -80,9 +78,9 @@ VIEWS = {
         FROM lineitem""",
     "tag_refs": """
         SELECT o_orderkey AS walk_pos, 'v' || o_orderkey AS tag_name,
-               CASE WHEN o_orderkey % 3000 <> 700 THEN 'Release Master' END AS tagger_name,
-               CASE WHEN o_orderkey % 3000 <> 700 THEN CAST(epoch(o_orderdate) AS BIGINT) + 86400 END AS tagger_time
-        FROM orders WHERE o_orderkey % 1500 = 700""",
+               CASE WHEN o_orderstatus <> 'F' THEN 'Release Master' END AS tagger_name,
+               CASE WHEN o_orderstatus <> 'F' THEN CAST(epoch(o_orderdate) AS BIGINT) + 86400 END AS tagger_time
+        FROM orders WHERE o_totalprice > 498500""",
     "assigned": """
         SELECT p.commit_id, p.walk_pos, t.tag_name, t.tagger_name, t.tagger_time, commit_author, commit_time, is_merge
         FROM (SELECT c.commit_id, c.walk_pos, c.author_name AS commit_author, c.author_timestamp AS commit_time,
@@ -91,14 +89,14 @@ VIEWS = {
               FROM {{raw_commits}} c LEFT JOIN {{tag_refs}} t ON c.walk_pos = t.walk_pos) p
         LEFT JOIN {{tag_refs}} t ON p.at = t.walk_pos""",
     "mailmap": """
-        SELECT c_custkey AS k, 'Customer#' || lpad(CAST(c_custkey - 1 AS VARCHAR), 9, '0') AS canonical_name, c_name,
+        SELECT c_nationkey < 12 AS by_name, 'Customer#' || lpad(CAST(c_custkey - 1 AS VARCHAR), 9, '0') AS canonical_name, c_name,
                c_name || CASE WHEN c_custkey % 17 = 0 THEN '.' || lower(c_mktsegment)
                               ELSE '@' || lower(c_mktsegment) || '.example' END AS match_email
-        FROM customer WHERE c_custkey % 5 = 1""",
+        FROM customer WHERE c_mktsegment = 'MACHINERY'""",
     "mapped": """
         SELECT r.* REPLACE (coalesce(m.canonical_name, r.author_name) AS author_name)
         FROM {{raw_commits}} r LEFT JOIN {{mailmap}} m
-          ON lower(m.match_email) = lower(r.author_email) AND (m.k % 10 <> 1 OR lower(m.c_name) = lower(r.author_name))""",
+          ON lower(m.match_email) = lower(r.author_email) AND (NOT m.by_name OR lower(m.c_name) = lower(r.author_name))""",
     "summary": """
         SELECT author_name, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions,
                count(*) FILTER (is_merge_commit) AS merge_commits_count,
@@ -543,8 +541,8 @@ sql(
 )
 sql(
     "files_without_submodules",
-    """SELECT 'p' || p_partkey AS file, p_size % 10 = 0 AS is_binary, CAST(0 AS BIGINT) AS size_bytes,
-    CAST(0 AS BIGINT) AS lines_count FROM part WHERE p_partkey % 13 <> 0""",
+    """SELECT 'p' || p_partkey AS file, p_type = 'ECONOMY' AS is_binary, CAST(0 AS BIGINT) AS size_bytes,
+    CAST(0 AS BIGINT) AS lines_count FROM part WHERE p_brand <> 'Brand#17'""",
 )
 sql(
     "blame_hunks",
@@ -557,12 +555,12 @@ sql(
         SELECT commit_id, CASE WHEN ok THEN committer_name ELSE coalesce(canonical_name, author_name) END AS name,
                CASE WHEN ok THEN author_timestamp + review_duration ELSE author_timestamp END AS timestamp
         FROM people LEFT JOIN {{mailmap}} m ON lower(m.match_email) = lower(author_email)
-            AND (m.k % 10 <> 1 OR lower(m.c_name) = lower(author_name)))
+            AND (NOT m.by_name OR lower(m.c_name) = lower(author_name)))
     SELECT 'p' || l_partkey AS filepath, name AS committer_name, timestamp,
            CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS lines_count
     FROM lineitem JOIN part ON p_partkey = l_partkey
     JOIN named ON commit_id = lpad(CAST(l_orderkey AS VARCHAR), 9, '0')
-    WHERE l_linenumber <= 4 AND p_size % 10 <> 0 AND p_partkey % 13 <> 0
+    WHERE l_linenumber <= 4 AND p_type <> 'ECONOMY' AND p_brand <> 'Brand#17'
     GROUP BY ALL""",
 )
 
@@ -582,7 +580,7 @@ sql(
     """SELECT tag_name, coalesce(tag_name, 'unreleased') AS tag, commit_author, count(*) AS commits_count
     FROM {{assigned}} GROUP BY ALL""",
 )
-sql("commits_of_tag", "SELECT * FROM {{assigned}} WHERE tag_name = 'v700'")
+sql("commits_of_tag", "SELECT * FROM {{assigned}} WHERE tag_name = 'v1161'")
 sql("commits_unreleased", "SELECT * FROM {{assigned}} WHERE tag_name IS NULL")
 sql("tag_names", "SELECT DISTINCT tag_name FROM {{assigned}}")
 sql("tags_count", "SELECT count(*) AS tags_count FROM (SELECT DISTINCT tag_name FROM {{assigned}})")

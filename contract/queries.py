@@ -399,7 +399,7 @@ def tags_regex(spark, sf):
 
 @query
 def commits_of_tag(spark, sf):
-    return tags.commits_of_tag(_assigned(spark, sf), "v700")
+    return tags.commits_of_tag(_assigned(spark, sf), "v1161")
 
 
 @query

@@ -65,15 +65,11 @@ def commit_files(spark, sf_dir):
 
 
 def file_changes(spark, sf_dir):
-    """Odd line numbers create a file, every fourth line removes one."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .filter("l_linenumber % 2 = 1 or l_linenumber = 4")
-        .selectExpr(
-            f"{commit_id('l_orderkey')} as commit_id",
-            "concat('src/p', l_partkey, '.py') as path",
-            "if(l_linenumber = 4, -1, 1) as change",
-        )
+    """The first four lines of an order create a file, later ones remove one."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"{commit_id('l_orderkey')} as commit_id",
+        "concat('src/p', l_partkey, '.py') as path",
+        "if(l_linenumber <= 4, 1, -1) as change",
     )
 
 
@@ -142,7 +138,7 @@ def event_commits(spark, sf_dir):
 
 def linear(spark, sf_dir):
     """A cheap stand-in for the first-parent history."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 1")
+    orders = table(spark, sf_dir, "orders")
     return orders.join(_order_lines(spark, sf_dir), "o_orderkey", "left").selectExpr(
         f"{commit_id('o_orderkey')} as commit_id",
         f"{AUTHORED} as committer_timestamp",
@@ -214,19 +210,20 @@ def blame_lines(spark, sf_dir):
 def part_files(spark, sf_dir):
     return table(spark, sf_dir, "part").selectExpr(
         "concat('p', p_partkey) as file",
-        "p_size % 10 = 0 as is_binary",
+        "p_type = 'ECONOMY' as is_binary",
         "0L as size_bytes",
         "0L as lines_count",
     )
 
 
 def submodules(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter("p_partkey % 13 = 0").selectExpr("concat('p', p_partkey) as path")
+    return table(spark, sf_dir, "part").filter("p_brand = 'Brand#17'").selectExpr("concat('p', p_partkey) as path")
 
 
 def tag_refs(spark, sf_dir):
-    annotated = "o_orderkey % 3000 <> 700"
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 1500 = 700").selectExpr(
+    """The most expensive orders are tagged; finished ones by a lightweight tag."""
+    annotated = "o_orderstatus <> 'F'"
+    return table(spark, sf_dir, "orders").filter("o_totalprice > 498500").selectExpr(
         f"{commit_id('o_orderkey')} as commit_id",
         "concat('v', o_orderkey) as tag_name",
         f"if({annotated}, 'Release Master', null) as tagger_name",
@@ -236,10 +233,11 @@ def tag_refs(spark, sf_dir):
 
 
 def mailmap(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter("c_custkey % 5 = 1").selectExpr(
+    """Customers of one segment are other spellings of their neighbours."""
+    return table(spark, sf_dir, "customer").filter("c_mktsegment = 'MACHINERY'").selectExpr(
         "concat('Customer#', lpad(cast(c_custkey - 1 as string), 9, '0')) as canonical_name",
         "cast(null as string) as canonical_email",
-        "if(c_custkey % 10 = 1, upper(c_name), null) as match_name",
+        "if(c_nationkey < 12, upper(c_name), null) as match_name",
         f"upper({EMAIL}) as match_email",
         "c_custkey as rule_order",
     )
