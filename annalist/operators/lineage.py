@@ -1,4 +1,4 @@
-"""Cutting the plan of iterative jobs by written tables."""
+"""Cutting the plan of iterative jobs by written tables, which one owner can delete."""
 
 import tempfile
 import uuid
@@ -10,28 +10,80 @@ from pyspark.sql import functions as F
 def shared_folder(spark) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder is made here only in local mode with the setting absent (tests).
+    Only in local mode with the setting absent (tests) a folder of this process is used;
+    the session's settings are never changed. A ``file:`` folder is refused on a cluster
+    of several hosts, where executors would not see each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="annalist-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        return _folder_of_process()
+    if folder.startswith("file:") and not master.startswith("local"):
+        raise ValueError(f"spark.checkpoint.dir is {folder}; executors on other hosts cannot share it")
+    return folder.rstrip("/")
 
 
-def cut_lineage_counted(df: DataFrame) -> tuple:
-    """Write a table to the shared folder and read it back; also its number of rows.
+_made = []
+
+
+def _folder_of_process() -> str:
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="annalist-"))
+    return _made[0]
+
 
-    Unlike ``DataFrame.checkpoint`` this computes the rows once, and the files tell the
-    planner their size, so small rounds are broadcast. A lost executor costs a re-read.
+class Scratch:
+    """Owner of the tables that one job writes to the shared folder.
+
+    ``keep`` writes a table and reads it back. Unlike ``DataFrame.checkpoint`` this computes
+    the rows once, and the files tell the planner their size, so small rounds are broadcast.
+    A lost executor costs a re-read. ``drop`` deletes one table when no later step needs it;
+    ``release`` deletes all. What a job returns may still read its last tables, so the
+    caller releases them after using the result. As a context manager it releases at the end.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/annalist-{uuid.uuid4().hex}"
-    written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), written.get["rows"]
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/annalist-{uuid.uuid4().hex}"
+        self.paths = {}
+
+    def counted(self, df: DataFrame) -> tuple:
+        """The table read back, and its number of rows."""
+        path = f"{self.folder}/{len(self.paths)}"
+        written = Observation()
+        df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = table
+        return table, written.get["rows"]
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self.counted(df)[0]
+
+    def drop(self, table: DataFrame) -> None:
+        for path, kept in self.paths.items():
+            if kept is table:
+                self._delete(path)
+
+    def release(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.release()
+
+
+def cut_lineage_counted(df: DataFrame) -> tuple:
+    """``Scratch.counted`` of a single table that stays until the folder is cleaned."""
+    return Scratch(df.sparkSession).counted(df)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
