@@ -11,17 +11,14 @@ def shared_folder(spark) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only in local mode with the setting absent (tests) a folder of this process is used;
-    the session's settings are never changed. A ``file:`` folder is refused on a cluster
-    of several hosts, where executors would not see each other's files.
+    the session's settings are never changed. What a cluster names is taken to be shared,
+    also a ``file:`` folder, which may be a mount that all hosts have.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
     if folder is None:
-        if not master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         return _folder_of_process()
-    if folder.startswith("file:") and not master.startswith("local"):
-        raise ValueError(f"spark.checkpoint.dir is {folder}; executors on other hosts cannot share it")
     return folder.rstrip("/")
 
 
