@@ -3,8 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, urls
+from annalist.llm import bpe, minhash, urls
 from annalist.llm.common import table
+from annalist.operators.lineage import Scratch
 
 
 def op1_bpe(spark, sf_dir):
@@ -12,6 +13,32 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), path)
 
 
+def op3_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), width=4, percent=80)
+
+
+MINHASH_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS s
+    FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)
+"""
+
+
 #: rules of the query: host, path, verdict
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -36,5 +63,5 @@ WITH rules(rule_host, rule_path, verdict) AS (
 SELECT page_id, host, path, rule, coalesce(best.verdict, 'allow') AS verdict FROM places LEFT JOIN best USING (n)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op7_urls": op7_urls}
-ORACLE = {"op7_urls": URLS_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op7_urls": op7_urls}
+ORACLE = {"op3_minhash": MINHASH_SQL, "op7_urls": URLS_SQL}
