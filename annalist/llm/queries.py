@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, minhash, urls
+from annalist.llm import bpe, minhash, repeats, urls
 from annalist.llm.common import table
 from annalist.operators.lineage import Scratch
 
@@ -19,7 +19,8 @@ def op3_minhash(spark, sf_dir):
 
 MINHASH_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, s FROM (
@@ -63,5 +64,17 @@ WITH rules(rule_host, rule_path, verdict) AS (
 SELECT page_id, host, path, rule, coalesce(best.verdict, 'allow') AS verdict FROM places LEFT JOIN best USING (n)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op7_urls": op7_urls}
+def op10_repeats(spark, sf_dir):
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["stop"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op7_urls": op7_urls, "op10_repeats": op10_repeats}
 ORACLE = {"op3_minhash": MINHASH_SQL, "op7_urls": URLS_SQL}
