@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, minhash, repeats, urls
+from annalist.llm import bpe, minhash, packing, phrases, repeats, urls
 from annalist.llm.common import table
 from annalist.operators.lineage import Scratch
 
@@ -64,6 +64,15 @@ WITH rules(rule_host, rule_path, verdict) AS (
 SELECT page_id, host, path, rule, coalesce(best.verdict, 'allow') AS verdict FROM places LEFT JOIN best USING (n)
 """
 
+def op8_packing(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), Scratch(spark), path, size=2048, end=1)
+
+
+def op9_phrases(spark, sf_dir):
+    return phrases.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark, sf_dir):
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["stop"] - s["start"])
@@ -76,5 +85,5 @@ def op10_repeats(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op7_urls": op7_urls, "op10_repeats": op10_repeats}
+QUERIES = {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
 ORACLE = {"op3_minhash": MINHASH_SQL, "op7_urls": URLS_SQL}
