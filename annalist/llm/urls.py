@@ -61,8 +61,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
     rows are judged alike, and other columns of ``pages`` are not read.
 
     Paths are cut at the lengths that rules' paths have, which the longest rule bounds. Each
-    different (host, path) is expanded once, and each different expression joined once, so
-    crowded hosts shrink before they are shuffled.
+    different (host, path) is expanded once. Few rules are broadcast by the planner's size
+    check, and expressions are not shuffled; many rules meet them in a sort-merge join, where
+    an expression that most hosts have is split like any skewed key.
     """
     ready = prepared_rules(rules)
     host, path = host_and_path(F.col(url))
@@ -78,13 +79,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
     spread = spread.select("_host", "_path", "_suffix", F.explode(fitting).alias("_cut"))
     prefix = F.substring(F.col("_path"), F.lit(1), F.col("_cut"))
     spread = spread.select("_host", "_path", _expression(F.col("_suffix"), prefix).alias("_expression"))
-    distinct = spread.select("_expression").distinct().withColumn("_short", _short(F.col("_expression")))
-    found = (
-        distinct.join(ready, "_short")
-        .filter(F.sha2("_expression", 256) == F.col("_digest"))
-        .select("_expression", F.struct(F.length("_rule").alias("a"), F.col("_host_length").alias("b"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict")).alias("_found"))
-    )
-    best = spread.join(found, "_expression").groupBy("_host", "_path").agg(F.max("_found").alias("_best"))
+    found = spread.withColumn("_short", _short(F.col("_expression"))).join(ready, "_short").filter(F.sha2("_expression", 256) == F.col("_digest"))
+    weight = F.struct(F.length("_rule").alias("a"), F.col("_host_length").alias("b"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+    best = found.groupBy("_host", "_path").agg(F.max(weight).alias("_best"))
     return rows.join(best, ["_host", "_path"], "left").select(
         F.col("_key").alias(key),
         F.col("_host").alias("host"),
