@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, minhash, packing, phrases, repeats, urls
+from annalist.llm import bpe, forest, minhash, packing, phrases, repeats, urls
 from annalist.llm.common import table
 from annalist.operators.lineage import Scratch
 
@@ -13,6 +13,10 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), path)
 
 
+def op2_forest(spark, sf_dir):
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, Scratch(spark), k=10)
+
+
 def op3_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), width=4, percent=80)
 
@@ -85,5 +89,5 @@ def op10_repeats(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
+QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
 ORACLE = {"op3_minhash": MINHASH_SQL, "op7_urls": URLS_SQL}
