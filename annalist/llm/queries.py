@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, forest, minhash, packing, phrases, repeats, urls
-from annalist.llm.common import table
+from annalist.llm import bpe, forest, language, minhash, packing, phrases, repeats, urls
+from annalist.llm.common import crc_bucket, table
 from annalist.operators.lineage import Scratch
 
 
@@ -21,6 +21,13 @@ def op3_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), width=4, percent=80)
 
 
+def op4_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 5) == 0
+    model = language.fit(docs, ~held_out)
+    return language.predict(docs.withColumn("held_out", held_out), model, keys=("doc_id", "held_out"))
+
+
 MINHASH_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
@@ -89,5 +96,5 @@ def op10_repeats(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
+QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
 ORACLE = {"op3_minhash": MINHASH_SQL, "op7_urls": URLS_SQL}
