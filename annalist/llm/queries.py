@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, forest, language, minhash, packing, phrases, repeats, urls
+from annalist.llm import bpe, forest, language, minhash, packing, phrases, quality, repeats, urls
 from annalist.llm.common import crc_bucket, table
 from annalist.operators.lineage import Scratch
 
@@ -28,6 +28,13 @@ def op4_language(spark, sf_dir):
     return language.predict(docs.withColumn("held_out", held_out), model, keys=("doc_id", "held_out"))
 
 
+def op5_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_bucket("doc_id", 3) == 1
+    model = quality.fit(docs, labels.filter(~held_out))
+    return quality.score(docs.withColumn("held_out", held_out), model, keys=("doc_id", "held_out"))
+
+
 MINHASH_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
@@ -96,5 +103,5 @@ def op10_repeats(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
+QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op5_quality": op5_quality, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
 ORACLE = {"op3_minhash": MINHASH_SQL, "op7_urls": URLS_SQL}
