@@ -226,7 +226,7 @@ def _remove(length: int, characters: bool):
     def run(batches):
         for batch in small_batches(batches):
             spans, kept = [], []
-            for text, ranges in zip(batch.column(2), batch.column(3).to_pylist()):
+            for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist()):
                 data = text.as_buffer().to_pybytes()
                 runs = covered([r["low"] for r in ranges], [r["high"] for r in ranges], length, len(data)) if ranges else []
                 if characters:
@@ -235,14 +235,14 @@ def _remove(length: int, characters: bool):
                 edges = [0, *(x for run in runs for x in run), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
             made = record_batch(KEPT, spans, kept)
-            size = pa.array([len(t.as_buffer()) for t in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, *made.columns], names=["doc", "n_bytes", "spans", "kept"])
+            size = pa.array([len(t.as_buffer()) for t in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), size, *made.columns], names=["doc", "row", "n_bytes", "spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: str = "doc_id", text: str = "text", characters: bool = False) -> DataFrame:
-    """``key, n_bytes, spans (start, stop), kept`` for every row of ``docs``.
+def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: str = "doc_id", text: str = "text", characters: bool = False, carry=()) -> DataFrame:
+    """``key, n_bytes, spans (start, stop), kept`` and a struct ``row`` of the columns ``carry`` for every row of ``docs``.
 
     ``spans`` are the maximal runs of bytes covered by a ``length``-byte string that also
     starts anywhere else in the column, in the same text too, and ``kept`` the other bytes.
@@ -252,13 +252,14 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
     NULL or repeated; other columns are not read. ``length`` is at least 256.
 
     Texts are known by their 64-bit hash and go through one shuffle, which both the
-    comparison and the removal read. Copies are combined before shuffles.
+    comparison and the removal read (so both take the same columns of it). Copies are combined before shuffles.
     """
     if length < 2 * SPREAD:
         raise ValueError(f"length must be at least {2 * SPREAD}")
     value = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.col(key).alias("doc"), F.xxhash64(value).alias("text_id"), value.alias("text"))
-    parsed = scratch.keep(_parse(texts, length))
+    row = F.struct(*carry) if carry else F.lit(0)
+    texts = docs.select(F.col(key).alias("doc"), F.xxhash64(value).alias("text_id"), value.alias("text"), row.alias("row"))
+    parsed = scratch.keep(_parse(texts.select("doc", "text_id", "text"), length))
     cores = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
     shared = scratch.keep(parsed.join(cores, "core"))
     scratch.drop(parsed)
@@ -275,7 +276,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
 
     dealt = texts.join(open_words, "text_id").filter(F.col("doc").eqNullSafe(F.col("_doc")))
     schema = "core bigint, text_id bigint, low int, high int, occurrences bigint, variants bigint, bytes binary"
-    words = scratch.keep(dealt.select("text_id", "text", "words").mapInArrow(_cut_words(length), schema))
+    words = scratch.keep(dealt.select("text_id", "text", "words", "row").mapInArrow(_cut_words(length), schema))
     few = words.filter(F.col("variants") <= TOGETHER).repartition("core").sortWithinPartitions("core")
     found = few.mapInArrow(_compare_words(length), "text_id bigint, low int, high int")
     many = words.filter(F.col("variants") > TOGETHER).mapInArrow(
@@ -286,8 +287,10 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
     single = many.filter("occurrences = 1").join(twice, ["core", "hash"])
     spans = whole.unionByName(found).unionByName(single.select("text_id", F.col("place").alias("low"), F.col("place").alias("high")))
     ranges = spans.groupBy("text_id").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    kind = docs.schema[key].dataType.simpleString()
-    out = texts.join(ranges, "text_id", "left").select("doc", "text_id", "text", "ranges").mapInArrow(
-        _remove(length, characters), f"doc {kind}, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"
+    kinds = texts.schema
+    out = texts.join(ranges, "text_id", "left").select("doc", "text_id", "text", "row", "ranges").mapInArrow(
+        _remove(length, characters),
+        f"doc {kinds['doc'].dataType.simpleString()}, row {kinds['row'].dataType.simpleString()}, "
+        "n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary",
     )
-    return out.withColumnRenamed("doc", key)
+    return out.select(F.col("doc").alias(key), "n_bytes", "spans", "kept", *(["row"] if carry else []))
