@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, forest, language, minhash, packing, phrases, quality, repeats, urls
+from annalist.llm import bpe, forest, language, minhash, packing, phrases, quality, repeats, rollups, urls
 from annalist.llm.common import crc_bucket, table
 from annalist.operators.lineage import Scratch
 
@@ -58,6 +58,43 @@ FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) A
 """
 
 
+#: tokens of the query's tokenizer versions, as patterns
+WORDS, LONGER_WORDS, PIECES = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]{2,}", r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
+
+
+def op6_rollups(spark, sf_dir):
+    """Loads all documents under two versions, takes those labelled 0 out, revises one version, replays a batch."""
+    scratch = Scratch(spark)
+    count = {name: F.regexp_count("text", F.lit(p)).alias(name) for name, p in (("words", WORDS), ("longer", LONGER_WORDS), ("pieces", PIECES))}
+    counts = scratch.keep(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *count.values()))
+    poor = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
+    gone, left = counts.join(poor, "doc_id", "left_semi"), counts.join(poor, "doc_id", "left_anti")
+
+    def version(rows, name, **columns):
+        return rows.select("source", "lang", F.lit(name).alias("tokenizer_version"), *[F.col(c).alias(a) for a, c in columns.items()])
+
+    rollup = rollups.Rollup(spark, f"{scratch.folder}/rollup")
+    rollup.commit("words", rollups.inserts(version(counts, "words-1", tokens="words")))
+    rollup.commit("pieces", rollups.inserts(version(counts, "pieces-1", tokens="pieces")))
+    taken_out = version(gone, "words-1", tokens="words").unionByName(version(gone, "pieces-1", tokens="pieces"))
+    rollup.commit("taken-out", rollups.deletes(taken_out))
+    rollup.commit("recounted", rollups.revisions(version(left, "words-1", old_tokens="words", new_tokens="longer")))
+    rollup.commit("taken-out", rollups.deletes(taken_out))
+    return rollup.totals()
+
+
+ROLLUPS_SQL = r"""
+WITH kept AS (
+  SELECT source, lang,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]{2,}')) AS words,
+    len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) AS pieces
+  FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 0) USING (doc_id)
+)
+SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, sum(words)::BIGINT AS n_tokens FROM kept GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'pieces-1', count(*), sum(pieces)::BIGINT FROM kept GROUP BY ALL
+"""
+
 #: rules of the query: host, path, verdict
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -103,5 +140,5 @@ def op10_repeats(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op5_quality": op5_quality, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
-ORACLE = {"op3_minhash": MINHASH_SQL, "op7_urls": URLS_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op5_quality": op5_quality, "op6_rollups": op6_rollups, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
+ORACLE = {"op3_minhash": MINHASH_SQL, "op6_rollups": ROLLUPS_SQL, "op7_urls": URLS_SQL}
