@@ -244,11 +244,14 @@ def _is_link(percent: int):
     return linked
 
 
-@F.pandas_udf("double")
-def _estimate(left: pd.Series, right: pd.Series, n_left: pd.Series, n_right: pd.Series) -> pd.Series:
-    a = np.frombuffer(b"".join(left), np.uint16).reshape(len(left), REGISTERS)
-    b = np.frombuffer(b"".join(right), np.uint16).reshape(len(right), REGISTERS)
-    return pd.Series(estimated_similarity((a == b).mean(axis=1), n_left.to_numpy(), n_right.to_numpy()))
+def _estimate():
+    @F.pandas_udf("double")
+    def estimate(left: pd.Series, right: pd.Series, n_left: pd.Series, n_right: pd.Series) -> pd.Series:
+        a = np.frombuffer(b"".join(left), np.uint16).reshape(len(left), REGISTERS)
+        b = np.frombuffer(b"".join(right), np.uint16).reshape(len(right), REGISTERS)
+        return pd.Series(estimated_similarity((a == b).mean(axis=1), n_left.to_numpy(), n_right.to_numpy()))
+
+    return estimate
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,7 +292,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     registers_of = sets.select("set_id", "registers", "n_shingles")
     left = registers_of.toDF("u", "registers_u", "n_u")
     right = registers_of.toDF("v", "registers_v", "n_v")
-    estimate = _estimate("registers_u", "registers_v", "n_u", "n_v")
+    estimate = _estimate()("registers_u", "registers_v", "n_u", "n_v")
     near = scratch.keep(stars.join(left, "u").join(right, "v").withColumn("share", estimate).filter(F.col("share") >= share).select("u", "v"))
     cluster = scratch.keep(components(near, scratch))
 
