@@ -29,7 +29,7 @@ from annalist.operators.lineage import Scratch
 
 GRAM, SPREAD = 16, 128
 #: cores with up to this many different words are compared in one task, others by a shuffle of windows
-TOGETHER = 64
+TOGETHER = 1024
 
 TRIGGERS = pa.schema([("core", pa.int64()), ("word", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
