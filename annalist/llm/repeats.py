@@ -260,7 +260,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
     row = F.struct(*carry) if carry else F.lit(0)
     texts = docs.select(F.col(key).alias("doc"), F.xxhash64(value).alias("text_id"), value.alias("text"), row.alias("row"))
     parsed = scratch.keep(_parse(texts.select("doc", "text_id", "text"), length))
-    cores = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    # written, so that the join below can split a core that many texts share
+    cores = scratch.keep(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"))
     shared = scratch.keep(parsed.join(cores, "core"))
     scratch.drop(parsed)
 
