@@ -9,6 +9,8 @@ the pieces by their rank among those of equal length.
 import os
 import zlib
 from collections import defaultdict
+from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -20,39 +22,83 @@ from annalist.operators.lineage import Scratch
 
 #: pieces of one length that are ranked in one task
 RANKED_TOGETHER = 100_000
-#: words kept in a worker's cache, and the longest one that is kept
-CACHE_WORDS, CACHE_LENGTH = 500_000, 48
+#: runs kept in a worker's cache (about 200 bytes each), and the longest one that is kept
+CACHE_WORDS, CACHE_LENGTH = 1_000_000, 48
+#: Fixed value: what the tokenizer's last token of a word ends with
+WORD_END = "</w>"
+#: marks that are neither letters, numbers nor apostrophes and combine with no character
+MARKS = b".,!?;:#$%&*|()-"
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of runs of bytes between white space, as little-endian 32-bit integers.
 
-    The tokenizer drops white space and merges within its own words, none of which holds
-    white space, so a text's ids are those of its runs, one after another.
+    The tokenizer lower-cases, drops white space and merges within its own words. None of
+    these holds white space or both letters and marks, so a text's ids are those of its
+    runs, and a run's those of its letters and of the marks after them. Words of letters
+    alone are encoded many at a time; tokens that end a word tell them apart.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def of_texts(self, texts: list[str], end: int) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        new = list({w for words in split for w in words}.difference(self))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+        split = [t.encode().lower().split() for t in texts]
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = set(chain.from_iterable(split)).difference(known)
+        self.learn(new)
         last = np.array([end], "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(self.__getitem__, words)) + last, "<u4") for words in split]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)) + last, "<u4") for words in split]
         for word in new:
             if len(word) > CACHE_LENGTH:
-                del self[word]
+                del known[word]
         return out
 
+    def learn(self, runs) -> None:
+        known, apart, letters, joined = self.known, set(), set(), []
+        for run in runs:
+            stem = run.rstrip(MARKS)
+            # normal form and lower case may turn a letter into a letter and a combining mark
+            if not stem.isalpha() and not normalize("NFC", stem.decode()).lower().isalpha():
+                apart.add(run)
+                continue
+            letters.add(stem)
+            if len(stem) < len(run):
+                tail = run[len(stem) :]
+                apart.add(tail)
+                joined.append((run, stem, tail))
+        self.encode_apart(apart.difference(known))
+        self.encode_together(list(letters.difference(known)))
+        for run, stem, tail in joined:
+            known[run] = known[stem] + known[tail]
+
+    def encode_apart(self, runs) -> None:
+        runs = list(runs)
+        found = self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)
+        self.known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(runs, found))
+
+    def encode_together(self, words: list[bytes]) -> None:
+        if not words:
+            return
+        (found,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        if len(stops) != len(words):
+            self.encode_apart(words)
+            return
+        data = ids.tobytes()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *stops], stops))
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end: int = 1, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """``key, start, length, ids_crc32, doc_tokens`` (and ``ids``) of every piece.
