@@ -1,17 +1,16 @@
 """Commit-graph operators on the parents table ``(by..., commit_id, parent_id, ordinal)``.
 
 Histories are deep, so nothing walks one generation per round. Chains of first parents
-are followed by pointer doubling: 2, 4, 8 ... generations per join. Every round is
-written to the shared folder; a loop ends when it finds nothing new and raises when it does not end.
+are followed by pointer doubling: 2, 4, 8 ... generations per join. Rounds are written to
+the shared folder while a plan is built. ``scratch`` is the owner of these tables: pass one
+to delete them after using the result, else they stay until the folder is cleaned.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.operators.grouping import positions
-from annalist.operators.lineage import cut_lineage, cut_lineage_counted
+from annalist.operators.lineage import Scratch
 
 #: doublings; 2 ** 40 generations
 MAX_DOUBLINGS = 40
@@ -24,105 +23,134 @@ def merge_flags(parents: DataFrame, by=()) -> DataFrame:
     return counted.withColumn("is_merge", F.col("parents_count") > 1)
 
 
-def _follow(edges: DataFrame, starts: DataFrame, by) -> DataFrame:
-    """``starts`` and all nodes on the chains that leave them.
+def _edges(parents: DataFrame, by) -> DataFrame:
+    return parents.filter(F.col("parent_id") != "").select(
+        *by, F.col("commit_id").alias("node"), F.col("parent_id").alias("target"), "ordinal"
+    )
+
+
+def _twice(jumps: DataFrame, by) -> DataFrame:
+    """Jumps of double length, for nodes whose chain is that long."""
+    second = jumps.select(*by, F.col("node").alias("target"), F.col("target").alias("_next"))
+    return jumps.join(second, [*by, "target"]).select(*by, "node", F.col("_next").alias("target"))
+
+
+def _jump_tables(first_parents: DataFrame, by, scratch: Scratch) -> list:
+    """Where 1, 2, 4 ... generations lead; the tables shrink as chains end.
 
-    ``edges`` has at most one row per ``node``. Jump tables lead 1, 2, 4 ... generations
-    on and shrink as chains end. Marking then takes the longest jumps first: each step is
-    one join that adds, for every marked node, the node it leads to.
+    ``first_parents`` has at most one row per ``node``.
     """
-    keys = [*by, "node"]
-    jumps = edges.select(*keys, "target")
-    tables = [jumps]
-    while True:
-        second = jumps.select(*by, F.col("node").alias("target"), F.col("target").alias("_next"))
-        twice = jumps.join(second, [*by, "target"]).select(*keys, F.col("_next").alias("target"))
-        jumps, found = cut_lineage_counted(twice)
-        if not found:
-            break
+    jumps, found = scratch.counted(first_parents.select(*by, "node", "target"))
+    tables = []
+    while found:
         tables.append(jumps)
         if len(tables) > MAX_DOUBLINGS:
             raise RuntimeError("chain of first parents does not end; the parents table has a cycle")
+        jumps, found = scratch.counted(_twice(jumps, by))
+    return tables
+
+
+def _follow(tables, starts: DataFrame, by, seen: DataFrame | None = None) -> DataFrame:
+    """``starts`` and all nodes on the chains that leave them, up to those in ``seen``.
+
+    The longest jumps go first: each step is one join that adds, for every marked node, the
+    node it leads to. What a seen node leads to is seen too, so a jump that ends there is
+    too long and a shorter one covers the rest.
+    """
+    keys = [*by, "node"]
     marked = starts.select(*keys).distinct()
     for jumps in reversed(tables):
         both = F.explode(F.array_compact(F.array("node", "target")))
+        if seen is not None:
+            jumps = jumps.join(seen.select(*by, F.col("node").alias("target")), [*by, "target"], "left_anti")
         marked = marked.join(jumps, keys, "left").select(*by, both.alias("node")).distinct()
-    return cut_lineage(marked)
+    return marked
 
 
-def first_parent_chain(parents: DataFrame, heads: DataFrame, by=()) -> DataFrame:
+def first_parent_chain(parents: DataFrame, heads: DataFrame, by=(), scratch: Scratch | None = None) -> DataFrame:
     """Commits met by going from each head to first parents only, heads included."""
-    by = list(by)
-    edges = cut_lineage(
-        parents.filter((F.col("ordinal") == 0) & (F.col("parent_id") != "")).select(
-            *by, F.col("commit_id").alias("node"), F.col("parent_id").alias("target")
-        )
-    )
+    by, scratch = list(by), scratch or Scratch(parents.sparkSession)
+    tables = _jump_tables(_edges(parents, by).filter("ordinal = 0"), by, scratch)
     starts = heads.select(*by, F.col("commit_id").alias("node"))
-    return _follow(edges, starts, by).select(*by, F.col("node").alias("commit_id"))
+    chain = scratch.keep(_follow(tables, starts, by))
+    for jumps in tables:
+        scratch.drop(jumps)
+    return chain.select(*by, F.col("node").alias("commit_id"))
 
 
-def reachable(parents: DataFrame, heads: DataFrame, by=(), max_rounds: int = 10_000) -> DataFrame:
+def reachable(parents: DataFrame, heads: DataFrame, by=(), scratch: Scratch | None = None) -> DataFrame:
     """Commits reachable from the heads, heads included.
 
     One round marks whole first-parent chains, then steps over the other parents of what
-    it marked. Rounds thus count how deep merges nest, not how long the history is.
-    Edges into marked commits are dropped between rounds: their ancestors are marked, and
-    the chains left to follow get short.
+    it marked. Rounds thus count how deep merges nest, not how long the history is. Jump
+    tables are built once. Every round marks something new, so the loop ends by itself.
     """
-    by = list(by)
+    by, scratch = list(by), scratch or Scratch(parents.sparkSession)
     keys = [*by, "node"]
-    edges = cut_lineage(
-        parents.filter(F.col("parent_id") != "").select(
-            *by, F.col("commit_id").alias("node"), F.col("parent_id").alias("target"), "ordinal"
-        )
-    )
+    edges = _edges(parents, by)
+    sideways = scratch.keep(edges.filter("ordinal > 0").drop("ordinal"))
+    tables = _jump_tables(edges.filter("ordinal = 0"), by, scratch)
     frontier = heads.select(*by, F.col("commit_id").alias("node")).distinct()
-    pieces = []
-    for _ in range(max_rounds):
-        marked = _follow(edges.filter("ordinal = 0"), frontier, by)
-        pieces.append(marked)
-        seen = reduce(DataFrame.unionByName, pieces)
-        sideways = edges.filter("ordinal > 0").join(marked, keys).select(*by, F.col("target").alias("node"))
-        frontier, found = cut_lineage_counted(sideways.distinct().join(seen, keys, "left_anti"))
+    seen = None
+    while True:
+        # rounds share a folder, so what has been marked is one scan however many there were
+        seen, marked = scratch.append("marked", _follow(tables, frontier, by, seen))
+        beside = sideways.join(marked, keys).select(*by, F.col("target").alias("node")).distinct()
+        frontier, found = scratch.counted(beside.join(seen, keys, "left_anti"))
         if not found:
-            return seen.select(*by, F.col("node").alias("commit_id"))
-        into_marked = marked.select(*by, F.col("node").alias("target"))
-        edges = cut_lineage(
-            edges.join(marked, keys, "left_anti").join(into_marked, [*by, "target"], "left_anti")
-        )
-    raise RuntimeError(f"reachability did not finish within {max_rounds} rounds")
+            break
+    for table in (*tables, sideways):
+        scratch.drop(table)
+    return seen.select(*by, F.col("node").alias("commit_id"))
 
 
 def topological_order(
-    commits: DataFrame, parents: DataFrame, by=(), time: str = "committer_timestamp", max_rounds: int = 10_000
+    commits: DataFrame, parents: DataFrame, by=(), time: str = "committer_timestamp", scratch: Scratch | None = None
 ) -> DataFrame:
     """Children-before-parents positions from 0 for exports without row numbers.
 
     Every commit gets the smallest time that is at least its own and later than that of
-    each parent; newest first is then a valid walk. Only commits whose clock is behind a
-    parent's move, so rounds count the longest run of such commits.
+    each parent; newest first is then a valid walk. Times rise along chains of first
+    parents by doubling: after a step of 2 ** k generations every commit is later than its
+    ancestors up to 2 ** (k + 1) - 1 generations back. A step that moves nothing shows that
+    no longer one would. Other parents follow, again until nothing moves. Rounds grow with
+    the logarithm of the longest run of late clocks times how deep such runs nest in
+    merges; only commits that moved are written. A time beyond the latest one by more than
+    the number of commits proves a cycle.
     """
-    by = list(by)
-    edges = parents.filter(F.col("parent_id") != "").select(*by, "commit_id", "parent_id").distinct()
-    times = commits.select(*by, "commit_id", F.col(time).alias("_time"))
-    changed = times
-    for _ in range(max_rounds):
-        moved = changed.select(*by, F.col("commit_id").alias("parent_id"), F.col("_time").alias("_parent_time"))
-        due = (
-            edges.join(moved, [*by, "parent_id"])
-            .groupBy(*by, "commit_id")
-            .agg((F.max("_parent_time") + 1).alias("_due"))
-        )
-        behind = due.join(times, [*by, "commit_id"]).filter(F.col("_due") > F.col("_time")).drop("_time")
-        late, found = cut_lineage_counted(behind)
-        if not found:
-            ordered = positions(times, by, [F.desc("_time"), F.asc("commit_id")], "walk_pos")
-            return ordered.select(*by, "commit_id", (F.col("walk_pos") - 1).alias("walk_pos"))
-        times = cut_lineage(
-            times.join(late, [*by, "commit_id"], "left").select(
-                *by, "commit_id", F.greatest("_time", "_due").alias("_time")
-            )
-        )
-        changed = late.withColumnRenamed("_due", "_time")
-    raise RuntimeError(f"walk order did not settle within {max_rounds} rounds; the parents table may have a cycle")
+    by, scratch = list(by), scratch or Scratch(commits.sparkSession)
+    keys = [*by, "commit_id"]
+    edges = _edges(parents, by)
+    others = scratch.keep(edges.filter("ordinal > 0").drop("ordinal"))
+    first = scratch.keep(edges.filter("ordinal = 0").drop("ordinal"))
+    jumps = [first]
+    times, rows = scratch.append("times", commits.select(*keys, F.col(time).cast("long").alias("_time")))
+    limits = rows.agg(F.max("_time").alias("latest"), F.count(F.lit(1)).alias("n")).first()
+
+    def rise(times, edges, generations):
+        """Moves commits behind the targets of their edges; the times, and how many moved."""
+        now = times.groupBy(*keys).agg(F.max("_time").alias("_time"))
+        targets = now.select(*by, F.col("commit_id").alias("target"), (F.col("_time") + generations).alias("_due"))
+        due = edges.join(targets, [*by, "target"]).groupBy(*by, "node").agg(F.max("_due").alias("_due"))
+        late = due.withColumnRenamed("node", "commit_id").join(now, keys).filter("_due > _time")
+        times, moved = scratch.append("times", late.select(*keys, F.col("_due").alias("_time")))
+        found = moved.agg(F.count(F.lit(1)).alias("n"), F.max("_time").alias("latest")).first()
+        if found["n"] and found["latest"] > limits["latest"] + limits["n"]:
+            raise RuntimeError("times rise without end; the parents table has a cycle")
+        return times, found["n"]
+
+    while True:
+        for k in range(MAX_DOUBLINGS):
+            if k == len(jumps):
+                jumps.append(scratch.keep(_twice(jumps[-1], by)))
+            times, moved = rise(times, jumps[k], 1 << k)
+            if not moved:
+                break
+        times, moved = rise(times, others, 1)
+        if not moved:
+            break
+    for table in (*jumps, others):
+        scratch.drop(table)
+    final = times.groupBy(*keys).agg(F.max("_time").alias("_time"))
+    ordered = positions(final, by, [F.desc("_time"), F.asc("commit_id")], "walk_pos", scratch)
+    return ordered.select(*by, "commit_id", (F.col("walk_pos") - 1).alias("walk_pos"))

@@ -8,7 +8,7 @@ history inside one task.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.operators.lineage import cut_lineage
+from annalist.operators.lineage import Scratch
 
 OTHERS = "Others"
 
@@ -36,16 +36,17 @@ def top_rows(df: DataFrame, by, order, limit: int, rank: str = "rank") -> DataFr
     return numbered.filter(F.col(rank) <= limit)
 
 
-def positions(df: DataFrame, by, order, name: str = "rank") -> DataFrame:
+def positions(df: DataFrame, by, order, name: str = "rank", scratch: Scratch | None = None) -> DataFrame:
     """Exact row numbers from 1 over groups of any size.
 
     The rows are range-partitioned by group and order, so one large group spreads over
     many tasks; row numbers inside a slice are shifted by the rows in earlier slices.
-    The slices are written out because both uses must see the same cut.
+    The slices are written out because both uses must see the same cut; ``scratch`` owns
+    the written table.
     """
-    by = list(by)
+    by, scratch = list(by), scratch or Scratch(df.sparkSession)
     keys = [F.col(c) for c in by]
-    sliced = cut_lineage(
+    sliced = scratch.keep(
         df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
     )
     sizes = sliced.groupBy(*by, "_slice").count()

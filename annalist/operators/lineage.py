@@ -45,6 +45,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/annalist-{uuid.uuid4().hex}"
         self.paths = {}
+        self.appended = {}
 
     def counted(self, df: DataFrame) -> tuple:
         """The table read back, and its number of rows."""
@@ -58,6 +59,14 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         return self.counted(df)[0]
 
+    def append(self, name: str, df: DataFrame) -> tuple:
+        """Adds rows to the table ``name``; the whole table and the added rows, both read back."""
+        parts = f"{self.folder}/{name}"
+        number = self.appended[name] = self.appended.get(name, 0) + 1
+        df.write.parquet(f"{parts}/part={number}")
+        read = self.spark.read.schema(df.schema)
+        return read.option("recursiveFileLookup", True).parquet(parts), read.parquet(f"{parts}/part={number}")
+
     def drop(self, table: DataFrame) -> None:
         for path, kept in self.paths.items():
             if kept is table:
@@ -76,12 +85,3 @@ class Scratch:
 
     def __exit__(self, *_):
         self.release()
-
-
-def cut_lineage_counted(df: DataFrame) -> tuple:
-    """``Scratch.counted`` of a single table that stays until the folder is cleaned."""
-    return Scratch(df.sparkSession).counted(df)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    return cut_lineage_counted(df)[0]
