@@ -6,7 +6,8 @@ gaps and multiples then work on integers; labels are made last.
 Kinds that end on their label (``W``, ``M``, ``Q``, ``Y``, ``BM``, ``BQ``, ``BY``)
 carry the last day of the period, all others carry the start. A multiple such as
 ``2W`` is anchored at the first period that holds data; clock multiples such as
-``5H`` are anchored at midnight of the first day.
+``5H`` are anchored at midnight of the first day. Days and clock units may be combined,
+as in ``1D12H`` or ``1h30min``.
 """
 
 import re
@@ -28,6 +29,8 @@ SPELLINGS = {
     "week": ("W",),
     "month_end": ("M", "ME", "m"),
     "month_start": ("MS",),
+    "half_month_last": ("SM", "SME"),
+    "half_month_first": ("SMS",),
     "quarter_end": ("Q", "QE"),
     "quarter_start": ("QS",),
     "year_end": ("Y", "YE", "A"),
@@ -48,6 +51,7 @@ CLOCK_SECONDS = {"hour": 3600, "minute": 60, "second": 1}
 MONTHS_PER = {"month": 1, "quarter": 3, "year": 12}
 
 ALIAS = re.compile(r"(\d*)([A-Za-z]+)(?:-([A-Z]{3}))?")
+COMBINED = re.compile(r"(\d*)(D|H|h|T|min|S|s)")
 
 
 def _month_number(date: Column) -> Column:
@@ -81,6 +85,8 @@ class Sampling:
 
     @classmethod
     def parse(cls, alias: str) -> "Sampling":
+        if re.fullmatch(f"(?:{COMBINED.pattern}){{2,}}", alias) and len(COMBINED.findall(alias)) > 1:
+            return cls._combined(alias)
         match = ALIAS.fullmatch(alias)
         kind = KIND_OF.get(match.group(2)) if match else None
         if kind is None:
@@ -92,6 +98,17 @@ class Sampling:
             raise ValueError(f"unsupported sampling alias: {alias!r}")
         return cls(alias, kind, multiple, anchor)
 
+    @classmethod
+    def _combined(cls, alias: str) -> "Sampling":
+        """A sum of days and clock units, in the largest clock unit that divides it."""
+        seconds = 0
+        for count, unit in COMBINED.findall(alias):
+            seconds += int(count or 1) * CLOCK_SECONDS.get(KIND_OF[unit], S.DAY_SECONDS)
+        kind = next(k for k, size in CLOCK_SECONDS.items() if seconds % size == 0)
+        if not seconds:
+            raise ValueError(f"unsupported sampling alias: {alias!r}")
+        return cls(alias, kind, seconds // CLOCK_SECONDS[kind], None)
+
     @property
     def is_clock(self) -> bool:
         """Shorter than a day, so day rollups cannot serve it."""
@@ -134,6 +151,11 @@ class Sampling:
             return -S.integer_div(-(day - self._week_anchor_day), 7)
         date = S.day_to_date(day)
         number = _month_number(date)
+        if self.kind == "half_month_first":
+            return number * 2 + (F.day(date) >= 15).cast("long")
+        if self.kind == "half_month_last":
+            # from the 15th, from the last day, and before the 15th still from the last day of the month before
+            return number * 2 + F.when(date == F.last_day(date), 1).when(F.day(date) >= 15, 0).otherwise(-1)
         if self._is_business() and self.ends_on_label:
             # days after the last business day open the next month
             number = number + F.when(date > _last_business_day(date), F.lit(1)).otherwise(F.lit(0))
@@ -159,6 +181,12 @@ class Sampling:
             return S.day_to_date(S.integer_div(index, 5) * 7 + F.pmod(index, F.lit(5)) - 3)
         if self.kind == "week":
             return S.day_to_date(index * 7 + self._week_anchor_day)
+        if self.kind.startswith("half_month"):
+            first, odd = _month_first(S.integer_div(index, 2)), F.pmod(index, F.lit(2)) == 1
+            middle = F.date_add(first, 14)
+            if self.kind == "half_month_first":
+                return F.when(odd, middle).otherwise(first)
+            return F.when(odd, F.last_day(first)).otherwise(middle)
         first_month = index * self._span_months + self._phase_months
         if self.ends_on_label:
             last_month = _month_first(first_month + (self._span_months - 1))

@@ -1,5 +1,7 @@
 """Commit activity: totals, distributions over calendar, zone, domain and duration, series."""
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,13 +102,19 @@ def domains_with_others(commits: DataFrame, max_domains: int = 10, by=()) -> Dat
     return fold_others(counted, kept, by, "domain", "commits_count")
 
 
-def recent_weeks(commits: DataFrame, as_of, weeks: int = 32, by=()) -> DataFrame:
+def _histories(commits, by, histories):
+    """One row per history: of the small table given, else of all commits."""
+    return (commits if histories is None else histories).select(*by).distinct()
+
+
+def recent_weeks(commits: DataFrame, as_of, weeks: int = 32, by=(), histories: DataFrame | None = None) -> DataFrame:
     """Commits in each of the last ``weeks`` weeks, oldest first.
 
     Weeks are open at their first and closed at their last instant and end on Sunday
     00:00 UTC: the coming Sunday, or a week later when ``as_of`` is a Sunday. Commits
     older than Monday's time of day ``weeks`` weeks before the coming Monday are left
-    out, which trims the oldest week.
+    out, which trims the oldest week. ``histories`` may list the repositories (or be a rollup);
+    without it they are looked up in all commits.
     """
     if weeks < 1:
         raise ValueError("weeks must be positive")
@@ -128,7 +136,7 @@ def recent_weeks(commits: DataFrame, as_of, weeks: int = 32, by=()) -> DataFrame
     )
     ago = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(weeks - 1).cast("long"))).alias("weeks_ago")
     if by:
-        spine = commits.select(*by).distinct().select(*by, ago)
+        spine = _histories(commits, by, histories).select(*by, ago)
     else:
         spine = commits.sparkSession.range(weeks).select(F.col("id").alias("weeks_ago"))
     end = F.lit(last_edge) - F.col("weeks_ago") * week
@@ -233,20 +241,29 @@ def commit_history(commits: DataFrame, sampling: str = "W", by=()) -> DataFrame:
     return T.labelled(filled, sample, by).orderBy(*by, "period")
 
 
-def months_of_current_year(commits: DataFrame, as_of, by=()) -> DataFrame:
-    """Commits per month of the year of ``as_of``, months outside the history with 0."""
+def months_of_current_year(commits: DataFrame, as_of, by=(), histories: DataFrame | None = None) -> DataFrame:
+    """Commits per month of the year of ``as_of``, months outside the history with 0.
+
+    The year's bounds are filters on the plain time or day column, so they reach the scan.
+    ``histories`` as in :func:`recent_weeks`.
+    """
     by = list(by)
-    year = F.year(S.utc_date(F.lit(S.epoch_seconds(as_of))))
-    rows = facts(commits, by)
-    date = S.day_to_date("day")
+    current = dt.datetime.fromtimestamp(S.epoch_seconds(as_of), dt.timezone.utc).year
+    year = F.lit(current)
+    first, end = ((dt.date(y, 1, 1) - dt.date(1970, 1, 1)).days for y in (current, current + 1))
+    if is_rollup(commits):
+        inside = commits.filter((F.col("day") >= first) & (F.col("day") < end))
+    else:
+        time = F.col("author_timestamp")
+        inside = commits.filter((time >= first * S.DAY_SECONDS) & (time < end * S.DAY_SECONDS))
     counted = (
-        rows.filter(F.year(date) == year)
-        .groupBy(*by, F.month(date).alias("month"))
+        facts(inside, by)
+        .groupBy(*by, F.month(S.day_to_date("day")).alias("month"))
         .agg(F.sum("commits_count").alias("commits_count"))
     )
     twelve = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")
     if by:
-        spine = rows.select(*by).distinct().select(*by, twelve)
+        spine = _histories(commits, by, histories).select(*by, twelve)
     else:
         spine = commits.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
     return (

@@ -219,9 +219,6 @@ def top_author_history(
         # the list grows with the histories, so the join may shuffle: sum up first
         rows = rows.groupBy(*by, "author_name", index.alias("_single")).agg(*[F.sum(m).alias(m) for m in measures])
         index = F.col("_single")
-    else:
-        # max_authors rows at most
-        kept = F.broadcast(kept)
     # rank is NULL in the folded line, and join keys must be comparable
     named = name_others(rows, kept, by, "author_name").fillna(0, subset=["rank"])
     labels = ["author_name", "is_others", "rank"]

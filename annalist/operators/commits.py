@@ -109,8 +109,10 @@ def blame(
     """Lines of a revision per file, committer and time.
 
     A commit without a usable committer is credited to its author. Binary files and
-    submodules are left out. Lines are summed per file and commit before any join, so an
-    initial import that owns a third of all lines arrives as one row per file.
+    submodules are left out. Lines of commits that ``raw_commits`` lacks (shallow clones, the
+    log of another revision) stay, under the placeholder name and without a time. Lines are
+    summed per file and commit before any join, so an initial import that owns a third of all
+    lines arrives as one row per file.
     """
     by = list(by)
     lines = blame_lines
@@ -141,8 +143,8 @@ def blame(
     if mailmap is not None:
         people = resolve_identities(people, mailmap, "committer_name", "committer_email", by)
     return (
-        owned.join(people, [*by, "commit_id"])
-        .groupBy(*by, "filepath", "committer_name", "timestamp")
+        owned.join(people, [*by, "commit_id"], "left")
+        .groupBy(*by, "filepath", F.coalesce("committer_name", F.lit(S.EMPTY_NAME)).alias("committer_name"), "timestamp")
         .agg(F.sum("lines_count").alias("lines_count"))
     )
 

@@ -26,6 +26,12 @@ def contribution_with_others(blame: DataFrame, max_authors: int = 10, by=()) ->
     return fold_others(summed, kept, by, "committer_name", "lines_count")
 
 
+def unknown_lines(blame: DataFrame, by=()) -> DataFrame:
+    """Lines whose commit is not in the commit log: they have no time."""
+    unknown = F.sum(F.when(F.col("timestamp").isNull(), F.col("lines_count")))
+    return blame.groupBy(*by).agg(F.coalesce(unknown, F.lit(0)).alias("unknown_lines_count"))
+
+
 def committers_per_file(blame: DataFrame, by=(), approximate: bool = False) -> DataFrame:
     """Distinct committers of every file; ``approximate`` trades exactness for a sketch."""
     count = F.approx_count_distinct if approximate else F.count_distinct
@@ -46,8 +52,8 @@ def monoauthor_files(blame: DataFrame, by=()) -> DataFrame:
 
 def lost_knowledge(blame: DataFrame, as_of, months: int = 6, by=()) -> DataFrame:
     """Share of lines last changed more than ``months`` months before ``as_of`` (0 to 1,
-    NULL without lines)."""
-    known = F.col("timestamp") >= S.months_before(as_of, months)
+    NULL without lines). Lines without a time, whose commit is unknown, count as forgotten."""
+    known = F.coalesce(F.col("timestamp") >= S.months_before(as_of, months), F.lit(False))
     sums = blame.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(~known, F.col("lines_count"))), F.lit(0)).alias("forgotten_lines_count"),
         F.coalesce(F.sum("lines_count"), F.lit(0)).alias("total_lines_count"),

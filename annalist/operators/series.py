@@ -36,14 +36,14 @@ def calendar(series: DataFrame, sampling: Sampling, by, labels=None) -> DataFram
     """
     by = list(by)
     # the maxima read every column of the series, so that Spark finds the same shuffle here
-    # and on the other side of the join and runs it once
+    # and on the other side of the join and runs it once; the condition on them always holds
     rest = [c for c in series.columns if c not in (*by, *(labels or []), "_index")]
-    some = F.coalesce(*[F.max(c).cast("string") for c in rest]).alias("_some")
-    span = [F.min("_index").alias("_from"), F.max("_index").alias("_to"), some]
+    some = F.concat_ws("", *[F.max(c).cast("string") for c in rest]) if rest else F.lit("")
+    span = [F.min("_index").alias("_from"), F.max("_index").alias("_to"), some.alias("_some")]
     if labels:
         span.append(F.collect_set(F.struct(*labels)).alias("_labels"))
     step = F.lit(sampling.multiple).cast("long")
-    blocks = series.groupBy(*by).agg(*span).filter(F.col("_from").isNotNull() & F.col("_some").isNotNull())
+    blocks = series.groupBy(*by).agg(*span).filter(F.col("_from").isNotNull() & (F.length("_some") >= 0))
     if labels:
         blocks = blocks.withColumn("_label", F.explode("_labels")).select(
             *by, "_from", "_to", *[F.col(f"_label.{c}").alias(c) for c in labels]

@@ -119,7 +119,7 @@ def report_tables(history: History, as_of, options: Options = Options(), days: D
     cells = activity.weekday_hours(commits, by)
     tables = {
         "general": general(history, facts),
-        "recent_weeks": activity.recent_weeks(commits, as_of, options.recent_weeks, by),
+        "recent_weeks": activity.recent_weeks(commits, as_of, options.recent_weeks, by, histories=facts),
         "months_of_current_year": activity.months_of_current_year(facts, as_of, by),
         "years": activity.commit_history(facts, "Y", by),
         "years_and_months": activity.years_and_months(facts, by),

@@ -1,8 +1,9 @@
 """Readers of the text exports that ``tools/export_history.sh`` makes with stock git.
 
 Every line is a record of its own, so the files split and no record grows with a commit.
-A path may name many repositories (``exports/*/log.txt``); the folder names the repository
-unless ``repo_id`` is given.
+``parse_*`` take lines as a DataFrame ``(repo_id, value)``, from wherever they come; ``read_*``
+read them from text files. A path may name many repositories (``exports/*/log.txt``); the
+folder names the repository unless ``repo_id`` is given.
 """
 
 from typing import NamedTuple
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 SEPARATOR = "\x1f"
 
 
+#: git's escapes in quoted paths, letters for some control characters, octal for others
+ESCAPES = [('\\"', '"'), ("\\a", "\a"), ("\\b", "\b"), ("\\t", "\t"), ("\\n", "\n"), ("\\v", "\v"), ("\\f", "\f"), ("\\r", "\r")]
+ESCAPES += [(f"\\{code:03o}", chr(code)) for code in (*range(1, 32), 127)]
+
+
 class CommitLog(NamedTuple):
     commits: DataFrame
     parents: DataFrame
@@ -25,14 +31,16 @@ class Tree(NamedTuple):
     submodules: DataFrame
 
 
-def _lines(spark, path, repo_id):
+def read_lines(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
+    """``repo_id, value`` for every line of text files."""
     text = spark.read.option("lineSep", "\n").text(path)
-    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
-    return text.select(
-        (F.lit(repo_id) if repo_id is not None else folder).alias("repo_id"),
-        "value",
-        F.split("value", SEPARATOR, -1).alias("part"),
-    )
+    # the path is URI-encoded, where a plus sign stands for itself
+    folder = F.element_at(F.split(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")), "/"), -2)
+    return text.select((F.lit(repo_id) if repo_id is not None else F.url_decode(folder)).alias("repo_id"), "value")
+
+
+def _split(lines):
+    return lines.select("repo_id", "value", F.split("value", SEPARATOR, -1).alias("part"))
 
 
 def _part(index, kind="string"):
@@ -44,10 +52,10 @@ def _text(value):
 
 
 def unquoted_path(path):
-    """Undo git's quoting of paths with quotes, backslashes, tabs or newlines."""
-    backslash = "\x00"
+    """Undo git's quoting of paths with quotes, backslashes or control characters."""
+    backslash = "\x00"  # no path holds it
     inner = F.replace(F.substr(path, F.lit(2), F.length(path) - 2), F.lit("\\\\"), F.lit(backslash))
-    for escaped, plain in (('\\"', '"'), ("\\t", "\t"), ("\\n", "\n"), (backslash, "\\")):
+    for escaped, plain in (*ESCAPES, (backslash, "\\")):
         inner = F.replace(inner, F.lit(escaped), F.lit(plain))
     return F.when(path.startswith('"') & path.endswith('"') & (F.length(path) > 1), inner).otherwise(path)
 
@@ -58,8 +66,13 @@ def _minutes(offset):
 
 
 def read_commit_log(spark: SparkSession, path: str, repo_id: str | None = None) -> CommitLog:
-    """Commits, parents, changed files and created or removed files of ``log.txt``."""
-    lines = _lines(spark, path, repo_id)
+    """``parse_commit_log`` of ``log.txt``."""
+    return parse_commit_log(read_lines(spark, path, repo_id))
+
+
+def parse_commit_log(lines: DataFrame) -> CommitLog:
+    """Commits, parents, changed files and created or removed files."""
+    lines = _split(lines)
 
     def tagged(tag):
         return lines.filter(F.col("value").startswith(tag + SEPARATOR))
@@ -97,8 +110,13 @@ def read_commit_log(spark: SparkSession, path: str, repo_id: str | None = None)
 
 
 def read_tree(spark: SparkSession, path: str, repo_id: str | None = None) -> Tree:
-    """File listing (submodules left out) and submodule paths of ``tree.txt``."""
-    lines = _lines(spark, path, repo_id)
+    """``parse_tree`` of ``tree.txt``."""
+    return parse_tree(read_lines(spark, path, repo_id))
+
+
+def parse_tree(lines: DataFrame) -> Tree:
+    """File listing (submodules left out) and submodule paths."""
+    lines = _split(lines)
     entries = lines.filter(F.col("value").startswith("T" + SEPARATOR)).select(
         "repo_id",
         _part(1).alias("revision"),
@@ -126,8 +144,13 @@ def read_tree(spark: SparkSession, path: str, repo_id: str | None = None) -> Tre
 
 
 def read_blame(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
-    """Runs of lines with the commit that last changed them, from ``blame.txt``."""
-    return _lines(spark, path, repo_id).select(
+    """``parse_blame`` of ``blame.txt``."""
+    return parse_blame(read_lines(spark, path, repo_id))
+
+
+def parse_blame(lines: DataFrame) -> DataFrame:
+    """Runs of lines with the commit that last changed them."""
+    return _split(lines).select(
         "repo_id",
         _part(0).alias("revision"),
         unquoted_path(_part(1)).alias("filepath"),
@@ -137,12 +160,17 @@ def read_blame(spark: SparkSession, path: str, repo_id: str | None = None) -> Da
 
 
 def read_tag_refs(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
-    """Tag references of ``refs.txt``. Annotated tags bring name, tagger and time; lightweight
-    ones their reference name only. Other references are left out."""
+    """``parse_tag_refs`` of ``refs.txt``."""
+    return parse_tag_refs(read_lines(spark, path, repo_id))
+
+
+def parse_tag_refs(lines: DataFrame) -> DataFrame:
+    """Tag references. Annotated tags bring name, tagger and time; lightweight ones their
+    reference name only. Other references are left out."""
     annotated = _part(2) == "tag"
-    name = F.substring(_part(1), len("refs/tags/") + 1, 1_000_000)
+    name = F.substr(_part(1), F.lit(len("refs/tags/") + 1))
     return (
-        _lines(spark, path, repo_id)
+        _split(lines)
         .filter(_part(1).startswith("refs/tags/"))
         .select(
             "repo_id",
@@ -157,7 +185,13 @@ def read_tag_refs(spark: SparkSession, path: str, repo_id: str | None = None) ->
 
 
 def read_mailmap(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
-    """Rules of a mailmap file in its four line forms::
+    """``parse_mailmap`` of a mailmap file; rules come in the order of its lines."""
+    lines = read_lines(spark, path, repo_id)
+    return parse_mailmap(lines.withColumn("rule_order", F.monotonically_increasing_id()))
+
+
+def parse_mailmap(lines: DataFrame) -> DataFrame:
+    """Mailmap rules ``(repo_id, value, rule_order)`` in their four line forms::
 
         Proper Name <commit@email>
         <proper@email> <commit@email>
@@ -171,9 +205,7 @@ def read_mailmap(spark: SparkSession, path: str, repo_id: str | None = None) ->
 
     two = group(4) != ""
     return (
-        _lines(spark, path, repo_id)
-        .withColumn("rule_order", F.monotonically_increasing_id())
-        .filter(~F.ltrim("value").startswith("#") & F.col("value").rlike(form))
+        lines.filter(~F.ltrim("value").startswith("#") & F.col("value").rlike(form))
         .select(
             "repo_id",
             _text(group(1)).alias("canonical_name"),

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from annalist import schemas as T
 from annalist.operators import graph
 from annalist.operators.grouping import positions
+from annalist.operators.lineage import Scratch
 
 
 def parents(spark, edges, repo="r"):
@@ -96,6 +98,40 @@ def test_topological_order_keeps_good_clocks(spark):
     assert sorted(rows(graph.topological_order(commits, table, time="t"))) == [("a", 0), ("b", 2), ("c", 1)]
 
 
+def test_topological_order_of_a_long_line_with_one_clock(spark):
+    """20,000 generations, all in the same second."""
+    line = spark.range(20_000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("commit_id"), F.lit(5).alias("t"))
+    table = line.select("commit_id", F.lpad((F.col("commit_id").cast("long") + 1).cast("string"), 6, "0").alias("parent_id"), F.lit(0).alias("ordinal"))
+    with Scratch(spark) as scratch:
+        order = graph.topological_order(line, table.filter("parent_id < '020000'"), time="t", scratch=scratch)
+        assert order.filter(F.col("walk_pos") != F.col("commit_id").cast("long")).count() == 0
+        assert order.count() == 20_000
+
+
+@pytest.mark.parametrize("ordinals", [(0, 0), (0, 1), (1, 1)])
+def test_topological_order_notices_cycles(spark, ordinals):
+    commits = spark.createDataFrame([("a", 1), ("b", 1), ("c", 9)], "commit_id string, t long")
+    with pytest.raises(RuntimeError):
+        graph.topological_order(commits, parents(spark, [("a", "b", ordinals[0]), ("b", "a", ordinals[1])]).drop("repo_id"), time="t")
+
+
+def test_owned_tables_are_deleted(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    edges = parents(spark, [("M", "A", 0), ("M", "B", 1), ("B", "A", 0)])
+    commits = spark.createDataFrame([("M", 1), ("A", 1), ("B", 1)], "commit_id string, t long")
+    with Scratch(spark) as scratch:
+        jobs = [
+            graph.first_parent_chain(edges, heads(spark, "M"), scratch=scratch),
+            graph.reachable(edges, heads(spark, "M"), scratch=scratch),
+            graph.topological_order(commits, edges, time="t", scratch=scratch),
+            positions(commits, [], [F.desc("t")], scratch=scratch),
+        ]
+        assert [job.count() for job in jobs] == [2, 3, 3, 3]
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
+
+
 def test_positions_of_one_crowded_group(spark):
     """One group holds most rows; its positions come from several slices."""
     df = spark.range(5000).select(

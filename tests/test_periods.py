@@ -10,13 +10,15 @@ from annalist.functions.periods import Sampling
 from annalist.operators import activity
 
 ALIASES = (
-    "D 3D B W W-WED 2W 3W-MON M 2M MS 3MS Q Q-NOV 2Q QS QS-FEB Y YE-MAR YS 2Y BM BMS BQ BQS BY BYS H 5H 90min 7H"
+    "D 3D B W W-WED 2W 3W-MON M 2M MS 3MS Q Q-NOV 2Q QS QS-FEB Y YE-MAR YS 2Y BM BMS BQ BQS BY BYS H 5H 90min 7H "
+    "SM 2SM SMS 3SMS 1D12H 1h30min 2H15min"
 ).split()
 
 
 def expected_series(times, alias):
     modern = {"M": "ME", "2M": "2ME", "Q": "QE", "Q-NOV": "QE-NOV", "2Q": "2QE", "Y": "YE", "2Y": "2YE"}
     modern.update({"BM": "BME", "BQ": "BQE", "BY": "BYE", "H": "h", "5H": "5h", "7H": "7h"})
+    modern.update({"SM": "SME", "2SM": "2SME", "1D12H": "36h", "1h30min": "90min", "2H15min": "135min"})
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         frame = pd.Series(1, index=pd.to_datetime(times, unit="s"))
@@ -36,7 +38,7 @@ def test_series_equal_calendar_resampling(spark, alias):
     assert found == expected_series(times, alias)
 
 
-@pytest.mark.parametrize("alias", ["", "X", "W-XXX", "M-MON", "0D", "SM", "2", "W2"])
+@pytest.mark.parametrize("alias", ["", "X", "W-XXX", "M-MON", "0D", "0D0H", "DX", "1D2W", "2", "W2"])
 def test_other_aliases_are_refused(alias):
     with pytest.raises(ValueError):
         Sampling.parse(alias)

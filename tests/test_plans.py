@@ -7,14 +7,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
+import contract.queries as contract
 from annalist import schemas as T
 from annalist.operators import activity, authors
 
 SF_DIR = "/root/testdata/sf0.001"
 # these run jobs while the plan is built
-LOOPS = {"first_parent", "reachable", "topological_order", "linear_history_from_parents"}
-QUERIES = sorted(set(contract.queries()) - LOOPS)
+LOOPS = {"first_parent", "reachable", "topological_order", "topological_order_equal_clocks", "linear_history_from_parents"}
+QUERIES = sorted(set(contract.QUERIES) - LOOPS)
 
 
 def plan_of(df):
@@ -46,7 +46,7 @@ def test_the_check_notices_a_window_over_all_rows(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 @pytest.mark.parametrize("name", QUERIES)
 def test_no_python_no_pairs_no_global_window_over_rows(unbroadcast, name):
-    plan = plan_of(contract.queries()[name](unbroadcast, SF_DIR))
+    plan = plan_of(contract.QUERIES[name](unbroadcast, SF_DIR))
     for operator in ("EvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in plan
     # a window without partitions may only see aggregated, limited or laid-out small rows
