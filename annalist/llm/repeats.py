@@ -28,7 +28,8 @@ from annalist.llm.common import once_per_process, record_batch, small_batches
 from annalist.operators.lineage import Scratch
 
 GRAM, SPREAD = 16, 128
-#: cores with up to this many different words are compared in one task, others by a shuffle of windows
+#: up to this many different words of a core are compared in one task; of more crowded cores
+#: the windows are dealt to buckets of about as many words' windows
 TOGETHER = 1024
 
 TRIGGERS = pa.schema([("core", pa.int64()), ("word", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
@@ -173,26 +174,106 @@ def _compare_words(length: int):
 SPANS = pa.schema([("text_id", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
 
-def _spread_windows(length: int):
-    names = ["core", "hash", "text_id", "place", "occurrences"]
+DEALT = pa.schema([("core", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("text_ids", pa.binary()), ("places", pa.binary()), ("asks", pa.binary())])
+#: bucket of windows that are known to be repeated
+SETTLED = -1
+#: windows that a task gathers before it hands them on
+GATHERED = 200_000
+
+
+def _packed(core, bucket, hashes, texts, places, asks):
+    """One row for each (core, bucket) of arrays sorted by them."""
+    edges = np.flatnonzero(np.append(True, (np.diff(core) != 0) | (np.diff(bucket) != 0)))
+    cuts = list(zip(edges.tolist(), [*edges[1:].tolist(), len(core)]))
+    binary = [[x[i:j].tobytes() for i, j in cuts] for x in (hashes, texts, places, asks)]
+    return record_batch(DEALT, core[edges], bucket[edges], *binary)
+
+
+def _deal_windows(length: int):
+    """Windows of the words of crowded cores, dealt to buckets by their hash.
+
+    Equal windows meet within the task first: they are settled, and one of them stands for
+    all from there on. A window that most texts share thus goes on once for each task.
+    """
+
+    def hand_on(words):
+        count = [len(w[5]) for w in words]
+        core, text, low, once, buckets = (np.repeat(np.array(c, np.int64), count) for c in zip(*[w[:5] for w in words]))
+        hashes = np.concatenate([np.array(w[5], np.uint64) for w in words])
+        place = (low + np.concatenate([np.arange(c) for c in count])).astype(np.int32)
+        asks = once.astype(bool)
+        bucket = (hashes % buckets.astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((hashes, bucket, core))
+        core, bucket, hashes, text, place, asks = (x[order] for x in (core, bucket, hashes, text, place, asks))
+        same = (np.diff(core) == 0) & (np.diff(hashes) == 0)
+        again = np.append(False, same)
+        equal = again | np.append(same, False)
+        if (known := equal & asks).any():
+            yield _packed(core[known], np.full(known.sum(), SETTLED), hashes[known], text[known], place[known], asks[known])
+        asks = asks & ~equal
+        first = ~again
+        yield _packed(*(x[first] for x in (core, bucket, hashes, text, place, asks)))
 
     def run(batches):
+        words, gathered = [], 0
         for batch in small_batches(batches):
-            out = [[] for _ in names]
-            columns = [batch.column(n).to_pylist() for n in ("core", "text_id", "low", "occurrences", "bytes")]
-            for core, text_id, low, occurrences, data in zip(*columns):
+            columns = [batch.column(n).to_pylist() for n in ("core", "text_id", "low", "occurrences", "variants", "bytes")]
+            for core, text_id, low, occurrences, variants, data in zip(*columns):
                 hashes = _windows(data, length)
-                out[0].extend([core] * len(hashes))
-                out[1].extend([h - (1 << 63) for h in hashes])
-                out[2].extend([text_id] * len(hashes))
-                out[3].extend(range(low, low + len(hashes)))
-                out[4].extend([occurrences] * len(hashes))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                words.append((core, text_id, low, occurrences == 1, -(-variants // TOGETHER), hashes))
+                gathered += len(hashes)
+            if gathered >= GATHERED:
+                yield from hand_on(words)
+                words, gathered = [], 0
+        if words:
+            yield from hand_on(words)
 
     return run
 
 
+def _spans_of(text, place):
+    """Rows of runs of consecutive places of one text."""
+    order = np.lexsort((place, text))
+    text, place = text[order], place[order].astype(np.int64)
+    starts = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(place) > 1)))
+    stops = np.append(starts[1:], len(text)) - 1
+    return record_batch(SPANS, text[starts], place[starts].astype(np.int32), place[stops].astype(np.int32))
+
+
+def _arrays(batch):
+    kinds = (("hashes", np.uint64), ("text_ids", np.int64), ("places", np.int32), ("asks", bool))
+    return [[np.frombuffer(x, kind) for x in batch.column(name).to_pylist()] for name, kind in kinds]
+
+
+def _settled_spans(batches):
+    for batch in small_batches(batches):
+        _, texts, places, _ = _arrays(batch)
+        yield _spans_of(np.concatenate(texts), np.concatenate(places))
+
+
+def _compare_windows(batches):
+    """Repeated windows among those that ask, from rows sorted by core and bucket."""
+
+    def settle(rows):
+        hashes, texts, places, asks = (np.concatenate(c) for c in zip(*rows))
+        found, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        hit = asks & (count[which] > 1)
+        if hit.any():
+            yield _spans_of(texts[hit], places[hit])
+
+    key, rows = None, []
+    for batch in batches:
+        arrays = _arrays(batch)
+        for here, *row in zip(zip(batch.column("core").to_pylist(), batch.column("bucket").to_pylist()), *arrays):
+            if here != key:
+                if rows:
+                    yield from settle(rows)
+                key, rows = here, []
+            rows.append(row)
+    if rows:
+        yield from settle(rows)
+
+
 KEPT = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
 
@@ -251,8 +332,10 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
     copies of each other, whatever their keys, so long ones lose everything. Keys may be
     NULL or repeated; other columns are not read. ``length`` is at least 256.
 
-    Texts are known by their 64-bit hash and go through one shuffle, which both the
-    comparison and the removal read (so both take the same columns of it). Copies are combined before shuffles.
+    Words of a core are compared in one task up to ``TOGETHER``; beyond that their windows are
+    dealt to buckets by hash, after equal ones have met within each task. Texts are known by
+    their 64-bit hash and go through one shuffle, which both the comparison and the removal
+    read (so both take the same columns of it). Copies are combined before shuffles.
     """
     if length < 2 * SPREAD:
         raise ValueError(f"length must be at least {2 * SPREAD}")
@@ -280,13 +363,12 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
     words = scratch.keep(dealt.select("text_id", "text", "words", "row").mapInArrow(_cut_words(length), schema))
     few = words.filter(F.col("variants") <= TOGETHER).repartition("core").sortWithinPartitions("core")
     found = few.mapInArrow(_compare_words(length), "text_id bigint, low int, high int")
-    many = words.filter(F.col("variants") > TOGETHER).mapInArrow(
-        _spread_windows(length), "core bigint, hash bigint, text_id bigint, place int, occurrences bigint"
-    )
-    many = scratch.keep(many)
-    twice = many.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core", "hash")
-    single = many.filter("occurrences = 1").join(twice, ["core", "hash"])
-    spans = whole.unionByName(found).unionByName(single.select("text_id", F.col("place").alias("low"), F.col("place").alias("high")))
+    dealt = "core bigint, bucket bigint, hashes binary, text_ids binary, places binary, asks binary"
+    many = scratch.keep(words.filter(F.col("variants") > TOGETHER).mapInArrow(_deal_windows(length), dealt))
+    span = "text_id bigint, low int, high int"
+    settled = many.filter(F.col("bucket") == SETTLED).mapInArrow(_settled_spans, span)
+    met = many.filter(F.col("bucket") != SETTLED).repartition("core", "bucket").sortWithinPartitions("core", "bucket")
+    spans = whole.unionByName(found).unionByName(settled).unionByName(met.mapInArrow(_compare_windows, span))
     ranges = spans.groupBy("text_id").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     kinds = texts.schema
     out = texts.join(ranges, "text_id", "left").select("doc", "text_id", "text", "row", "ranges").mapInArrow(

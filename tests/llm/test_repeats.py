@@ -31,9 +31,10 @@ def found(docs, scratch, length):
     return sorted(((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("together", [64, 0])
+@pytest.mark.parametrize("together", [1024, 1, 3])
 def test_against_brute_force(spark, scratch, together, monkeypatch):
     monkeypatch.setattr(repeats, "TOGETHER", together)
+    monkeypatch.setattr(repeats, "GATHERED", 500)
     chance = random.Random(1)
     text = lambda n: "".join(chance.choice("abcdefgh é") for _ in range(n))
     passages = [text(n) for n in (255, 256, 257, 300, 500, 900)]
