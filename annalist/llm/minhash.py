@@ -316,8 +316,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     chosen = inside.join(sets, "set_id").select(F.col("least_key").alias("_chosen")).distinct()
     whole = shingle_sets(source.join(chosen, source._key.eqNullSafe(chosen._chosen), "left_semi"), "_text", width)
-    whole = inside.join(whole, "set_id").join(pivots, "cluster").groupBy("cluster", "set_id", "pivot", "size").agg(F.first("shingles").alias("shingles"))
-    whole = scratch.keep(whole)
+    # one row for each set before the join by cluster, which can then split crowded clusters
+    whole = whole.join(inside, "set_id").groupBy("set_id").agg(F.first("cluster").alias("cluster"), F.first("shingles").alias("shingles"))
+    whole = scratch.keep(whole.join(scratch.keep(pivots), "cluster"))
     pivot_sets = whole.filter("set_id = pivot").select("cluster", F.col("shingles").alias("pivot_shingles"))
     tested = whole.join(pivot_sets, "cluster").withColumn("linked", _is_link(percent)("shingles", "pivot_shingles"))
     tested = scratch.keep(tested.select("cluster", "set_id", "pivot", "size", "linked"))
