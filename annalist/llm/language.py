@@ -7,10 +7,10 @@ It is trained here, in numpy, by back-propagation through time.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import record_batch, small_batches
+from annalist.llm.common import record_batch, small_batches, smallest
 
 HIDDEN, SEGMENT = 8, 96
 #: training reads at most this many texts of each of at most MAX_LANGUAGES languages, the
@@ -182,9 +182,8 @@ def fit(docs: DataFrame, usable, key: str = "doc_id", text: str = "text", lang:
     languages = sorted(r["lang"] for r in frequent)
     if not languages:
         return Model([], None)
-    first = Window.partitionBy("lang").orderBy("order")
     narrow = rows.filter(F.col("lang").isin(languages)).select("lang", "order").distinct()
-    chosen = narrow.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= TEXTS).drop("_n")
+    chosen = smallest(narrow, "lang", "order", TEXTS)
     # only bytes near the segments that training reads
     spots = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS_OF_TEXT - 1)), lambda i: (i * F.greatest(F.length("text") - SEGMENT, F.lit(0)) / max(1, SEGMENTS_OF_TEXT - 1)).cast("int") + 1)
     parts = F.transform(spots, lambda at: F.substr("text", at, F.lit(SEGMENT)))

@@ -10,10 +10,10 @@ neighbours vote with weights by similarity.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import once_per_process, record_batch, small_batches
+from annalist.llm.common import once_per_process, record_batch, small_batches, smallest
 
 #: hashed terms: word shapes, pairs of shapes, words, summaries
 SHAPES, PAIRS, WORDS, SUMMARIES = 256, 768, 1024, 64
@@ -132,8 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     NULL or other label and those without a document are left out; None without any left.
     """
     usable = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter("label in (0, 1) and key is not null").distinct()
-    first = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    chosen = usable.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE).drop("_n")
+    chosen = smallest(usable.withColumn("order", F.xxhash64("key")), "label", "order", SAMPLE).drop("order")
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "key").select("key", "label", "text").dropDuplicates(["key", "label"])
     found = sorted((r["key"], r["label"], bytes(r["counts"])) for r in _counts(rows, "text").collect())
