@@ -23,8 +23,12 @@ def aggregate_periods(df: DataFrame, index, sampling: Sampling, by, keys, sums)
     single = add(df.withColumn("_index", index).filter(F.col("_index").isNotNull()))
     if sampling.multiple == 1:
         return single
-    lowest = single.groupBy(*by).agg(F.min("_index").alias("_lowest"))
-    anchored = with_totals(single, lowest, by)
+    if keys or sampling.is_clock:
+        lowest = single.groupBy(*by).agg(F.min("_index").alias("_lowest"))
+        anchored = with_totals(single, lowest, by)
+    else:
+        # one row per day or longer period, few enough for a window
+        anchored = single.withColumn("_lowest", F.min("_index").over(Window.partitionBy(*by)))
     return add(anchored.withColumn("_index", sampling.merged("_index", sampling.origin("_lowest"))))
 
 

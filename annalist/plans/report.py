@@ -7,7 +7,7 @@ import json
 from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import scalars as S
@@ -60,7 +60,8 @@ def _side_by_side(tables, by):
 
 
 def general(history: History, days: DataFrame | None = None) -> DataFrame:
-    """One row per repository: age, commits, authors, files, lines and their ratios."""
+    """One row per repository: age, commits, authors, files, lines and their ratios; files and
+    lines are 0 for a repository without any."""
     by = list(history.by)
     facts = history.commits if days is None else days
     row = _side_by_side(
@@ -71,7 +72,7 @@ def general(history: History, days: DataFrame | None = None) -> DataFrame:
             activity.line_totals(history.linear_history, by),
         ],
         by,
-    )
+    ).fillna(0, subset=["files_count", "added_lines_count", "removed_lines_count", "total_lines_count"])
     return (
         row.withColumn("active_days_percent", S.guarded_percent("active_days_count", "age_days"))
         .withColumn("merge_commits_percent", S.guarded_percent("merge_commits_count", "commits_count"))
@@ -103,10 +104,16 @@ def file_series(history: History, options: Options) -> DataFrame:
     by = list(history.by)
     sample = Sampling.parse(options.time_sampling)
     series = activity.line_history(history.linear_history, options.time_sampling, by)
-    maxima = series.groupBy(*by).agg(
-        F.floor(F.max("files_count")).alias("max_files"), F.max("lines_count").alias("max_lines")
-    )
-    return with_totals(series, maxima, by).withColumn("epoch_millis", label_epoch_millis(F.col("period"), sample))
+    if sample.is_clock:
+        maxima = series.groupBy(*by).agg(
+            F.floor(F.max("files_count")).alias("max_files"), F.max("lines_count").alias("max_lines")
+        )
+        series = with_totals(series, maxima, by)
+    else:
+        # days and longer: a short series, read once
+        whole = Window.partitionBy(*by)
+        series = series.withColumns({"max_files": F.floor(F.max("files_count").over(whole)), "max_lines": F.max("lines_count").over(whole)})
+    return series.withColumn("epoch_millis", label_epoch_millis(F.col("period"), sample))
 
 
 def report_tables(history: History, as_of, options: Options = Options(), days: DataFrame | None = None) -> dict:

@@ -6,7 +6,7 @@ a common table expression; views may use other views.
 
 import re
 
-from contract.views import BLAME_AS_OF, DURATIONS, EVENTS_AS_OF, EVENTS_AS_OF_SUNDAY, PATHS
+from contract.views import BLAME_AS_OF, DURATIONS, EVENTS_AS_OF, EVENTS_AS_OF_SUNDAY, KEYED, PATHS, REPOSITORIES, repository
 
 
 def _case(key, values):
@@ -134,15 +134,33 @@ def _domain(email):
     )
 
 
-def _expand(text):
-    return re.sub(r"\{\{(\w+)\}\}", lambda m: f"({_expand(VIEWS[m.group(1)])})", text)
+def _expand(text, wrapped=None):
+    """Views written out; ``wrapped`` may hold a view's name and text around its rows."""
 
+    def view(match):
+        name = match.group(1)
+        inner = f"({_expand(VIEWS[name], wrapped)})"
+        return f"({wrapped[name].replace('{rows}', inner)})" if wrapped and name in wrapped else inner
 
-ORACLE = {}
+    return re.sub(r"\{\{(\w+)\}\}", view, text)
+
+
+ORACLE, TEXTS = {}, {}
 
 
 def sql(name, text):
-    ORACLE[name] = _expand(text)
+    TEXTS[name], ORACLE[name] = text, _expand(text)
+
+
+def keyed_sql(name, view, key):
+    """The statement run for each repository, a repository being the rows of ``view`` with one key."""
+    each = [
+        f"SELECT CAST({r} AS BIGINT) AS repo_id, q.* FROM ("
+        + _expand(TEXTS[name], {view: f"SELECT * FROM {{rows}} v WHERE {repository(key)} = {r}"})
+        + ") q"
+        for r in REPOSITORIES
+    ]
+    ORACLE[f"{name}_keyed"] = " UNION ALL ".join(each)
 
 
 # --- totals and distributions -------------------------------------------------------
@@ -316,6 +334,18 @@ def _clock_series(seconds):
 
 
 sql("history_h", _clock_series(3600))
+sql("history_1d12h", _clock_series(129600))
+sql(
+    "history_sm",
+    """
+    WITH d AS (SELECT CAST(ts AS DATE) AS d FROM {{commits}}),
+    b AS (SELECT CASE WHEN d = last_day(d) THEN d WHEN day(d) >= 15 THEN make_date(year(d), month(d), 15)
+                      ELSE CAST(date_trunc('month', d) AS DATE) - 1 END AS p FROM d),
+    m AS (SELECT CAST(unnest(generate_series(date_trunc('month', min(p)), max(p)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS m FROM b),
+    s AS (SELECT m + 14 AS p FROM m UNION ALL SELECT last_day(m) FROM m)
+    SELECT strftime(s.p, '%Y-%m-%d') AS period, count(b.p) AS commits_count FROM s LEFT JOIN b ON s.p = b.p
+    WHERE s.p BETWEEN (SELECT min(p) FROM b) AND (SELECT max(p) FROM b) GROUP BY ALL""",
+)
 sql("history_5h", _clock_series(18000))
 sql("history_90min", _clock_series(5400))
 sql(
@@ -384,8 +414,8 @@ RANKED = "SELECT *, row_number() OVER (ORDER BY commits_count DESC, author_name)
 sql(
     "top_authors",
     f"""
-    SELECT *, CAST(commits_count AS DOUBLE) * 100.0::DOUBLE / (SELECT count(*) FROM orders) AS commits_percent,
-           CAST(merge_commits_count AS DOUBLE) * 100.0::DOUBLE / (SELECT count(*) FROM orders) AS merge_commits_percent
+    SELECT *, CAST(commits_count AS DOUBLE) * 100.0::DOUBLE / (SELECT count(*) FROM {{{{commits}}}}) AS commits_percent,
+           CAST(merge_commits_count AS DOUBLE) * 100.0::DOUBLE / (SELECT count(*) FROM {{{{commits}}}}) AS merge_commits_percent
     FROM ({RANKED}) WHERE rank <= 20""",
 )
 sql("remaining_authors", f"SELECT author_name, commits_count FROM ({RANKED}) WHERE rank > 20")
@@ -563,6 +593,22 @@ sql(
     WHERE l_linenumber <= 4 AND p_type <> 'ECONOMY' AND p_brand <> 'Brand#17'
     GROUP BY ALL""",
 )
+PARTIAL = """
+    WITH people AS (
+        SELECT commit_id, author_name, author_timestamp, review_duration,
+               coalesce(committer_name <> '' AND committer_email <> '', FALSE) AS ok, committer_name
+        FROM {{raw_commits}} WHERE walk_pos % 5 <> 0)
+    SELECT 'p' || l_partkey AS filepath,
+           CASE WHEN commit_id IS NULL THEN 'Empty Empty' WHEN ok THEN committer_name ELSE author_name END AS committer_name,
+           CASE WHEN ok THEN author_timestamp + review_duration ELSE author_timestamp END AS timestamp,
+           CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS lines_count
+    FROM lineitem LEFT JOIN people ON commit_id = lpad(CAST(l_orderkey AS VARCHAR), 9, '0')
+    GROUP BY ALL"""
+sql("blame_of_partial_log", PARTIAL)
+sql(
+    "unknown_lines",
+    f"SELECT CAST(coalesce(sum(lines_count) FILTER (timestamp IS NULL), 0) AS BIGINT) AS unknown_lines_count FROM ({PARTIAL})",
+)
 
 # --- tags ---------------------------------------------------------------------------
 
@@ -580,7 +626,7 @@ sql(
     """SELECT tag_name, coalesce(tag_name, 'unreleased') AS tag, commit_author, count(*) AS commits_count
     FROM {{assigned}} GROUP BY ALL""",
 )
-sql("commits_of_tag", "SELECT * FROM {{assigned}} WHERE tag_name = 'v1161'")
+sql("commits_of_tag", "SELECT * FROM {{assigned}} WHERE tag_name = (SELECT 'v' || min(walk_pos) FROM {{tag_refs}})")
 sql("commits_unreleased", "SELECT * FROM {{assigned}} WHERE tag_name IS NULL")
 sql("tag_names", "SELECT DISTINCT tag_name FROM {{assigned}}")
 sql("tags_count", "SELECT count(*) AS tags_count FROM (SELECT DISTINCT tag_name FROM {{assigned}})")
@@ -623,6 +669,15 @@ sql(
     top AS (SELECT x, max(t) AS t FROM raised GROUP BY x)
     SELECT lpad(CAST(x AS VARCHAR), 9, '0') AS commit_id, row_number() OVER (ORDER BY t DESC, x) - 1 AS walk_pos FROM top""",
 )
+sql(
+    "topological_order_equal_clocks",
+    """
+    WITH RECURSIVE raised(x, t) AS (
+        SELECT o_orderkey, CAST(7 AS BIGINT) FROM orders UNION
+        SELECT e.child, r.t + 1 FROM raised r JOIN {{edges}} e ON e.parent = r.x),
+    top AS (SELECT x, max(t) AS t FROM raised GROUP BY x)
+    SELECT lpad(CAST(x AS VARCHAR), 9, '0') AS commit_id, row_number() OVER (ORDER BY t DESC, x) - 1 AS walk_pos FROM top""",
+)
 FILE_COUNTS = """
     SELECT lpad(CAST(k AS VARCHAR), 9, '0') AS commit_id,
            CAST(sum(n) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS files_count
@@ -693,3 +748,61 @@ sql(
     SELECT *, CAST(floor(max(files_count) OVER ()) AS BIGINT) AS max_files, max(lines_count) OVER () AS max_lines,
            CAST(epoch(CAST(period AS TIMESTAMP)) AS BIGINT) * 1000 AS epoch_millis FROM ({MONTH_SERIES})""",
 )
+
+TEXTS["authors_by_lines"], ORACLE["authors_by_lines"] = TEXTS["authors_sorted"], ORACLE["authors_sorted"]
+
+# --- parsed exports -----------------------------------------------------------------
+
+_TREE_PATH = "CASE WHEN p_partkey % 5 = 0 THEN 'd\"' || chr(9) || p_partkey ELSE 'd/p' || p_partkey END"
+sql(
+    "parsed_commits",
+    """
+    SELECT commit_id, walk_pos, author_name, author_email, author_timestamp, author_tz_offset, committer_name,
+           coalesce(committer_email, '') AS committer_email, author_timestamp + review_duration AS committer_timestamp
+    FROM {{raw_commits}}""",
+)
+sql(
+    "parsed_parents",
+    """SELECT lpad(CAST(child AS VARCHAR), 9, '0') AS commit_id, lpad(CAST(parent AS VARCHAR), 9, '0') AS parent_id, ordinal
+    FROM {{edges}}""",
+)
+sql(
+    "parsed_commit_files",
+    """
+    SELECT lpad(CAST(l_orderkey AS VARCHAR), 9, '0') AS commit_id,
+           CASE WHEN l_partkey % 5 = 0 THEN 'src/"' || chr(1) || '\\' || l_partkey ELSE 'src/p' || l_partkey END AS path,
+           CASE WHEN l_partkey % 9 <> 0 THEN CAST(l_quantity AS BIGINT) END AS insertions,
+           CASE WHEN l_partkey % 9 <> 0 THEN l_linenumber END AS deletions
+    FROM lineitem""",
+)
+sql(
+    "parsed_files",
+    f"""
+    SELECT 'HEAD' AS revision, {_TREE_PATH} AS file, p_partkey % 9 = 0 AS is_binary,
+           CASE WHEN p_partkey % 4 = 1 THEN 0 ELSE p_partkey * 3 END AS size_bytes,
+           CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE p_partkey % 50 END AS lines_count
+    FROM part WHERE p_brand <> 'Brand#17'""",
+)
+sql("parsed_submodules", f"SELECT 'HEAD' AS revision, {_TREE_PATH} AS path FROM part WHERE p_brand = 'Brand#17'")
+sql(
+    "parsed_tags",
+    """
+    SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS commit_id,
+           CASE WHEN o_orderkey % 3 = 0 THEN 'late' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'v' || o_orderkey
+                ELSE 'r/' || o_orderkey END AS tag_name,
+           CASE WHEN o_orderkey % 3 = 1 THEN 'Release Master' END AS tagger_name,
+           CASE WHEN o_orderkey % 3 = 1 THEN CAST(epoch(o_orderdate) AS BIGINT) END AS tagger_time
+    FROM orders WHERE o_totalprice > 250000""",
+)
+sql(
+    "parsed_identities",
+    """
+    SELECT commit_id, CASE WHEN c_custkey % 6 = 0 THEN 'Both ' || c_custkey WHEN c_custkey % 6 = 1 THEN 'Mail ' || c_custkey
+                           WHEN c_custkey % 6 = 2 THEN 'Name ' || c_custkey ELSE author_name END AS author_name, author_email
+    FROM {{raw_commits}} JOIN customer ON c_name = author_name""",
+)
+
+# --- keyed forms --------------------------------------------------------------------
+
+for _name, (_view, _key) in KEYED.items():
+    keyed_sql(_name, _view, _key)

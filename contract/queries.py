@@ -6,6 +6,7 @@ from annalist.functions import scalars as S
 from annalist.operators import activity, authors, commits as extract, facts, graph, identity, revision, tags
 from annalist.operators.grouping import positions
 from annalist.plans import report
+from annalist.sources import exports
 from contract import views as V
 
 QUERIES = {}
@@ -133,9 +134,10 @@ for _name, _alias in (
     ("history_2y", "2YS"),
     ("history_b", "B"),
     ("history_bm", "BM"),
+    ("history_sm", "SM"),
 ):
     _history(_name, _alias, V.commits)
-for _name, _alias in (("history_h", "H"), ("history_5h", "5H"), ("history_90min", "90min")):
+for _name, _alias in (("history_h", "H"), ("history_5h", "5H"), ("history_90min", "90min"), ("history_1d12h", "1D12H")):
     _history(_name, _alias, V.event_commits)
 
 
@@ -194,6 +196,14 @@ def authors_sorted(spark, sf):
     return positions(summary, [], [F.desc("insertions"), F.asc("author_name")])
 
 
+@query
+def authors_by_lines(spark, sf):
+    """``sort_authors`` with the position that its order gives."""
+    summary = authors.author_summary(V.commits(spark, sf, lines=True)).select("author_name", "insertions")
+    numbered = authors.sort_authors(summary, "insertions").withColumn("_at", F.monotonically_increasing_id())
+    return positions(numbered, [], [F.asc("_at")]).drop("_at")
+
+
 @query
 def author_get(spark, sf):
     return authors.author(authors.author_summary(V.commits(spark, sf, lines=True)), "Customer#000000010")
@@ -365,6 +375,22 @@ def blame_hunks(spark, sf):
     )
 
 
+def _partial_blame(spark, sf):
+    known = V.raw_commits(spark, sf).filter("walk_pos % 5 <> 0")
+    return extract.blame(V.blame_lines(spark, sf), known)
+
+
+@query
+def blame_of_partial_log(spark, sf):
+    """Lines whose commit the log lacks stay."""
+    return _partial_blame(spark, sf)
+
+
+@query
+def unknown_lines(spark, sf):
+    return revision.unknown_lines(_partial_blame(spark, sf))
+
+
 # --- tags ---------------------------------------------------------------------------
 
 
@@ -399,7 +425,8 @@ def tags_regex(spark, sf):
 
 @query
 def commits_of_tag(spark, sf):
-    return tags.commits_of_tag(_assigned(spark, sf), "v1161")
+    first = V.tag_refs(spark, sf).selectExpr("concat('v', min(ref_order)) as _first")
+    return _assigned(spark, sf).join(first, F.col("tag_name") == F.col("_first"), "left_semi")
 
 
 @query
@@ -465,6 +492,12 @@ def topological_order(spark, sf):
     return graph.topological_order(clocked, V.parents(spark, sf), time="time")
 
 
+@query
+def topological_order_equal_clocks(spark, sf):
+    history = V.raw_commits(spark, sf).select("commit_id", F.lit(7).cast("long").alias("time"))
+    return graph.topological_order(history, V.parents(spark, sf), time="time")
+
+
 @query
 def chain_file_counts(spark, sf):
     chain = V.raw_commits(spark, sf).select("commit_id", "walk_pos")
@@ -487,6 +520,49 @@ def linear_history_from_parents(spark, sf):
     )
 
 
+# --- exports, from lines that the views write -----------------------------------------
+
+
+@query
+def parsed_commits(spark, sf):
+    return exports.parse_commit_log(V.log_lines(spark, sf)).commits.drop("repo_id")
+
+
+@query
+def parsed_parents(spark, sf):
+    return exports.parse_commit_log(V.log_lines(spark, sf)).parents.drop("repo_id")
+
+
+@query
+def parsed_commit_files(spark, sf):
+    return exports.parse_commit_log(V.log_lines(spark, sf)).commit_files.drop("repo_id")
+
+
+@query
+def parsed_files(spark, sf):
+    return exports.parse_tree(V.tree_lines(spark, sf)).files.drop("repo_id")
+
+
+@query
+def parsed_submodules(spark, sf):
+    return exports.parse_tree(V.tree_lines(spark, sf)).submodules.drop("repo_id")
+
+
+@query
+def parsed_tags(spark, sf):
+    """The last reference of a commit wins."""
+    refs = exports.parse_tag_refs(V.ref_lines(spark, sf))
+    return tags.tag_targets(refs).select("commit_id", "_tag.*")
+
+
+@query
+def parsed_identities(spark, sf):
+    """Rules by name and e-mail win over rules by e-mail, later lines over earlier ones."""
+    rules = exports.parse_mailmap(V.mailmap_lines(spark, sf))
+    mapped = identity.resolve_identities(V.raw_commits(spark, sf), rules)
+    return mapped.select("commit_id", "author_name", "author_email")
+
+
 # --- scalars ------------------------------------------------------------------------
 
 
@@ -547,3 +623,41 @@ def files_page(spark, sf):
 @query
 def file_series(spark, sf):
     return report.file_series(_history_of(spark, sf), report.Options(time_sampling="M"))
+
+
+# --- keyed forms: many repositories in one job, one of them with most rows --------------
+
+BY = ["repo_id"]
+
+
+def _keyed(name, build):
+    def run(spark, sf):
+        source = getattr(V, V.KEYED[name][0])
+        view = source(spark, sf, lines=True) if name in ("author_summary", "top_authors") else source(spark, sf)
+        return build(V.keyed(view, name))
+
+    run.__name__ = f"{name}_keyed"
+    query(run)
+
+
+for _name, _build in {
+    "commit_totals": lambda c: activity.commit_totals(c, BY),
+    "review_bins": lambda c: activity.review_durations(c, BY),
+    "timezones": lambda c: activity.timezones(c, BY),
+    "domains_others": lambda c: activity.domains_with_others(c, 3, BY),
+    "recent_weeks": lambda c: activity.recent_weeks(c, V.EVENTS_AS_OF, 4, BY),
+    "current_year_months": lambda c: activity.months_of_current_year(c, V.BLAME_AS_OF, BY),
+    "weekday_hour": lambda c: activity.weekday_hours(c, BY),
+    "weekday_hour_margins": lambda c: activity.weekday_hour_margins(c, BY),
+    "history_2w": lambda c: activity.commit_history(c, "2W", BY),
+    "linear_history_w": lambda c: activity.line_history(c, "W", BY),
+    "author_summary": lambda c: authors.author_summary(c, BY),
+    "top_authors": lambda c: authors.top_authors(c, 20, BY),
+    "rank_month": lambda c: authors.author_ranking(c, "month", BY),
+    "rank_month_top3": lambda c: authors.author_ranking(c, "month", BY, limit=3),
+    "author_of_year": lambda c: authors.authors_of_periods(c, "year", next_count=5, by=BY),
+    "contribution_others": lambda b: revision.contribution_with_others(b, 10, BY),
+    "top_files": lambda b: revision.top_files(b, 10, BY),
+    "lost_knowledge": lambda b: revision.lost_knowledge(b, V.BLAME_AS_OF, by=BY),
+}.items():
+    _keyed(_name, _build)

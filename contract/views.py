@@ -19,6 +19,43 @@ EVENTS_AS_OF = 1706704496
 EVENTS_AS_OF_SUNDAY = 1706432400
 
 
+#: repositories of the keyed queries; the first holds more than half of all rows
+REPOSITORIES = (0, 6, 7, 8, 9)
+
+
+def repository(key):
+    """The repository of a row by an integer key, in both SQL dialects."""
+    return f"CASE WHEN ({key}) % 10 < 6 THEN 0 ELSE ({key}) % 10 END"
+
+
+#: keyed queries: the view that is split into repositories, and the key
+KEYED = {
+    "commit_totals": ("commits", "walk_pos"),
+    "review_bins": ("commits", "walk_pos"),
+    "timezones": ("commits", "walk_pos"),
+    "domains_others": ("commits", "walk_pos"),
+    "recent_weeks": ("event_commits", "walk_pos"),
+    "current_year_months": ("commits", "walk_pos"),
+    "weekday_hour": ("event_commits", "walk_pos"),
+    "weekday_hour_margins": ("commits", "walk_pos"),
+    "history_2w": ("commits", "walk_pos"),
+    "linear_history_w": ("linear", "CAST(commit_id AS BIGINT)"),
+    "author_summary": ("commits", "walk_pos"),
+    "top_authors": ("commits", "walk_pos"),
+    "rank_month": ("commits", "walk_pos"),
+    "rank_month_top3": ("commits", "walk_pos"),
+    "author_of_year": ("commits", "walk_pos"),
+    "contribution_others": ("blame", "CAST(filepath AS BIGINT)"),
+    "top_files": ("blame", "CAST(filepath AS BIGINT)"),
+    "lost_knowledge": ("blame", "CAST(filepath AS BIGINT)"),
+}
+
+
+def keyed(df, name):
+    """A view with the repositories that the keyed form of a query gives it."""
+    return df.selectExpr("*", f"{repository(KEYED[name][1])} as repo_id")
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -220,6 +257,98 @@ def submodules(spark, sf_dir):
     return table(spark, sf_dir, "part").filter("p_brand = 'Brand#17'").selectExpr("concat('p', p_partkey) as path")
 
 
+SEPARATOR = "\x1f"
+
+
+def _lines(df, *parts):
+    """Rows written as lines of an export."""
+    text = ", ".join(f"cast({p} as string)" for p in parts)
+    return df.selectExpr("'repo' as repo_id", f"array_join(array({text}), '{SEPARATOR}') as value")
+
+
+def log_lines(spark, sf_dir):
+    """The commit log as the export script writes it: empty signatures and roots included,
+    quoted paths with a quote, a control character and a backslash, binary files."""
+    ordered = parents(spark, sf_dir).groupBy("commit_id").agg(
+        F.expr("array_join(transform(array_sort(collect_list(struct(ordinal, parent_id))), x -> x.parent_id), ' ') as _parents")
+    )
+    minutes = "abs(author_tz_offset)"
+    zone = (
+        "concat(if(author_tz_offset < 0, '-', '+'),"
+        f" lpad(cast({minutes} div 60 as string), 2, '0'), lpad(cast({minutes} % 60 as string), 2, '0'))"
+    )
+    commits = _lines(
+        raw_commits(spark, sf_dir).join(ordered, "commit_id", "left"),
+        "'C'", "walk_pos", "commit_id", "coalesce(_parents, '')", "author_name", "author_email", "author_timestamp", zone,
+        "committer_name", "coalesce(committer_email, '')", "committer_timestamp",
+    )
+    quoted = r"""concat('"src/', '\\"', '\\001', '\\\\', l_partkey, '"')"""
+    path = f"if(l_partkey % 5 = 0, {quoted}, concat('src/p', l_partkey))"
+    lines = table(spark, sf_dir, "lineitem")
+    number = "if(l_partkey % 9 = 0, '-', cast(cast({} as bigint) as string))"
+    files = _lines(lines, "'F'", commit_id("l_orderkey"), number.format("l_quantity"), number.format("l_linenumber"), path)
+    return commits.unionByName(files)
+
+
+def tree_lines(spark, sf_dir):
+    """File listing with submodules, quoted paths, files without a size, binary files."""
+    part = table(spark, sf_dir, "part")
+    quoted = r"""concat('"d', '\\"', '\\t', p_partkey, '"')"""
+    path = f"if(p_partkey % 5 = 0, {quoted}, concat('d/p', p_partkey))"
+    kind = "if(p_brand = 'Brand#17', 'commit', 'blob')"
+    entries = _lines(part, "'T'", "'HEAD'", kind, "if(p_partkey % 4 = 1, '-', cast(p_partkey * 3 as string))", path)
+    counts = _lines(part, "'N'", "'HEAD'", "if(p_partkey % 9 = 0, '-', cast(p_partkey % 50 as string))", path)
+    return entries.unionByName(counts)
+
+
+def ref_lines(spark, sf_dir):
+    """References: branches, lightweight and annotated tags, two tags on every third commit."""
+    tagged = table(spark, sf_dir, "orders").filter("o_totalprice > 250000")
+    key = commit_id("o_orderkey")
+    nothing = ["''"] * 4
+    branch = _lines(tagged, "o_orderkey * 2", "concat('refs/heads/b', o_orderkey)", "'commit'", key, *nothing, "''")
+    annotated = _lines(
+        tagged.filter("o_orderkey % 3 = 1"),
+        "o_orderkey * 2", "concat('refs/tags/x', o_orderkey)", "'tag'", "concat('t', o_orderkey)", key,
+        "concat('v', o_orderkey)", "'Release Master'", "'<release@team.example>'", epoch("o_orderdate"),
+    )
+    light = _lines(
+        tagged.filter("o_orderkey % 3 <> 1"), "o_orderkey * 2", "concat('refs/tags/r/', o_orderkey)", "'commit'", key, *nothing, "''"
+    )
+    late = _lines(
+        tagged.filter("o_orderkey % 3 = 0"), "o_orderkey * 2 + 1", "concat('refs/tags/late', o_orderkey)", "'commit'", key, *nothing, "''"
+    )
+    return branch.unionByName(annotated).unionByName(light).unionByName(late)
+
+
+def mailmap_lines(spark, sf_dir):
+    """Rules by e-mail and by name and e-mail, both for some people, later rules over earlier ones, comments."""
+    people = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", f"{EMAIL} as email")
+
+    def rules(which, order, text):
+        return people.filter(f"c_custkey % 6 = {which}").selectExpr(
+            "'repo' as repo_id", f"{text} as value", f"c_custkey * 4 + {order} as rule_order"
+        )
+
+    by_mail = "concat('Mail ', c_custkey, ' <', upper(email), '>')"
+    early = "concat('Early ', c_custkey, ' <', email, '> # old')"
+    by_name = "concat('{} ', c_custkey, ' <new@team.example> ', upper(c_name), ' <', email, '>')"
+    parts = [
+        rules(0, 0, by_mail),
+        rules(0, 1, by_name.format("Both")),
+        rules(1, 0, early),
+        rules(1, 1, by_mail),
+        rules(2, 0, by_name.format("Name")),
+        rules(3, 0, "concat('# Comment <', email, '>')"),
+        rules(4, 0, "concat('<other@team.example> <', email, '>')"),
+        rules(5, 0, "'no rule'"),
+    ]
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    return lines
+
+
 def tag_refs(spark, sf_dir):
     """The most expensive orders are tagged; finished ones by a lightweight tag."""
     annotated = "o_orderstatus <> 'F'"
