@@ -222,8 +222,9 @@ class Codec:
         tokens = [b""] * spare
         for token, rank in self.ranks.items():
             tokens[rank] = token
-        self.tokens = np.array(tokens, object)
         self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         ids_of = self.merger.__getitem__
@@ -233,8 +234,11 @@ class Codec:
         """Where each token starts in the text's bytes, then their number."""
         return np.concatenate([[0], np.cumsum(self.lengths[ids])])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(self.tokens[ids].tolist())
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> bytes:
+        """Each token's bytes, copied to its offset."""
+        offsets = self.offsets(ids) if offsets is None else offsets
+        shift = np.repeat(self.begins[ids] - offsets[:-1], self.lengths[ids])
+        return self.bytes[shift + np.arange(len(shift))].tobytes()
 
 
 TOKENS = pa.schema([("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32()))])

@@ -6,14 +6,14 @@ depends on the window's own bytes alone, so equal windows have equal triggers an
 phrases around them, wherever they stand. That makes each phrase with the bytes its windows
 reach a word of a dictionary, and the corpus a parse over these words.
 
-The order of the corpus' suffixes, cut at ``length`` bytes, is needed only as far as it
-says which are equal; the ranks of dictionary words and windows are therefore 64-bit
-hashes within a core (the bytes that all windows of a trigger share) instead of places in
-one sorted list:
+The order of the corpus' suffixes is needed only where it brings equal windows together.
+Windows of one trigger share the bytes of its *core*, so it is built core by core:
 
 * a trigger whose core occurs once has no repeated window;
 * a dictionary word that occurs twice in the parse repeats all its windows;
-* only words that occur once beside others of the same core are compared window by window.
+* words that occur once beside others of the same core are put in order. A suffix array of
+  what follows the trigger in the parse and one of what precedes it in the word, read
+  backwards, combine into the classes of equal windows (``repeated_windows``).
 
 Highly repetitive text thus costs one dictionary word per different phrase.
 """
@@ -32,7 +32,7 @@ GRAM, SPREAD = 16, 128
 #: the windows are dealt to buckets of about as many words' windows
 TOGETHER = 1024
 
-TRIGGERS = pa.schema([("core", pa.int64()), ("word", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+TRIGGERS = pa.schema([("core", pa.int64()), ("word", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("place", pa.int32())])
 
 
 def _constants():
@@ -73,14 +73,17 @@ def triggers(data: np.ndarray, length: int):
 
 
 def _parse(texts: DataFrame, length: int) -> DataFrame:
-    """``core, word, text_id, doc, low, high`` for every trigger of ``texts (doc, text_id, text)``."""
+    """``core, word, text_id, doc, low, high, place`` for every trigger of ``texts (doc, text_id, text)``.
+
+    ``place`` is the trigger's distance from the first window that it stands for.
+    """
     core_size = length - SPREAD + 1
     digest = xxhash.xxh3_64_intdigest
     half = 1 << 63
 
     def run(batches):
         for batch in small_batches(batches):
-            rows, cores, words, lows, highs = [], [], [], [], []
+            rows, cores, words, lows, highs, places = [], [], [], [], [], []
             for i, value in enumerate(batch.column(2)):
                 data = value.as_buffer() if value.is_valid else None
                 if data is None or len(data) < length:
@@ -90,24 +93,25 @@ def _parse(texts: DataFrame, length: int) -> DataFrame:
                 rows.append(np.full(len(low), i))
                 lows.append(low)
                 highs.append(high)
+                places.append(place - low)
                 for t, a, b in zip(place.tolist(), low.tolist(), high.tolist()):
                     cores.append(digest(data[t : t + core_size]) - half)
                     words.append(digest(data[a : b + length], t - a) - half)
             if rows:
                 which = pa.array(np.concatenate(rows))
-                made = record_batch(TRIGGERS, cores, words, np.concatenate(lows).astype(np.int32), np.concatenate(highs).astype(np.int32))
+                made = record_batch(TRIGGERS, cores, words, *[np.concatenate(c).astype(np.int32) for c in (lows, highs, places)])
                 yield pa.RecordBatch.from_arrays(
                     [*made.columns[:2], batch.column(1).take(which), batch.column(0).take(which), *made.columns[2:]],
-                    names=["core", "word", "text_id", "doc", "low", "high"],
+                    names=["core", "word", "text_id", "doc", "low", "high", "place"],
                 )
 
     kind = texts.schema["doc"].dataType.simpleString()
-    return texts.mapInArrow(run, f"core bigint, word bigint, text_id bigint, doc {kind}, low int, high int")
+    return texts.mapInArrow(run, f"core bigint, word bigint, text_id bigint, doc {kind}, low int, high int, place int")
 
 
 def _cut_words(length: int):
     """Bytes of the dictionary words that a text stands for."""
-    names = ["core", "text_id", "low", "high", "occurrences", "variants", "bytes"]
+    names = ["core", "text_id", "low", "high", "place", "occurrences", "variants", "bytes"]
 
     def run(batches):
         for batch in small_batches(batches):
@@ -115,10 +119,10 @@ def _cut_words(length: int):
             for text_id, text, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = text.as_buffer().to_pybytes()
                 for w in words:
-                    row = (w["core"], text_id, w["low"], w["high"], w["occurrences"], w["variants"], data[w["low"] : w["high"] + length])
+                    row = (w["core"], text_id, w["low"], w["high"], w["place"], w["occurrences"], w["variants"], data[w["low"] : w["high"] + length])
                     for column, value in zip(out, row):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     return run
@@ -129,27 +133,72 @@ def _windows(data: bytes, length: int) -> list[int]:
     return [digest(data[i : i + length]) for i in range(len(data) - length + 1)]
 
 
-def _runs(places: np.ndarray):
-    """First and last of each run of consecutive numbers."""
-    breaks = np.flatnonzero(np.diff(places) > 1)
-    return places[np.concatenate([[0], breaks + 1])], places[np.append(breaks, len(places) - 1)]
+def _neighbours(parts: list[bytes]):
+    """The order of byte strings, and the longest common prefix of each with the one before it."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    common = []
+    for i, j in zip(order, order[1:]):
+        size = min(len(parts[i]), len(parts[j]))
+        differ = np.frombuffer(parts[i], np.uint8, size) != np.frombuffer(parts[j], np.uint8, size)
+        common.append(int(differ.argmax()) if differ.any() else size)
+    return order, np.array(common, np.int64)
+
+
+def _classes(order, common, sizes):
+    """Class of every string among those with equal first bytes, for each size: (strings, sizes)."""
+    apart = np.zeros((len(order), len(sizes)), np.int64)
+    np.cumsum(common[:, None] < sizes, axis=0, out=apart[1:])
+    out = np.empty_like(apart)
+    out[order] = apart
+    return out
+
+
+def repeated_windows(words, length: int):
+    """Which windows of words with one core are repeated: (word, first, last) for runs of windows.
+
+    ``words`` holds (bytes, place of the trigger, number of windows). A window ``o`` bytes before
+    the trigger is the last ``o`` bytes before it and ``length - o`` from it on. The parts from
+    the trigger on are sorted into the order of the parse's suffixes, those before it, read
+    backwards, into the order of the dictionary's; common prefixes of neighbours in both
+    orders combine to the classes of equal windows.
+    """
+    after, before = [w[at:] for w, at, _ in words], [w[:at][::-1] for w, at, _ in words]
+    if len(words) == 2:
+        (_, (right,)), (_, (left,)) = _neighbours(after), _neighbours(before)
+        # o <= left and length - o <= right; both words have windows for these
+        low, high = max(0, length - right), left
+        for i, (_, at, n) in enumerate(words):
+            first, last = max(0, at - high), min(n - 1, at - low)
+            if first <= last:
+                yield i, first, last
+        return
+    places = np.array([at for _, at, _ in words])
+    counts = np.array([n for _, _, n in words])
+    offsets = np.arange(places.max() + 1)
+    pair = _classes(*_neighbours(after), length - offsets) * len(words) + _classes(*_neighbours(before), offsets)
+    start = places[:, None] - offsets  # the window's number in its word
+    valid = (start >= 0) & (start < counts[:, None])
+    which, column = np.nonzero(valid)
+    _, kind, count = np.unique(column * len(words) ** 2 + pair[which, column], return_inverse=True, return_counts=True)
+    hit = count[kind] > 1
+    which, number = which[hit], start[which[hit], column[hit]]
+    order = np.lexsort((number, which))
+    which, number = which[order], number[order]
+    if len(which):
+        edges = np.flatnonzero(np.append(True, (np.diff(which) != 0) | (np.diff(number) > 1)))
+        ends = np.append(edges[1:], len(which)) - 1
+        yield from zip(which[edges].tolist(), number[edges].tolist(), number[ends].tolist())
 
 
 def _compare_words(length: int):
     """Repeated windows of words that occur once, from rows sorted by core."""
 
     def settle(rows, out):
-        if len(rows) < 2:
-            return
-        windows = [_windows(row[4], length) for row in rows]
-        seen, again = set(), set()
-        for w in windows:
-            again.update(seen.intersection(w))
-            seen.update(w)
-        for (text_id, low, _, occurrences, _), w in zip(rows, windows):
-            if occurrences == 1 and (found := [i for i, x in enumerate(w) if x in again]):
-                first, last = _runs(np.array(found))
-                out.extend((text_id, low + a, low + b) for a, b in zip(first.tolist(), last.tolist()))
+        if len(rows) > 1:
+            for i, first, last in repeated_windows([(w, at, high - low + 1) for _, low, high, at, _, w in rows], length):
+                text_id, low, _, _, occurrences, _ = rows[i]
+                if occurrences == 1:
+                    out.append((text_id, low + first, low + last))
 
     def made(out):
         return record_batch(SPANS, *([c for c in zip(*out)] or [[], [], []]))
@@ -157,7 +206,7 @@ def _compare_words(length: int):
     def run(batches):
         core, rows, out = None, [], []
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("core", "text_id", "low", "high", "occurrences", "bytes")]
+            columns = [batch.column(n).to_pylist() for n in ("core", "text_id", "low", "high", "place", "occurrences", "bytes")]
             for key, *row in zip(*columns):
                 if key != core:
                     settle(rows, out)
@@ -348,18 +397,18 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
     shared = scratch.keep(parsed.join(cores, "core"))
     scratch.drop(parsed)
 
-    first = F.min(F.struct("text_id", "doc", "low", "high")).alias("first")
+    first = F.min(F.struct("text_id", "doc", "low", "high", "place")).alias("first")
     dictionary = scratch.keep(shared.groupBy("core", "word").agg(F.count(F.lit(1)).alias("occurrences"), first))
     often = dictionary.filter("occurrences > 1").select("core", "word")
     whole = scratch.keep(shared.join(often, ["core", "word"]).select("text_id", "low", "high").distinct())
     scratch.drop(shared)
     variants = dictionary.groupBy("core").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1")
-    open_words = dictionary.join(variants, "core").select("first.*", F.struct("core", "first.low", "first.high", "occurrences", "variants").alias("entry"))
+    open_words = dictionary.join(variants, "core").select("first.*", F.struct("core", "first.low", "first.high", "first.place", "occurrences", "variants").alias("entry"))
     open_words = open_words.groupBy("text_id", "doc").agg(F.collect_list("entry").alias("words"))
     open_words = scratch.keep(open_words.withColumnRenamed("doc", "_doc"))
 
     dealt = texts.join(open_words, "text_id").filter(F.col("doc").eqNullSafe(F.col("_doc")))
-    schema = "core bigint, text_id bigint, low int, high int, occurrences bigint, variants bigint, bytes binary"
+    schema = "core bigint, text_id bigint, low int, high int, place int, occurrences bigint, variants bigint, bytes binary"
     words = scratch.keep(dealt.select("text_id", "text", "words", "row").mapInArrow(_cut_words(length), schema))
     few = words.filter(F.col("variants") <= TOGETHER).repartition("core").sortWithinPartitions("core")
     found = few.mapInArrow(_compare_words(length), "text_id bigint, low int, high int")

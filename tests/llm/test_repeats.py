@@ -60,6 +60,24 @@ def test_carried_columns_and_characters(documents, scratch):
     assert repeats.whole_characters("aéb".encode(), [(2, 4)]) == [(3, 4)] and repeats.whole_characters("aéb".encode(), [(0, 2)]) == [(0, 1)]
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_orders_combine_into_classes_of_windows(seed):
+    chance = random.Random(seed)
+    core = chance.randbytes(12)
+    words = []
+    for _ in range(chance.randint(2, 7)):
+        left, right = (bytes(chance.choice(b"ab") for _ in range(8)) for _ in range(2))
+        low, high = sorted(chance.sample(range(9), 2))  # windows of 16 bytes start low to high bytes before the trigger
+        words.append((left[8 - high :] + core + right[: 4 - low if low < 4 else 0], high, high - low + 1, low))
+    words = [(w[: at - low + 16], at, n) for w, at, n, low in words if len(w) >= at - low + 16]
+    cut = [[w[i : i + 16] for i in range(n)] for w, _, n in words]
+    seen = Counter(x for c in cut for x in c)
+    expected = {(i, k) for i, c in enumerate(cut) for k, x in enumerate(c) if seen[x] > 1}
+    if len(words) > 1:
+        found = {(i, k) for i, a, b in repeats.repeated_windows(words, 16) for k in range(a, b + 1)}
+        assert found == expected
+
+
 def test_triggers_stand_for_every_window():
     data = np.frombuffer(random.Random(4).randbytes(3000), np.uint8)
     place, low, high = repeats.triggers(data, 400)
