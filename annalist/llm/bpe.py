@@ -37,7 +37,8 @@ IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, AFTER_BLANK, NEED_ONE, NEED_TWO, C
 STOP_CODE = 0x110000
 #: slices kept in a worker's cache, and the longest one that is kept
 CACHE_SLICES, CACHE_LENGTH = 400_000, 64
-BLOCK = 256
+#: code points of a block, and of a part that is scanned at once; ids that are decoded at once
+BLOCK, PART, DECODED = 256, 1 << 20, 1 << 16
 
 
 def read_class(state: int, kind: int) -> tuple[int, bool]:
@@ -95,7 +96,7 @@ class Scanner:
         self.kinds = kinds
         self.element, self.product, self.size, elements, known = transition_monoid()
         self.identity = known[tuple(range(8))]
-        self.image = np.array([f[CLOSED] for f in elements], np.uint8)
+        self.images = np.array([[f[s] for f in elements] for s in range(8)], np.uint8)
         self.starts = np.array([[read_class(s, k)[1] for k in range(9)] for s in range(8)]).ravel()
 
     def classes(self, codes: np.ndarray) -> np.ndarray:
@@ -115,8 +116,8 @@ class Scanner:
             kinds[quotes[np.isin(first, [ord(c) for c in ONE_LETTER])]] = SHORT
         return kinds
 
-    def scan(self, kinds: np.ndarray) -> np.ndarray:
-        """State before every position: exclusive scan of the functions, applied to CLOSED."""
+    def scan(self, kinds: np.ndarray, state: int = CLOSED) -> np.ndarray:
+        """States before and after every position: scan of the functions, applied to the state."""
         n, size = len(kinds), self.size
         blocks = -(-n // BLOCK)
         cells = np.full(blocks * BLOCK, self.identity, np.uint16)
@@ -129,8 +130,18 @@ class Scanner:
             totals[step:] = self.product[totals[:-step].astype(np.intp) * size + totals[step:]]
             step *= 2
         before = np.concatenate([[self.identity], totals[:-1]]).astype(np.intp)
-        after = self.image[self.product[before[None, :] * size + cells]].T.ravel()[:n]
-        return np.concatenate([np.array([CLOSED], np.uint8), after[:-1]])
+        after = self.images[state][self.product[before[None, :] * size + cells]].T.ravel()[:n]
+        return np.concatenate([np.array([state], np.uint8), after])
+
+    def slice_starts(self, kinds: np.ndarray) -> np.ndarray:
+        """Where slices start, part by part, so that very long texts take bounded memory."""
+        found, state = [], CLOSED
+        for at in range(0, len(kinds), PART):
+            part = kinds[at : at + PART]
+            states = self.scan(part, state)
+            state = int(states[-1])
+            found.append(at + np.flatnonzero(self.starts[states[:-1] * np.uint8(9) + part]))
+        return np.concatenate(found)
 
     def slices(self, texts: list[str]) -> list[list[str]]:
         """Every text's slices."""
@@ -140,8 +151,7 @@ class Scanner:
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
         stops = np.cumsum([len(t) + 1 for t in texts]) - 1
         codes[stops] = STOP_CODE
-        kinds = self.classes(codes)
-        starts = np.flatnonzero(self.starts[self.scan(kinds).astype(np.intp) * 9 + kinds])
+        starts = self.slice_starts(self.classes(codes))
         ends = np.searchsorted(starts, stops).tolist()
         bounds = starts.tolist()
         cut = [joined[a:b] for a, b in itertools.pairwise(bounds)]
@@ -237,8 +247,14 @@ class Codec:
     def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> bytes:
         """Each token's bytes, copied to its offset."""
         offsets = self.offsets(ids) if offsets is None else offsets
-        shift = np.repeat(self.begins[ids] - offsets[:-1], self.lengths[ids])
-        return self.bytes[shift + np.arange(len(shift))].tobytes()
+        out = bytearray(int(offsets[-1]))
+        for at in range(0, len(ids), DECODED):
+            part = ids[at : at + DECODED]
+            places = offsets[at : at + len(part)]
+            stop = int(offsets[at + len(part)])
+            shift = np.repeat(self.begins[part] - places, self.lengths[part])
+            out[places[0] : stop] = self.bytes[shift + np.arange(places[0], stop)].tobytes()
+        return bytes(out)
 
 
 TOKENS = pa.schema([("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32()))])

@@ -28,6 +28,8 @@ from annalist.llm.common import once_per_process, record_batch, small_batches
 from annalist.operators.lineage import Scratch
 
 GRAM, SPREAD = 16, 128
+#: windows of a text whose triggers are found at once
+PART = 1 << 20
 #: up to this many different words of a core are compared in one task; of more crowded cores
 #: the windows are dealt to buckets of about as many words' windows
 TOGETHER = 1024
@@ -51,14 +53,31 @@ def _gram_hashes(data: np.ndarray, values: np.ndarray, factors: np.ndarray) -> n
 
 
 def triggers(data: np.ndarray, length: int):
-    """Each trigger's place, and the first and last window that it stands for."""
+    """Each trigger's place, and the first and last window that it stands for.
+
+    Long texts are worked on in parts of ``PART`` windows, in bounded memory.
+    """
     last = len(data) - length
-    if last < 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none
+    none = np.zeros(0, np.int64)
+    places, lows = [none], [none]
+    for start in range(0, last + 1, PART):
+        stop = min(last + 1, start + PART)
+        # the bytes that the part's windows look at for their triggers
+        place, low = _part_triggers(data[start : stop - 1 + SPREAD + GRAM - 1], stop - start)
+        place, low = place + start, low + start
+        if len(places[-1]) and places[-1][-1] == place[0]:
+            place, low = place[1:], low[1:]
+        if len(low):
+            places.append(place)
+            lows.append(low)
+    place, low = np.concatenate(places), np.concatenate(lows)
+    return place, low, np.append(low[1:], last + 1)[: len(low)] - 1
+
+
+def _part_triggers(data: np.ndarray, windows: int):
     values, factors = once_per_process("gram constants", _constants)
     with np.errstate(over="ignore"):
-        h = _gram_hashes(data[: last + SPREAD + GRAM - 1], values, factors)
+        h = _gram_hashes(data, values, factors)
     # the leftmost of equal hashes is the smallest key
     keys = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width = 1
@@ -67,9 +86,9 @@ def triggers(data: np.ndarray, length: int):
         width *= 2
     if width < SPREAD:
         keys = np.minimum(keys[: width - SPREAD], keys[SPREAD - width :])
-    place = (keys[: last + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    place = (keys[:windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     low = np.flatnonzero(np.diff(place, prepend=-1))
-    return place[low], low, np.append(low[1:], last + 1) - 1
+    return place[low], low
 
 
 def _parse(texts: DataFrame, length: int) -> DataFrame:

@@ -43,6 +43,13 @@ def test_long_slices():
     same(["a" * 5000, "".join(chance.choice("abcdefgh") for _ in range(5000)), "ab" * 999])
 
 
+def test_parts_of_long_texts(monkeypatch):
+    text = "It's a text   with 12 numbers, we'll see. " * 30 + " " * 50 + "\n"
+    monkeypatch.setattr(bpe, "PART", 77)
+    monkeypatch.setattr(bpe, "DECODED", 10)
+    same([text, "", "b", text[5:]])
+
+
 def test_offsets():
     (ids,) = CODEC.encode(["naïve cafés"])
     offsets = CODEC.offsets(ids)

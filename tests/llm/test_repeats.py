@@ -86,6 +86,14 @@ def test_triggers_stand_for_every_window():
     assert not len(repeats.triggers(data[:399], 400)[0])
 
 
+@pytest.mark.parametrize("part", [1, 7, 500, 2601])
+def test_parts_have_the_same_triggers(part, monkeypatch):
+    data = np.frombuffer(random.Random(5).randbytes(1500) + b"aaaa" * 200 + random.Random(6).randbytes(700), np.uint8)
+    whole = repeats.triggers(data, 400)
+    monkeypatch.setattr(repeats, "PART", part)
+    assert all((a == b).all() for a, b in zip(whole, repeats.triggers(data, 400)))
+
+
 def test_length_has_a_lower_bound(documents, scratch):
     with pytest.raises(ValueError):
         repeats.remove_repeats(documents, scratch, length=100)
