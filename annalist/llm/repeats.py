@@ -1,7 +1,7 @@
 """Exact repeats across a corpus by prefix-free parsing.
 
-A rolling hash of 16 bytes triggers phrase ends: of every ``SPREAD`` neighbouring positions
-the one with the smallest hash is a trigger. Which trigger a window of ``length`` bytes gets
+A rolling hash of 16 bytes triggers phrase ends: of every so many neighbouring positions
+(``spread``) the one with the smallest hash is a trigger. Which trigger a window of ``length`` bytes gets
 depends on the window's own bytes alone, so equal windows have equal triggers and equal
 phrases around them, wherever they stand. That makes each phrase with the bytes its windows
 reach a word of a dictionary, and the corpus a parse over these words.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from annalist.llm.common import once_per_process, record_batch, small_batches
 from annalist.operators.lineage import Scratch
 
-GRAM, SPREAD = 16, 128
+GRAM = 16
 #: windows of a text whose triggers are found at once
 PART = 1 << 20
 #: up to this many different words of a core are compared in one task; of more crowded cores
@@ -52,18 +52,23 @@ def _gram_hashes(data: np.ndarray, values: np.ndarray, factors: np.ndarray) -> n
     return h
 
 
+def spread(length: int) -> int:
+    """Positions among which one is a trigger, for windows of a length."""
+    return min(128, length // 2)
+
+
 def triggers(data: np.ndarray, length: int):
     """Each trigger's place, and the first and last window that it stands for.
 
     Long texts are worked on in parts of ``PART`` windows, in bounded memory.
     """
     last = len(data) - length
-    none = np.zeros(0, np.int64)
+    wide, none = spread(length), np.zeros(0, np.int64)
     places, lows = [none], [none]
     for start in range(0, last + 1, PART):
         stop = min(last + 1, start + PART)
         # the bytes that the part's windows look at for their triggers
-        place, low = _part_triggers(data[start : stop - 1 + SPREAD + GRAM - 1], stop - start)
+        place, low = _part_triggers(data[start : stop - 1 + wide + GRAM - 1], stop - start, wide)
         place, low = place + start, low + start
         if len(places[-1]) and places[-1][-1] == place[0]:
             place, low = place[1:], low[1:]
@@ -74,18 +79,18 @@ def triggers(data: np.ndarray, length: int):
     return place, low, np.append(low[1:], last + 1)[: len(low)] - 1
 
 
-def _part_triggers(data: np.ndarray, windows: int):
+def _part_triggers(data: np.ndarray, windows: int, wide: int):
     values, factors = once_per_process("gram constants", _constants)
     with np.errstate(over="ignore"):
         h = _gram_hashes(data, values, factors)
     # the leftmost of equal hashes is the smallest key
     keys = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width = 1
-    while 2 * width <= SPREAD:
+    while 2 * width <= wide:
         keys = np.minimum(keys[:-width], keys[width:])
         width *= 2
-    if width < SPREAD:
-        keys = np.minimum(keys[: width - SPREAD], keys[SPREAD - width :])
+    if width < wide:
+        keys = np.minimum(keys[: width - wide], keys[wide - width :])
     place = (keys[:windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     low = np.flatnonzero(np.diff(place, prepend=-1))
     return place[low], low
@@ -96,7 +101,7 @@ def _parse(texts: DataFrame, length: int) -> DataFrame:
 
     ``place`` is the trigger's distance from the first window that it stands for.
     """
-    core_size = length - SPREAD + 1
+    core_size = length - spread(length) + 1
     digest = xxhash.xxh3_64_intdigest
     half = 1 << 63
 
@@ -398,15 +403,15 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
     Matches lie within one text. ``characters`` shrinks spans to whole UTF-8 characters.
     NULL texts count as empty; texts under ``length`` bytes keep all. Repeated rows are
     copies of each other, whatever their keys, so long ones lose everything. Keys may be
-    NULL or repeated; other columns are not read. ``length`` is at least 256.
+    NULL or repeated; other columns are not read. ``length`` is at least 64.
 
     Words of a core are compared in one task up to ``TOGETHER``; beyond that their windows are
     dealt to buckets by hash, after equal ones have met within each task. Texts are known by
     their 64-bit hash and go through one shuffle, which both the comparison and the removal
     read (so both take the same columns of it). Copies are combined before shuffles.
     """
-    if length < 2 * SPREAD:
-        raise ValueError(f"length must be at least {2 * SPREAD}")
+    if length < 4 * GRAM:
+        raise ValueError(f"length must be at least {4 * GRAM}")
     value = F.coalesce(F.col(text), F.lit(""))
     row = F.struct(*carry) if carry else F.lit(0)
     texts = docs.select(F.col(key).alias("doc"), F.xxhash64(value).alias("text_id"), value.alias("text"), row.alias("row"))

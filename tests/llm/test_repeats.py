@@ -44,6 +44,7 @@ def test_against_brute_force(spark, scratch, together, monkeypatch):
     rows += [(110 + i, near[:i] + "Z" + near[i + 1 :]) for i in range(3, 400, 37)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert found(docs, scratch, 256) == brute(rows, 256)
+    assert found(docs, scratch, 64) == brute(rows, 64)
 
 
 def test_edge_cases(documents, nothing, scratch):
@@ -82,7 +83,7 @@ def test_triggers_stand_for_every_window():
     data = np.frombuffer(random.Random(4).randbytes(3000), np.uint8)
     place, low, high = repeats.triggers(data, 400)
     assert low[0] == 0 and high[-1] == 2600 and (low[1:] == high[:-1] + 1).all()
-    assert ((place >= high) & (place - low < repeats.SPREAD)).all()
+    assert ((place >= high) & (place - low < repeats.spread(400))).all()
     assert not len(repeats.triggers(data[:399], 400)[0])
 
 
@@ -96,4 +97,4 @@ def test_parts_have_the_same_triggers(part, monkeypatch):
 
 def test_length_has_a_lower_bound(documents, scratch):
     with pytest.raises(ValueError):
-        repeats.remove_repeats(documents, scratch, length=100)
+        repeats.remove_repeats(documents, scratch, length=50)
