@@ -13,11 +13,19 @@ ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def once_per_process(key: str, make):
-    """``make()``, computed once in each Python worker and kept across its tasks."""
+    """``make()``, computed once in each Python worker and kept across its tasks.
+
+    Workers outlive stages. Keys start with the name of their operator; what another operator
+    left is dropped, so caches of a pipeline's stages do not add up.
+    """
     box = sys.modules.setdefault("annalist_llm_kept", types.ModuleType("annalist_llm_kept")).__dict__
-    if key not in box:
-        box[key] = make()
-    return box[key]
+    kept = box.setdefault("kept", {})
+    if key not in kept:
+        operator = key.split()[0]
+        for other in [k for k in kept if k.split()[0] != operator]:
+            del kept[other]
+        kept[key] = make()
+    return kept[key]
 
 
 def crc_bucket(column: str, modulus: int):

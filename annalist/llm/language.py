@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import record_batch, small_batches, smallest
+from annalist.llm.common import once_per_process, record_batch, small_batches, smallest
 
 HIDDEN, SEGMENT = 8, 96
 #: training reads at most this many texts of each of at most MAX_LANGUAGES languages, the
@@ -208,6 +208,7 @@ def predict(docs: DataFrame, model: Model, keys=("doc_id",), text: str = "text")
     source = docs.select(*keys, F.when(has_letter, F.col(text)).alias("_text"))
 
     def run(batches):
+        once_per_process("language", object)  # drops what other operators keep
         for batch in small_batches(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             where = [i for i, t in enumerate(texts) if t is not None and model.languages]

@@ -110,8 +110,8 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
     def run(batches):
-        words = once_per_process("word hashes", WordHashes)
-        order = once_per_process("fill order", _fill_order)
+        words = once_per_process("minhash words", WordHashes)
+        order = once_per_process("minhash order", _fill_order)
         for batch in small_batches(batches):
             rows = []
             for value in batch.column(1):
@@ -128,7 +128,7 @@ def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     """``set_id, shingles`` (sorted 64-bit hashes) row by row."""
 
     def run(batches):
-        words = once_per_process("word hashes", WordHashes)
+        words = once_per_process("minhash words", WordHashes)
         for batch in small_batches(batches):
             sets = [shingle_set(value.as_py(), width, words) for value in batch.column(0)]
             yield record_batch(SETS, [_set_id(s) for s in sets], [s.tobytes() for s in sets])

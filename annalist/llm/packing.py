@@ -23,7 +23,7 @@ from annalist.operators.lineage import Scratch
 #: pieces of one length that are ranked in one task
 RANKED_TOGETHER = 100_000
 #: runs kept in a worker's cache (about 200 bytes each), and the longest one that is kept
-CACHE_WORDS, CACHE_LENGTH = 1_000_000, 48
+CACHE_WORDS, CACHE_LENGTH = 600_000, 48
 #: Fixed value: what the tokenizer's last token of a word ends with
 WORD_END = "</w>"
 #: marks that are neither letters, numbers nor apostrophes and combine with no character
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end: int = 1,
     schema = pa.schema([(n, pa.list_(pa.int32()) if n == "ids" else pa.int64()) for n in names])
 
     def run(batches):
-        words = once_per_process(f"word ids {zlib.crc32(shared.value.encode())}", lambda: WordIds(shared.value))
+        words = once_per_process(f"packing words {zlib.crc32(shared.value.encode())}", lambda: WordIds(shared.value))
         for batch in small_batches(batches):
             which, rows = [], []
             for i, ids in enumerate(words.of_texts(batch.column(1).to_pylist(), end)):

@@ -74,6 +74,15 @@ def term_counts(text: str, words: WordTerms) -> np.ndarray:
 PLAIN = np.array([xxhash.xxh32_intdigest(s) for s in ("a", "Aa", "A", "a.", "a,", "Aa.", "Aa,")], np.uint64)
 
 
+def singular_directions(rows: np.ndarray, count: int) -> np.ndarray:
+    """Leading right singular vectors by subspace iteration, without a square matrix of terms."""
+    basis = np.random.default_rng(5).standard_normal((rows.shape[1], count + 16)).astype(np.float32)
+    for _ in range(12):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    _, _, turn = np.linalg.svd(rows @ basis, full_matrices=False)
+    return (basis @ turn.T)[:, :count]
+
+
 class Model:
     """Weights, latent directions, labelled vectors and labels."""
 
@@ -85,8 +94,7 @@ class Model:
         kinds = np.repeat([1.0, 1.0, 0.3, 1.5], [SHAPES, PAIRS, WORDS, SUMMARIES])
         self.weights = (weights * kinds).astype(np.float32)
         rows = self._weighted(counts)
-        values, vectors = np.linalg.eigh((rows.T @ rows).astype(np.float64))
-        self.directions = vectors[:, ::-1][:, :DIMENSIONS].astype(np.float32)
+        self.directions = singular_directions(rows, DIMENSIONS)
         self.vectors = self.latent(counts)
 
     def _weighted(self, counts):
@@ -116,7 +124,7 @@ def _counts(rows: DataFrame, text: str) -> DataFrame:
     """Term counts as bytes, in place of the text column, which is the last."""
 
     def run(batches):
-        words = once_per_process("word terms", WordTerms)
+        words = once_per_process("quality words", WordTerms)
         for batch in small_batches(batches):
             made = [term_counts(t, words).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*batch.schema.names[:-1], "counts"])
@@ -156,7 +164,7 @@ def score(docs: DataFrame, model: Model | None, keys=("doc_id",), text: str = "t
     source = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def run(batches):
-        words = once_per_process("word terms", WordTerms)
+        words = once_per_process("quality words", WordTerms)
         fitted = shared.value
         for batch in small_batches(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()

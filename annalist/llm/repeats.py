@@ -80,7 +80,7 @@ def triggers(data: np.ndarray, length: int):
 
 
 def _part_triggers(data: np.ndarray, windows: int, wide: int):
-    values, factors = once_per_process("gram constants", _constants)
+    values, factors = once_per_process("repeats constants", _constants)
     with np.errstate(over="ignore"):
         h = _gram_hashes(data, values, factors)
     # the leftmost of equal hashes is the smallest key

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -14,6 +14,7 @@ PEER = Tokenizer.from_file(PATH)
 PEER.encode_special_tokens = True
 
 
+@settings(deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50)))
 def test_plan_uses_every_piece_once(counts):
     used = defaultdict(int)
@@ -28,6 +29,7 @@ def test_shortest_pack_takes_the_next_length():
     assert sorted(packing.plan_packs({7: 1, 6: 1, 3: 2, 1: 1}, 10)) == [(1, (6, 3, 1)), (1, (7, 3))]
 
 
+@settings(deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]))))
 def test_ids_by_runs_are_those_of_whole_texts(texts):
     words = packing.WordIds(PEER.to_str())

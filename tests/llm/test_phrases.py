@@ -1,12 +1,13 @@
 import hashlib
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from annalist.llm import phrases
 
 
+@settings(deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60), st.text(st.characters(exclude_categories=["Cs"]), max_size=60))
 def test_common_part_is_parsed_once(text, following):
     own, edited = phrases.both_signatures(text, following)
