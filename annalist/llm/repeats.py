@@ -376,13 +376,15 @@ def whole_characters(data: bytes, spans) -> list[tuple[int, int]]:
     return out
 
 
-def _remove(length: int, characters: bool):
+def _remove(length: int, characters: bool, least_words: int):
     def run(batches):
         for batch in small_batches(batches):
             spans, kept = [], []
             for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist()):
                 data = text.as_buffer().to_pybytes()
                 runs = covered([r["low"] for r in ranges], [r["high"] for r in ranges], length, len(data)) if ranges else []
+                if least_words:
+                    runs = [(a, b) for a, b in runs if len(data[a:b].split()) >= least_words]
                 if characters:
                     runs = whole_characters(data, runs)
                 spans.append([{"start": a, "stop": b} for a, b in runs])
@@ -395,12 +397,13 @@ def _remove(length: int, characters: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: str = "doc_id", text: str = "text", characters: bool = False, carry=()) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: str = "doc_id", text: str = "text", characters: bool = False, least_words: int = 0, carry=()) -> DataFrame:
     """``key, n_bytes, spans (start, stop), kept`` and a struct ``row`` of the columns ``carry`` for every row of ``docs``.
 
     ``spans`` are the maximal runs of bytes covered by a ``length``-byte string that also
     starts anywhere else in the column, in the same text too, and ``kept`` the other bytes.
-    Matches lie within one text. ``characters`` shrinks spans to whole UTF-8 characters.
+    Matches lie within one text. ``least_words`` leaves runs of fewer words alone, words cut by
+    the run's ends included; ``characters`` shrinks spans to whole UTF-8 characters.
     NULL texts count as empty; texts under ``length`` bytes keep all. Repeated rows are
     copies of each other, whatever their keys, so long ones lose everything. Keys may be
     NULL or repeated; other columns are not read. ``length`` is at least 64.
@@ -445,7 +448,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
     ranges = spans.groupBy("text_id").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     kinds = texts.schema
     out = texts.join(ranges, "text_id", "left").select("doc", "text_id", "text", "row", "ranges").mapInArrow(
-        _remove(length, characters),
+        _remove(length, characters, least_words),
         f"doc {kinds['doc'].dataType.simpleString()}, row {kinds['row'].dataType.simpleString()}, "
         "n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary",
     )

@@ -17,7 +17,7 @@ def folder(spark, tmp_path):
     """Documents with planted cases, and labels."""
     chance = random.Random(6)
     clean = [(i, words(chance, 120)) for i in range(60)]
-    passage = words(chance, 90)
+    passage = words(chance, 52)
     junk = [(100 + i, ("SPAM!! " * 100)) for i in range(12)] + [(130 + i, "### $$$ " * 80) for i in range(12)]
     copies = [(200, clean[3][1]), (201, clean[3][1] + " More."), (3, clean[3][1])]
     shared = [(300, words(chance, 60) + " " + passage + " " + words(chance, 60)), (301, words(chance, 70) + " " + passage + " " + words(chance, 50))]
@@ -48,7 +48,7 @@ def test_stages(spark, folder):
     third = spark.read.parquet(f"{path}/2")
     assert third.count() == len(kept[2])
     cut = {r.doc_id: r for r in spark.read.parquet(f"{path}/3").collect()}
-    assert all(passage[:400] not in cut[k].text and len(cut[k].text) == cut[k].n_chars > 300 for k in (300, 301))
+    assert all(passage[:200] not in cut[k].text and len(cut[k].text) == cut[k].n_chars > 300 for k in (300, 301))
     assert cut[10].text == texts[10]
     assert kept[4] == kept[3] == kept[2]
 

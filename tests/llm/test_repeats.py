@@ -79,6 +79,15 @@ def test_orders_combine_into_classes_of_windows(seed):
         assert found == expected
 
 
+def test_short_passages_may_stay(spark, scratch):
+    passage = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, "x " + passage), (2, "y " + passage)], "doc_id bigint, text string")
+    few, many = (repeats.remove_repeats(docs, scratch, length=64, least_words=n).collect() for n in (101, 100))
+    assert [r.spans for r in few] == [[], []]
+    # the blank before the passage goes too
+    assert sorted(bytes(r.kept) for r in many) == [b"x", b"y"]
+
+
 def test_triggers_stand_for_every_window():
     data = np.frombuffer(random.Random(4).randbytes(3000), np.uint8)
     place, low, high = repeats.triggers(data, 400)
