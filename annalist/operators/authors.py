@@ -80,14 +80,14 @@ def top_authors(commits: DataFrame, max_authors: int = 20, by=()) -> DataFrame:
 
 
 def remaining_authors(commits: DataFrame, max_authors: int = 20, by=()) -> DataFrame:
-    """Names that did not make the top, in commit order. Only the short top list is
-    ranked; the long rest is an anti join against it."""
+    """Names that did not make the top, in any order. Only the short top list is ranked; the
+    long rest is an anti join against it."""
     by = list(by)
     counted = commit_counts(commits, by)
     kept = leaders(counted, by, "author_name", _by_commits(), max_authors)
     # an anti join would be pushed below the aggregation and count the commits twice
     rest = counted.join(kept, [*by, "author_name"], "left")
-    return rest.filter(F.col("rank").isNull()).drop("rank").orderBy(*by, *_by_commits())
+    return rest.filter(F.col("rank").isNull()).drop("rank")
 
 
 def commit_counts(commits: DataFrame, by=()) -> DataFrame:
@@ -192,13 +192,13 @@ def _timed_rows(commits, sample, by):
 
 
 def author_history(commits: DataFrame, sampling: str = "W", by=()) -> DataFrame:
-    """Lines and commits per period and author, one row per pair with commits."""
+    """Lines and commits per period and author, one row per pair with commits, in any order."""
     by = list(by)
     sample = Sampling.parse(sampling)
     rows, index = _timed_rows(commits, sample, by)
     measures = ["insertions", "deletions", "commits_count"]
     summed = T.aggregate_periods(rows, index, sample, by, ["author_name"], measures)
-    return T.labelled(summed, sample, by).orderBy(*by, "period", "author_name")
+    return T.labelled(summed, sample, by)
 
 
 def top_author_history(

@@ -94,12 +94,11 @@ def recent_tags(summary: DataFrame, max_recent: int | None = None, by=()) -> Dat
 
 
 def tag_contributors(assigned: DataFrame, by=()) -> DataFrame:
-    """Commits per tag and author, most first within a tag."""
+    """Commits per tag and author, in any order."""
     return (
         assigned.groupBy(*by, "tag_name", "commit_author")
         .agg(F.count(F.lit(1)).alias("commits_count"))
         .select(*by, "tag_name", S.tag_display_name("tag_name").alias("tag"), "commit_author", "commits_count")
-        .orderBy(*by, "tag", F.desc("commits_count"), "commit_author")
     )
 
 

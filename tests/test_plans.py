@@ -53,6 +53,20 @@ def test_no_python_no_pairs_no_global_window_over_rows(unbroadcast, name):
     assert "FileScan" not in below_global_windows(plan)
 
 
+def test_time_bounds_reach_every_scan_of_keyed_statistics(spark, tmp_path):
+    path = str(tmp_path / "commits")
+    spark.createDataFrame([], T.COMMITS).write.parquet(path)
+    commits = spark.read.schema(T.COMMITS).parquet(path)
+    histories = spark.createDataFrame([("r",)], "repo_id string")
+    for build in (
+        activity.recent_weeks(commits, 1706704496, 4, ["repo_id"], histories),
+        activity.months_of_current_year(commits, 1706704496, ["repo_id"], histories),
+        activity.months_of_current_year(commits, 1706704496),
+    ):
+        scans = re.findall(r"PushedFilters: \[(.*?), ReadSchema", plan_of(build))
+        assert scans and all("GreaterThan" in s and "author_timestamp" in s for s in scans)
+
+
 def test_filter_and_columns_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "commits")
     spark.createDataFrame([], T.COMMITS).write.parquet(path)
