@@ -109,7 +109,7 @@ def _with_following(docs: DataFrame, key: str, text: str) -> DataFrame:
     source = docs.select(F.col(key).alias("_key"), order, value)
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / ranges for i in range(1, ranges)]
-    bounds = source.agg(F.percentile_approx("_order", shares, 100 * ranges).alias("b")).first()["b"] or []
+    bounds = source.agg(F.percentile_approx("_order", shares, 20 * ranges).alias("b")).first()["b"] or []
     bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<bigint>")
     placed = source.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col("_order"))))
     heads = {r["_range"]: r["head"] for r in placed.groupBy("_range").agg(F.min("_order").alias("head")).collect()}

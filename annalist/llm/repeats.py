@@ -410,8 +410,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
 
     Words of a core are compared in one task up to ``TOGETHER``; beyond that their windows are
     dealt to buckets by hash, after equal ones have met within each task. Texts are known by
-    their 64-bit hash and go through one shuffle, which both the comparison and the removal
-    read (so both take the same columns of it). Copies are combined before shuffles.
+    their 64-bit hash and shuffled twice, to cut words and to remove what is repeated. Copies
+    are combined before shuffles.
     """
     if length < 4 * GRAM:
         raise ValueError(f"length must be at least {4 * GRAM}")
@@ -436,7 +436,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, key: st
 
     dealt = texts.join(open_words, "text_id").filter(F.col("doc").eqNullSafe(F.col("_doc")))
     schema = "core bigint, text_id bigint, low int, high int, place int, occurrences bigint, variants bigint, bytes binary"
-    words = scratch.keep(dealt.select("text_id", "text", "words", "row").mapInArrow(_cut_words(length), schema))
+    words = scratch.keep(dealt.select("text_id", "text", "words").mapInArrow(_cut_words(length), schema))
     few = words.filter(F.col("variants") <= TOGETHER).repartition("core").sortWithinPartitions("core")
     found = few.mapInArrow(_compare_words(length), "text_id bigint, low int, high int")
     dealt = "core bigint, bucket bigint, hashes binary, text_ids binary, places binary, asks binary"
