@@ -140,5 +140,29 @@ def op10_repeats(spark, sf_dir):
     )
 
 
+REPEATS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), windows AS (
+  SELECT n, p, md5(array_slice(b, p + 1, p + 400)) AS k
+  FROM (SELECT n, b, unnest(range(octet_length(b) - 399)) AS p FROM d WHERE octet_length(b) >= 400)
+), repeated AS (
+  SELECT n, p FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)
+), runs AS (
+  SELECT n, min(p) AS a, max(p) + 400 AS z
+  FROM (SELECT n, p, sum(fresh) OVER (PARTITION BY n ORDER BY p) AS run
+        FROM (SELECT n, p, CASE WHEN p - lag(p) OVER (PARTITION BY n ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh
+              FROM repeated))
+  GROUP BY n, run
+), pieces AS (
+  SELECT n, a, z, hex(array_slice(b, coalesce(lag(z) OVER (PARTITION BY n ORDER BY a), 0) + 1, a)) AS piece FROM runs JOIN d USING (n)
+), fronts AS (
+  SELECT n, string_agg(piece, '' ORDER BY a) AS front, max(z) AS z, sum(z - a) AS removed, count(*) AS spans FROM pieces GROUP BY n
+)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front, '') || hex(array_slice(b, coalesce(z, 0) + 1, octet_length(b))))) AS kept_sha256
+FROM d LEFT JOIN fronts USING (n)
+"""
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op5_quality": op5_quality, "op6_rollups": op6_rollups, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
-ORACLE = {"op3_minhash": MINHASH_SQL, "op6_rollups": ROLLUPS_SQL, "op7_urls": URLS_SQL}
+ORACLE = {"op3_minhash": MINHASH_SQL, "op6_rollups": ROLLUPS_SQL, "op7_urls": URLS_SQL, "op10_repeats": REPEATS_SQL}

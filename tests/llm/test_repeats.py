@@ -2,9 +2,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import oracle_check
 import pytest
 
 from annalist.llm import repeats
+from annalist.llm.queries import ORACLE, QUERIES
 
 
 def brute(rows, length):
@@ -104,6 +106,11 @@ def test_parts_have_the_same_triggers(part, monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, repeats.triggers(data, 400)))
 
 
+def test_query_against_sql(spark, sf_dir):
+    duck = oracle_check.connect(sf_dir)
+    assert oracle_check.difference(QUERIES["op10_repeats"](spark, sf_dir), duck, ORACLE["op10_repeats"]) is None
+
+
 def test_length_has_a_lower_bound(documents, scratch):
     with pytest.raises(ValueError):
         repeats.remove_repeats(documents, scratch, length=50)
