@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased. A text's
     set holds its distinct shingles of ``width`` words; fewer words make one shingle; NULL
     texts and those without words have the empty set, which is linked with nothing. Two
-    texts are linked when 100 * common >= ``percent`` * united. ``component_id`` is the smallest
+    texts are linked when 100 * common >= ``percent`` * united; the bands are made for 80 and more. ``component_id`` is the smallest
     key reachable over links (own key included) and ``kept`` says that it is the row's own.
     Repeated rows and equal sets are one class. NULL keys count after all others and get the
     component of their class, NULL when it has no other key. Other columns are not read.
@@ -277,6 +277,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
 
     Only members that the pivot does not explain are compared with many others.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("bands find links of 80 to 100 percent")
     share = percent / 100 - ESTIMATE_MARGIN
     rows = scratch.keep(signatures(docs, key, text, width))
     filled = rows.filter("n_shingles > 0")

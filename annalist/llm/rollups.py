@@ -7,6 +7,7 @@ the sums over all batches. As everything is additive, batches may come in any or
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,14 @@ class Rollup:
         sums.write.mode("overwrite").parquet(f"{self.folder}/batch_id={batch_id}")
 
     def totals(self) -> DataFrame:
-        """``source, lang, tokenizer_version, n_docs, n_tokens``; groups that nothing is left of are absent."""
+        """``source, lang, tokenizer_version, n_docs, n_tokens``; groups that nothing is left of
+        are absent, so there are no rows before the first batch."""
         schema = "source string, lang string, tokenizer_version string, documents bigint, tokens bigint, batch_id string"
-        deltas = self.spark.read.schema(schema).parquet(self.folder)
+        try:
+            deltas = self.spark.read.schema(schema).parquet(self.folder)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            deltas = self.spark.createDataFrame([], schema)
         sums = deltas.groupBy(*GROUP).agg(F.sum("documents").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")

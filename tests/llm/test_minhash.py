@@ -58,6 +58,11 @@ def test_nulls_repeats_and_extra_columns(documents, nothing, scratch):
     assert found(nothing, scratch, 5) == []
 
 
+def test_links_are_of_80_percent_or_more(documents, scratch):
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(documents, scratch, percent=70)
+
+
 def test_query_against_sql(spark, sf_dir):
     duck = oracle_check.connect(sf_dir)
     assert oracle_check.difference(QUERIES["op3_minhash"](spark, sf_dir), duck, ORACLE["op3_minhash"]) is None
