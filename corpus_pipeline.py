@@ -14,9 +14,10 @@ from annalist.operators.lineage import Scratch
 
 #: the language stage rejects documents without a letter, and those whose positions agree on no language
 LEAST_LANGUAGE_SCORE = 0.35
-#: the repeats stage removes passages of at least so many words wherever they occur more than
-#: once; it looks for them by repeated strings of so many bytes, fewer than such a passage has
-REPEAT_WORDS, REPEAT = 50, 200
+#: the repeats stage removes passages of at least so many words or so many bytes wherever they
+#: occur more than once; the shortest are 50 words of one letter and the blanks between them
+REPEAT_WORDS, REPEAT = 50, 400
+LEAST_REPEAT = 2 * REPEAT_WORDS - 1
 #: the near-duplicate stage's words in a shingle, and the similarity of a link in percent
 SHINGLE, SIMILAR = 5, 80
 
@@ -58,7 +59,7 @@ def distinct_documents(spark, docs, sf_dir):
 def without_repeats(spark, docs, sf_dir):
     """Cuts passages that stand elsewhere in the corpus too; documents stay, n_chars follows the text, NULL becomes empty."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = repeats.remove_repeats(docs, Scratch(spark), length=REPEAT, characters=True, least_words=REPEAT_WORDS, carry=others)
+    found = repeats.remove_repeats(docs, Scratch(spark), length=LEAST_REPEAT, characters=True, least_words=REPEAT_WORDS, least_bytes=REPEAT, carry=others)
     text = F.col("kept").cast("string")
     new = {"text": text, "n_chars": F.length(text).cast("bigint")}
     return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -67,3 +67,17 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeats_without_blanks_and_of_short_words(spark):
+    chance = random.Random(8)
+    unbroken = "".join(chance.choice("日本語文字列中国今年") for _ in range(400))
+    address = "https://" + "".join(chance.choice("abcdefgh/") for _ in range(450))
+    short = " ".join(chance.choice("abcdefgh") for _ in range(50))
+    fewer = " ".join("".join(chance.choice("abcdefgh") for _ in range(10)) for _ in range(36))  # 395 bytes
+    rows = [(2 * i + k, f"{words(chance, 9)}{10 * k + i}{x}{5 - k} {words(chance, 9)}") for i, x in enumerate((unbroken, address, short, fewer)) for k in (0, 1)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    cut = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    for k in (0, 1):
+        assert unbroken[:100] not in cut[k] and address[:100] not in cut[2 + k] and short[:60] not in cut[4 + k]
+        assert cut[6 + k] == dict(rows)[6 + k]

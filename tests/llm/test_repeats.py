@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -114,3 +115,41 @@ def test_query_against_sql(spark, sf_dir):
 def test_length_has_a_lower_bound(documents, scratch):
     with pytest.raises(ValueError):
         repeats.remove_repeats(documents, scratch, length=50)
+
+
+def longest_repeats(rows, words, size):
+    """Bytes covered by the longest repeated string from every byte, if it has enough words or bytes."""
+    data = [(k, t.encode()) for k, t in rows]
+    suffixes = sorted((b[i : i + 3000], n, i) for n, (_, b) in enumerate(data) for i in range(len(b)))
+    common = [len(os.path.commonprefix([a[0], b[0]])) for a, b in zip(suffixes, suffixes[1:])]
+    gone = [bytearray(len(b)) for _, b in data]
+    for (string, n, i), a, b in zip(suffixes, [0, *common], [*common, 0]):
+        string = string[: max(a, b)]
+        if len(string) >= size or len(string.split()) >= words:
+            gone[n][i : i + len(string)] = b"\1" * len(string)
+    return sorted((k, bytes(x for x, g in zip(b, cut) if not g)) for (k, b), cut in zip(data, gone))
+
+
+@pytest.mark.parametrize("together, part", [(1024, 1 << 20), (1, 1 << 20), (3, 70), (1024, 70)])
+def test_passages_against_brute_force(spark, scratch, together, part, monkeypatch):
+    monkeypatch.setattr(repeats, "TOGETHER", together)
+    monkeypatch.setattr(repeats, "GATHERED", 500)
+    monkeypatch.setattr(repeats, "PART", part)
+    chance = random.Random(2)
+    word = lambda most: "".join(chance.choice("abcdefgh") for _ in range(chance.randint(1, most)))
+    text = lambda n, most: "".join(word(most) + chance.choice([" ", " ", " ", "  ", "\n", "\u00a0"]) for _ in range(n))
+    passages = [text(n, most) for n in (34, 35, 36, 40, 60) for most in (1, 2, 4, 12)]
+    passages += ["".join(chance.choice("日本語文字列中国") for _ in range(n)) for n in (39, 40, 41, 200)]
+    passages += [text(20, 1) + word(1) * n for n in (70, 90, 300)]
+    rows = [(i, "".join(chance.choice([text(chance.randint(0, 40), 3), chance.choice(passages), chance.choice(passages)[chance.randint(0, 9) :]]) for _ in range(4))) for i in range(70)]
+    rows += [(100, rows[5][1]), (101, "x" * 700), (102, "a b " * 200), (103, "a  b" + " " * 300 + "a")]
+    near = rows[7][1]
+    rows += [(110 + i, near[:i] + "Z" + near[i + 1 :]) for i in range(3, 300, 37)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = repeats.remove_repeats(docs, scratch, length=64, least_words=35, least_bytes=120).collect()
+    assert sorted((r.doc_id, bytes(r.kept)) for r in found) == longest_repeats(rows, 35, 120)
+
+
+def test_passages_need_a_length_that_none_undercuts(documents, scratch):
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(documents, scratch, length=100, least_words=50)
