@@ -5,6 +5,8 @@ position a probability for each language; a document's are the means over its po
 It is trained here, in numpy, by back-propagation through time.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 from annalist.llm.common import once_per_process, record_batch, small_batches, smallest
 
 HIDDEN, SEGMENT = 8, 96
-#: training reads at most this many texts of each of at most MAX_LANGUAGES languages, the
-#: most frequent ones, and this many segments of each text
-TEXTS, MAX_LANGUAGES, SEGMENTS_OF_TEXT = 150, 32, 4
+#: training reads at most this many texts of each language, and this many segments of each text
+TEXTS, SEGMENTS_OF_TEXT = 150, 4
 STEPS, BATCH, RATE = 260, 160, 0.02
+#: a step reads segments of this many languages; steps grow with their number, features with its
+#: root, and fewer segments of longer lists of languages are scored at once
+TOGETHER, SCORED = 32, 4096
 UNKNOWN = "und"
 
 
@@ -25,7 +29,7 @@ class Network:
 
     def __init__(self, classes: int, seed: int = 4):
         random = np.random.default_rng(seed)
-        h = HIDDEN
+        h = self.hidden = HIDDEN * max(1, math.ceil((classes / TOGETHER) ** 0.5))
         normal = lambda *shape, scale: (random.standard_normal(shape) * scale).astype(np.float32)
         self.inputs = normal(2, 3 * h, 256, scale=0.3)
         self.recurrent = normal(2, 3 * h, h, scale=h**-0.5)
@@ -37,7 +41,7 @@ class Network:
 
     def step(self, state, data):
         """One time step of both directions; ``data`` holds their bytes, (2, batch)."""
-        h = HIDDEN
+        h = self.hidden
         read = np.stack([self.inputs[0].take(data[0], axis=1), self.inputs[1].take(data[1], axis=1)])
         kept = np.matmul(self.recurrent, state)
         gates = read[:, : 2 * h]
@@ -56,7 +60,7 @@ class Network:
         """Sums of both directions' scores, (time, classes, batch), and what training needs."""
         time, batch = data.shape
         both = np.stack([data, data[::-1]], axis=1)
-        state = np.zeros((2, HIDDEN, batch), np.float32)
+        state = np.zeros((2, self.hidden, batch), np.float32)
         out = np.empty((2, time, self.output.shape[1], batch), np.float32)
         trace = []
         for t in range(time):
@@ -70,7 +74,7 @@ class Network:
     def probabilities(self, data, used):
         """Mean probabilities over the used positions of segments, (classes, batch); keeps no trace."""
         time, batch = data.shape
-        state = np.zeros((2, HIDDEN, batch), np.float32)
+        state = np.zeros((2, self.hidden, batch), np.float32)
         out = np.zeros((time, self.output.shape[1], batch), np.float32)
         for t in range(time):
             state = self.step(state, np.stack([data[t], data[time - 1 - t]]))[0]
@@ -85,7 +89,7 @@ class Network:
 
     def gradients(self, data, used, labels):
         """Of the mean cross-entropy over used positions, by back-propagation through time."""
-        h, (time, batch) = HIDDEN, data.shape
+        h, (time, batch) = self.hidden, data.shape
         scores, both, trace = self.scores(data)
         wrong = np.exp(scores - scores.max(axis=1, keepdims=True))
         wrong /= wrong.sum(axis=1, keepdims=True)
@@ -142,9 +146,15 @@ def train(texts: list[bytes], labels: list[int], classes: int) -> Network:
     wanted = np.array(wanted)
     by_class = [np.flatnonzero(wanted == c) for c in range(classes)]
     first, second = ([np.zeros_like(p) for p in network.parameters()] for _ in range(2))
-    for step in range(1, STEPS + 1):
-        rows = np.concatenate([random.choice(rows, max(1, BATCH // classes)) for rows in by_class])
-        rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
+    together = min(classes, TOGETHER)
+    steps, turn = STEPS * math.ceil(classes / TOGETHER), list(range(classes))
+    for step in range(1, steps + 1):
+        rows = np.concatenate([random.choice(by_class[c], BATCH // together) for c in turn[:together]])
+        if classes > TOGETHER:  # all in turn, in a new order each time
+            turn = turn[TOGETHER:]
+            if len(turn) < TOGETHER:
+                turn += random.permutation(classes).tolist()
+        rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
         grads = network.gradients(data[:, rows], used[:, rows], wanted[rows])
         norm = np.sqrt(sum(float((g**2).sum()) for g in grads))
         for p, g, m, v in zip(network.parameters(), grads, first, second):
@@ -163,34 +173,34 @@ class Model:
         """Mean probabilities of every language over all positions of each non-empty text."""
         out = np.zeros((len(texts), len(self.languages)))
         data, used, owner = segments(texts)
-        for start in range(0, data.shape[1], 4096):
-            part = slice(start, start + 4096)
+        width = max(1, SCORED * TOGETHER // max(TOGETHER, len(self.languages)))
+        for start in range(0, data.shape[1], width):
+            part = slice(start, start + width)
             found = self.network.probabilities(data[:, part], used[:, part])
             np.add.at(out, owner[part], found.T)
         return out / np.array([max(1, len(t)) for t in texts])[:, None]
 
 
 def fit(docs: DataFrame, usable, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learns from ``usable`` rows with a text and a language.
+    """Learns every language of the ``usable`` rows with a text and a language.
 
-    Of each language the ``TEXTS`` rows with the smallest hash of key and text, so that the
-    sample is the same on every run and bounded by ``TEXTS * MAX_LANGUAGES`` rows.
+    Of each the ``TEXTS`` rows with the smallest hash of key and text, so that the sample is
+    the same on every run and bounded by ``TEXTS`` rows a language.
     """
     rows = docs.filter(usable & F.col(text).isNotNull() & (F.col(text) != "") & F.col(lang).isNotNull())
     rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("order"), F.col(text).alias("text"))
-    frequent = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in frequent)
-    if not languages:
-        return Model([], None)
-    narrow = rows.filter(F.col("lang").isin(languages)).select("lang", "order").distinct()
+    narrow = rows.select("lang", "order").distinct()
     chosen = smallest(narrow, "lang", "order", TEXTS)
     # only bytes near the segments that training reads
     spots = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS_OF_TEXT - 1)), lambda i: (i * F.greatest(F.length("text") - SEGMENT, F.lit(0)) / max(1, SEGMENTS_OF_TEXT - 1)).cast("int") + 1)
     parts = F.transform(spots, lambda at: F.substr("text", at, F.lit(SEGMENT)))
     sample = rows.join(F.broadcast(chosen), ["lang", "order"]).select("lang", "order", F.explode(F.array_distinct(parts)).alias("part"))
     picked = sorted((r["lang"], r["order"], r["part"]) for r in sample.distinct().collect())
-    labels = [languages.index(r[0]) for r in picked]
-    return Model(languages, train([r[2].encode() for r in picked], labels, len(languages)))
+    if not picked:
+        return Model([], None)
+    languages = sorted({r[0] for r in picked})
+    number = {name: n for n, name in enumerate(languages)}
+    return Model(languages, train([r[2].encode() for r in picked], [number[r[0]] for r in picked], len(languages)))
 
 
 PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])

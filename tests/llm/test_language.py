@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +56,16 @@ def test_edge_cases(documents, nothing):
     empty = language.fit(nothing, F.lit(True))
     assert {r.lang_pred for r in language.predict(documents, empty).collect()} == {"und"}
     assert language.predict(nothing, model).count() == 0
+
+
+def test_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 90)
+    chance = random.Random(3)
+    letters = {f"l{n:02}": chance.sample("abcdefghijklmnopqrstuvwxyz", 6) for n in range(44)}
+    text = lambda name: "".join(chance.choice(letters[name] + [" "]) for _ in range(180))
+    rows = [(n * 44 + i, text(name), name) for n in range(6) for i, name in enumerate(letters)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1)
+    model = language.fit(docs, F.lit(True))
+    assert model.languages == sorted(letters)
+    found = model.predict([text(name).encode() for name in letters]).argmax(axis=1)
+    assert np.mean([model.languages[best] == name for best, name in zip(found, letters)]) > 0.9
