@@ -81,3 +81,12 @@ def test_repeats_without_blanks_and_of_short_words(spark):
     for k in (0, 1):
         assert unbroken[:100] not in cut[k] and address[:100] not in cut[2 + k] and short[:60] not in cut[4 + k]
         assert cut[6 + k] == dict(rows)[6 + k]
+
+
+def test_repeats_side_by_side_count_alone(spark):
+    chance = random.Random(9)
+    # 35 words of 245 bytes each; two of them stand side by side, and each stands elsewhere alone
+    first, second = (" ".join("".join(chance.choice("abcdefgh") for _ in range(6)) for _ in range(35)) for _ in range(2))
+    texts = [f"1 {first} {second} 2", f"3 {first} 4", f"5 {second} 6"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    assert {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, "").collect()} == dict(enumerate(texts))
