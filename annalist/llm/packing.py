@@ -6,7 +6,9 @@ shortest packs that have room, as patterns with a count. The plan is then joined
 the pieces by their rank among those of equal length.
 """
 
+import json
 import os
+import re
 import zlib
 from collections import defaultdict
 from itertools import chain
@@ -36,25 +38,37 @@ class WordIds:
     The tokenizer lower-cases, drops white space and merges within its own words. None of
     these holds white space or both letters and marks, so a text's ids are those of its
     runs, and a run's those of its letters and of the marks after them. Words of letters
-    alone are encoded many at a time; tokens that end a word tell them apart.
+    alone are encoded many at a time; tokens that end a word tell them apart. Special tokens
+    are found in the text as it is, before all that, and stand between two texts.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.known: dict[bytes, bytes] = {}
+        added = [t for t in json.loads(definition)["added_tokens"] if t["special"]]
+        # keys that begin with a blank are no runs
+        self.special = {b" " + t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.marked = re.compile("(" + "|".join(re.escape(t["content"]) for t in added) + ")") if added else None
+        self.known: dict[bytes, bytes] = dict(self.special)
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # texts are cut at them; a run that is one when lower-cased is ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
+    def runs(self, text: str) -> list[bytes]:
+        parts = self.marked.split(text) if self.marked else [text]
+        if len(parts) == 1:
+            return text.encode().lower().split()
+        return list(chain.from_iterable([b" " + p.encode()] if i % 2 else p.encode().lower().split() for i, p in enumerate(parts)))
+
     def of_texts(self, texts: list[str], end: int) -> list[np.ndarray]:
-        split = [t.encode().lower().split() for t in texts]
+        split = [self.runs(t) for t in texts]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
+            known.update(self.special)
         new = set(chain.from_iterable(split)).difference(known)
         self.learn(new)
         last = np.array([end], "<u4").tobytes()

@@ -72,3 +72,12 @@ def test_little_padding(spark, sf_dir, scratch, monkeypatch):
 def test_pieces_hold_their_ids(documents):
     for r in packing.pieces(documents, PATH, size=64, with_ids=True).collect():
         assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+
+
+def test_special_tokens_in_texts():
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "foo<|endoftext|>bar.", "<|ENDOFTEXT|> <|EndOfText|>x", "<|startoftext|><|endoftext|>", "<|endoftext|", "é<|endoftext|>\u0301", "<<|startoftext|>'s", "none"]
+    words = packing.WordIds(plain.to_str())
+    for _ in range(2):
+        for text, ids in zip(texts, words.of_texts(texts, 1)):
+            assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
