@@ -42,14 +42,22 @@ class Rollup:
         self.spark, self.folder = spark, folder
 
     def commit(self, batch_id: str, changes: DataFrame) -> None:
-        """Stores a batch, idempotently: a batch committed again replaces itself and counts once.
+        """Stores a batch, idempotently: nothing is done for a batch that is already committed.
 
-        A commit that failed midway leaves nothing that totals see twice; repeat it.
+        So a replay that fails takes nothing away. A first commit that failed midway leaves
+        nothing that totals see twice; repeat it. A corrected batch needs an id of its own.
         """
         if not re.fullmatch(r"[A-Za-z0-9.-]+", batch_id):
             raise ValueError(f"batch id {batch_id!r} may hold letters, digits, '.' and '-' only")
+        target = f"{self.folder}/batch_id={batch_id}"
+        if self._committed(target):
+            return
         sums = changes.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.folder}/batch_id={batch_id}")
+        sums.write.mode("overwrite").parquet(target)
+
+    def _committed(self, target: str) -> bool:
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer_version, n_docs, n_tokens``; groups that nothing is left of

@@ -44,3 +44,17 @@ def test_order_of_batches_does_not_matter(spark, tmp_path):
 def test_query_against_sql(spark, sf_dir):
     duck = oracle_check.connect(sf_dir)
     assert oracle_check.difference(QUERIES["op6_rollups"](spark, sf_dir), duck, ORACLE["op6_rollups"]) is None
+
+
+def test_failing_replay_takes_nothing_away(spark, tmp_path):
+    rollup = rollups.Rollup(spark, str(tmp_path / "rollup"))
+    counted = spark.createDataFrame([("a", "en", "v1", 10, 10, 4, "x")], SCHEMA)
+    rollup.commit("1", rollups.inserts(counted))
+    failing = counted.withColumn("tokens", F.raise_error(F.lit("lost")).cast("bigint"))
+    rollup.commit("1", rollups.inserts(failing))
+    assert totals(rollup) == [("a", "en", "v1", 1, 10)]
+    # a first commit that fails is not taken for one
+    with pytest.raises(Exception, match="lost"):
+        rollup.commit("2", rollups.inserts(failing))
+    rollup.commit("2", rollups.inserts(counted))
+    assert totals(rollup) == [("a", "en", "v1", 2, 20)]
