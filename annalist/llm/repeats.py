@@ -11,9 +11,12 @@ Windows of one trigger share the bytes of its *core*, so it is built core by cor
 
 * a trigger whose core occurs once has no repeated window;
 * a dictionary word that occurs twice in the parse repeats all its windows;
-* words that occur once beside others of the same core are put in order. A suffix array of
-  what follows the trigger in the parse and one of what precedes it in the word, read
-  backwards, combine into the classes of equal windows (``repeated_windows``).
+* words that occur once beside others of the same core are sorted, core by core: by what
+  follows the trigger, and by what precedes it, read backwards. Both orders combine into the
+  classes of equal windows (``repeated_windows``).
+
+Cores and words are grouped by digests; no suffix array is built and the sequence of phrases is
+never formed, as order beyond a core brings no equal windows together.
 
 Highly repetitive text thus costs one dictionary word per different phrase.
 
