@@ -25,6 +25,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-def rows(df, *columns):
-    return [tuple(r) for r in (df.select(*columns) if columns else df).collect()]

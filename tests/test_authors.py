@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 from samples import at, commits
 

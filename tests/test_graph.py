@@ -2,7 +2,7 @@ import os
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from annalist import schemas as T

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 from samples import blame, commits, files
 from test_tags import history as tagged_history
 from test_tags import refs

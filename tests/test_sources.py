@@ -4,7 +4,7 @@ import os
 import subprocess
 
 import pytest
-from conftest import ROOT, rows
+from helpers import ROOT, rows
 from pyspark.sql import functions as F
 
 from annalist import schemas as T
