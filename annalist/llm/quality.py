@@ -24,24 +24,29 @@ DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 25, 4
 
 
 def shape(word: str) -> str:
-    """Classes of a word's characters, runs shortened: ``Word!!`` -> ``Aa!!``, ``NO.`` -> ``AA.``."""
+    """Classes of the characters of a whole word, runs shortened: ``Word!!`` -> ``Aa!!``, ``NO.`` -> ``AA.``."""
     out = []
-    for c in word[:40]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         limit = 1 if kind == "a" else 2
         if out[-limit:] != [kind] * limit:
             out.append(kind)
-    return "".join(out[:8])
+    return "".join(out)
+
+
+#: longer words are not kept from one occurrence to the next
+REMEMBERED = 64
 
 
 class WordTerms(dict):
     """Word -> its shape, hashed, times 2^32 plus its own hash."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
         value = (xxhash.xxh32_intdigest(shape(word)) << 32) | xxhash.xxh32_intdigest(word)
-        self[word] = value
+        if len(word) <= REMEMBERED:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -138,11 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     The sample has the labelled keys of smallest hash, the same on every run. Rows with a
     NULL or other label and those without a document are left out; None without any left.
+    Of several documents with one key the text of smallest hash counts, whatever their order.
     """
     usable = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter("label in (0, 1) and key is not null").distinct()
     chosen = smallest(usable.withColumn("order", F.xxhash64("key")), "label", "order", SAMPLE).drop("order")
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "key").select("key", "label", "text").dropDuplicates(["key", "label"])
+    single = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    rows = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(single.alias("first")).select("key", "label", "first.text")
     found = sorted((r["key"], r["label"], bytes(r["counts"])) for r in _counts(rows, "text").collect())
     if not found:
         return None

@@ -40,3 +40,20 @@ def test_edge_cases(spark, documents, nothing):
     assert quality.score(nothing, model).count() == 0
     untrained = quality.fit(documents, labels.filter(F.lit(False)))
     assert untrained is None and {r.score for r in quality.score(documents, untrained).collect()} == {0.5}
+
+
+def test_whole_words_have_a_shape():
+    long = "a" * 40 + "1234!"
+    assert quality.shape(long) == "a00!" and quality.shape("a1" * 30) == "a0" * 30
+    same, other = ("word " * 20 + w for w in ("ab1-" * 15 + "x!", "ab1-" * 15 + "x?"))
+    words = quality.WordTerms()
+    assert (quality.term_counts(same, words) != quality.term_counts(other, words)).any()
+    assert set(words) == {"word"} | {w for w in words if len(w) <= quality.REMEMBERED}
+
+
+def test_texts_of_one_key_in_any_order(spark):
+    docs = spark.createDataFrame([(1, "Plain words here."), (1, "NOISE!! ### 99"), (2, "Other words.")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    orders = (docs.orderBy("text").coalesce(1), docs.orderBy(F.desc("text")).coalesce(1), docs.repartition(3))
+    models = [quality.fit(d, labels) for d in orders]
+    assert all((m.vectors == models[0].vectors).all() for m in models)
