@@ -6,8 +6,8 @@ the sums over all batches. As everything is additive, batches may come in any or
 """
 
 import re
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,30 +44,46 @@ class Rollup:
     def commit(self, batch_id: str, changes: DataFrame) -> None:
         """Stores a batch, idempotently: nothing is done for a batch that is already committed.
 
-        So a replay that fails takes nothing away. A first commit that failed midway leaves
-        nothing that totals see twice; repeat it. A corrected batch needs an id of its own.
+        So a replay that fails takes nothing away. Sums are written beside the batches under a
+        name that readers skip, and renamed when complete: a commit that failed midway is not
+        counted, and of two writers of one id the first to rename wins. The folder must be in a
+        file system that renames at once. A corrected batch needs an id of its own.
         """
         if not re.fullmatch(r"[A-Za-z0-9.-]+", batch_id):
             raise ValueError(f"batch id {batch_id!r} may hold letters, digits, '.' and '-' only")
         target = f"{self.folder}/batch_id={batch_id}"
-        if self._committed(target):
+        if target in self._committed():
             return
         sums = changes.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(target)
-
-    def _committed(self, target: str) -> bool:
-        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+        name = f"_attempt-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.folder}/{name}")
+        files, path = self._files()
+        attempt, goal = path(f"{self.folder}/{name}"), path(target)
+        if files.exists(goal) and target not in self._committed():
+            files.delete(goal, True)  # left by a copy that broke off
+        if target in self._committed() or not files.rename(attempt, goal):
+            files.delete(attempt, True)
+        # a rename onto a folder that has appeared meanwhile moves into it
+        files.delete(path(f"{target}/{name}"), True)
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _committed(self) -> list[str]:
+        """Folders of complete batches, which have Spark's mark of success."""
+        files, path = self._files()
+        if not files.exists(path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(path(self.folder))]
+        found = [f"{self.folder}/{n}" for n in names if n.startswith("batch_id=")]
+        return [f for f in found if files.exists(path(f"{f}/_SUCCESS"))]
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer_version, n_docs, n_tokens``; groups that nothing is left of
-        are absent, so there are no rows before the first batch."""
-        schema = "source string, lang string, tokenizer_version string, documents bigint, tokens bigint, batch_id string"
-        try:
-            deltas = self.spark.read.schema(schema).parquet(self.folder)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            deltas = self.spark.createDataFrame([], schema)
+        are absent, so there are no rows before the first batch. Incomplete batches do not count."""
+        schema = "source string, lang string, tokenizer_version string, documents bigint, tokens bigint"
+        batches = self._committed()
+        deltas = self.spark.read.schema(schema).parquet(*batches) if batches else self.spark.createDataFrame([], schema)
         sums = deltas.groupBy(*GROUP).agg(F.sum("documents").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")

@@ -58,3 +58,41 @@ def test_failing_replay_takes_nothing_away(spark, tmp_path):
         rollup.commit("2", rollups.inserts(failing))
     rollup.commit("2", rollups.inserts(counted))
     assert totals(rollup) == [("a", "en", "v1", 2, 20)]
+
+
+def test_incomplete_batches_do_not_count(spark, tmp_path):
+    folder = tmp_path / "rollup"
+    rollup = rollups.Rollup(spark, str(folder))
+    counted = spark.createDataFrame([("a", "en", "v1", 10, 10, 4, "x")], SCHEMA)
+    rollup.commit("1", rollups.inserts(counted))
+    rollup.commit("2", rollups.inserts(counted))
+    (folder / "batch_id=2" / "_SUCCESS").unlink()
+    assert totals(rollup) == [("a", "en", "v1", 1, 10)]
+    rollup.commit("2", rollups.inserts(counted))  # takes the place of what was left
+    assert totals(rollup) == [("a", "en", "v1", 2, 20)]
+    # files of a writer that died before it renamed
+    rollups.inserts(counted).write.parquet(str(folder / "_attempt-dead"))
+    assert totals(rollup) == [("a", "en", "v1", 2, 20)]
+
+
+def test_two_writers_of_one_batch(spark, tmp_path, monkeypatch):
+    """The second has looked before the first renamed, and renames after it."""
+    folder = tmp_path / "rollup"
+    counted = spark.createDataFrame([("a", "en", "v1", 10, 10, 4, "x")], SCHEMA)
+    late = rollups.Rollup(spark, str(folder))
+    monkeypatch.setattr(late, "_committed", lambda: [])
+    rollups.Rollup(spark, str(folder)).commit("0", rollups.inserts(counted))
+    files, path = late._files()
+
+    class Racing:
+        def __getattr__(self, name):
+            return getattr(files, name)
+
+        def rename(self, attempt, goal):
+            rollups.Rollup(spark, str(folder)).commit("1", rollups.inserts(counted))
+            return files.rename(attempt, goal)
+
+    monkeypatch.setattr(late, "_files", lambda: (Racing(), path))
+    late.commit("1", rollups.inserts(counted))
+    assert totals(rollups.Rollup(spark, str(folder))) == [("a", "en", "v1", 2, 20)]
+    assert not [p for p in folder.rglob("_attempt*")]
