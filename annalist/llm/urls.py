@@ -32,6 +32,11 @@ def _expression(host, path):
     return F.concat(host, F.when(path.startswith("/"), F.lit("")).otherwise(F.lit("/ ")), path)
 
 
+def _labels(host):
+    """Number of labels of a host: one more than it has dots."""
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."), F.lit(""))) + 1
+
+
 def prepared_rules(rules: DataFrame) -> DataFrame:
     """One row per (host, path): hash prefix, digest, length; of contradicting rules ``block`` holds.
 
@@ -47,6 +52,7 @@ def prepared_rules(rules: DataFrame) -> DataFrame:
         F.concat("_host", "_rule_path").alias("_rule"),
         F.length("_rule_path").alias("_path_length"),
         F.length("_host").alias("_host_length"),
+        _labels("_host").alias("_labels"),
         "_verdict",
     )
 
@@ -60,19 +66,20 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
     ``default``. NULL URLs and those without ``://`` have an empty host and path. Repeated
     rows are judged alike, and other columns of ``pages`` are not read.
 
-    Paths are cut at the lengths that rules' paths have, which the longest rule bounds. Each
-    different (host, path) is expanded once. Few rules are broadcast by the planner's size
+    Hosts are cut to the numbers of labels, and paths to the lengths, that rules have, which
+    the longest rule bounds; so a row grows with the rules' hosts, however long its own is.
+    Each different (host, path) is expanded once. Few rules are broadcast by the planner's size
     check, and expressions are not shuffled; many rules meet them in a sort-merge join, where
     an expression that most hosts have is split like any skewed key.
     """
     ready = prepared_rules(rules)
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key).alias("_key"), host.alias("_host"), path.alias("_path"))
-    lengths = F.array_sort(F.array_distinct(F.collect_set("_path_length")))
-    cuts = ready.agg(lengths.alias("lengths")).first()["lengths"]
-    labels = F.split("_host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cuts = F.array(*[F.lit(c) for c in cuts]).cast("array<int>")
+    lengths, labels = (F.array_sort(F.collect_set(c)) for c in ("_path_length", "_labels"))
+    cuts = ready.agg(lengths.alias("lengths"), labels.alias("labels")).first()
+    counts = F.array(*[F.lit(c) for c in cuts["labels"]]).cast("array<int>")
+    suffixes = F.transform(F.filter(counts, lambda n: n <= _labels("_host")), lambda n: F.call_function("substring_index", F.col("_host"), F.lit("."), -n))
+    cuts = F.array(*[F.lit(c) for c in cuts["lengths"]]).cast("array<int>")
     fitting = F.filter(cuts, lambda n: n <= F.length("_path"))
     places = rows.select("_host", "_path").filter("_host <> ''").distinct()
     spread = places.select("_host", "_path", F.explode(suffixes).alias("_suffix"))

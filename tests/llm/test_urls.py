@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import oracle_check
 
@@ -51,3 +52,13 @@ def test_no_python_on_executors(spark, sf_dir):
 def test_query_against_sql(spark, sf_dir):
     duck = oracle_check.connect(sf_dir)
     assert oracle_check.difference(QUERIES["op7_urls"](spark, sf_dir), duck, ORACLE["op7_urls"]) is None
+
+
+def test_a_host_of_many_labels(spark):
+    host = "a." * 100_000 + "example.com"
+    pages = spark.createDataFrame([(i, f"http://{host}/de/{i}") for i in range(5)], "page_id bigint, url string")
+    rules = spark.createDataFrame([("example.com", "/de/", "block"), ("com", "/", "allow"), ("a.example.com", "/x/", "allow")], urls.RULE_SCHEMA)
+    began = time.time()
+    rows = urls.judge(pages, rules).collect()
+    assert time.time() - began < 10
+    assert {(r.rule, r.verdict) for r in rows} == {("example.com/de/", "block")} and len(rows) == 5
