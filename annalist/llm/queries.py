@@ -128,6 +128,8 @@ def op9_phrases(spark, sf_dir):
 
 
 def op10_repeats(spark, sf_dir):
+    """Besides the digests, ``text``: the kept bytes as text. A character of which a cut leaves
+    a part becomes U+FFFD. Repeated passages of fewer than 400 bytes stay, as the contract says."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["stop"] - s["start"])
     return found.select(
@@ -136,9 +138,13 @@ def op10_repeats(spark, sf_dir):
         removed.alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
+#: bytes of one character in hex, of a broken one as far as it goes, or any other byte
+CHARACTER = "[0-7].|(?:C[2-9A-F]|D.)[89AB].|(?:E0[AB].|E[1-9A-CEF][89AB].|ED[89].)[89AB].|(?:F0[9AB].|F[1-3][89AB].|F48.)[89AB].[89AB]."
+BROKEN = "E0[AB].|E[1-9A-CEF][89AB].|ED[89].|(?:F0[9AB].|F[1-3][89AB].|F48.)(?:[89AB].)?|.."
 REPEATS_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS b FROM documents
@@ -157,11 +163,17 @@ WITH d AS (
   SELECT n, a, z, hex(array_slice(b, coalesce(lag(z) OVER (PARTITION BY n ORDER BY a), 0) + 1, a)) AS piece FROM runs JOIN d USING (n)
 ), fronts AS (
   SELECT n, string_agg(piece, '' ORDER BY a) AS front, max(z) AS z, sum(z - a) AS removed, count(*) AS spans FROM pieces GROUP BY n
+), kept AS (
+  SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+    b, coalesce(front, '') || hex(array_slice(b, coalesce(z, 0) + 1, octet_length(b))) AS h
+  FROM d LEFT JOIN fronts USING (n)
 )
-SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
-  sha256(unhex(coalesce(front, '') || hex(array_slice(b, coalesce(z, 0) + 1, octet_length(b))))) AS kept_sha256
-FROM d LEFT JOIN fronts USING (n)
-"""
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(h)) AS kept_sha256,
+  CASE WHEN n_spans = 0 THEN decode(b) ELSE decode(unhex(array_to_string(list_transform(
+    regexp_extract_all(h, '{CHARACTER}|{BROKEN}'),
+    lambda c: CASE WHEN regexp_full_match(c, '{CHARACTER}') THEN c ELSE 'EFBFBD' END), ''))) END AS text
+FROM kept
+""".replace("{CHARACTER}", CHARACTER).replace("{BROKEN}", BROKEN)
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op5_quality": op5_quality, "op6_rollups": op6_rollups, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
 ORACLE = {"op3_minhash": MINHASH_SQL, "op6_rollups": ROLLUPS_SQL, "op7_urls": URLS_SQL, "op10_repeats": REPEATS_SQL}

@@ -2,6 +2,7 @@ import os
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import oracle_check
 import pytest
@@ -153,3 +154,21 @@ def test_passages_against_brute_force(spark, scratch, together, part, monkeypatc
 def test_passages_need_a_length_that_none_undercuts(documents, scratch):
     with pytest.raises(ValueError):
         repeats.remove_repeats(documents, scratch, length=100, least_words=50)
+
+
+def test_query_returns_the_kept_text(spark, tmp_path):
+    passage = "passage " * 52  # more than 50 words and 400 bytes
+    texts = {1: "é" + passage + "first", 2: "ç" + passage + "second", 3: "clean", 4: None, 5: "short " * 3 + "end", 6: "short " * 3 + "other"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in QUERIES["op10_repeats"](spark, str(tmp_path)).collect()}
+    # of é and ç only the first byte differs
+    assert {k: r.text for k, r in rows.items()} == {1: "éfirst", 2: "çsecond", 3: "clean", 4: "", 5: texts[5], 6: texts[6]}
+    docs = spark.createDataFrame([(1, "é" + passage), (2, "ĩ" + passage)], "doc_id bigint, text string")  # the second bytes are equal
+    docs.write.parquet(str(tmp_path / "more" / "documents.parquet"))
+    rows = QUERIES["op10_repeats"](spark, str(tmp_path / "more"))
+    assert {r.text for r in rows.collect()} == {"�"}
+    for folder in (tmp_path, tmp_path / "more"):
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+        assert oracle_check.difference(QUERIES["op10_repeats"](spark, str(folder)), duck, ORACLE["op10_repeats"]) is None
