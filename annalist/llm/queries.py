@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, forest, language, minhash, packing, phrases, quality, repeats, rollups, urls
+from annalist.llm import bpe, forest, language, minhash, packing, phrases, quality, repair, repeats, rollups, urls, whitening
 from annalist.llm.common import crc_bucket, table
 from annalist.operators.lineage import Scratch
 
@@ -175,5 +175,107 @@ SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(h)) AS kept_sha256,
 FROM kept
 """.replace("{CHARACTER}", CHARACTER).replace("{BROKEN}", BROKEN)
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op5_quality": op5_quality, "op6_rollups": op6_rollups, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats}
-ORACLE = {"op3_minhash": MINHASH_SQL, "op6_rollups": ROLLUPS_SQL, "op7_urls": URLS_SQL, "op10_repeats": REPEATS_SQL}
+
+def damaged(conversations):
+    """The rows after the query's damage, chosen by crc32 of ``conv_id:turn``."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary")) % 20
+    role = F.when(F.col("code") == 4, F.lit("user")).otherwise(one("role"))
+    text = F.when(F.col("code") == 1, F.lit("")).when(F.col("code") == 2, F.regexp_replace(one("text"), "[.!?]", "")).otherwise(one("text"))
+    rows = conversations.withColumn("code", code).filter("code <> 0")
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(F.col("code") == 3, 2).otherwise(1).alias("copies"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
+
+
+def op12_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    fixed = repair.Repair(damaged(rows), Scratch(spark))
+    key = F.struct("conv_id").alias("conv")  # in a struct NULL equals NULL
+    every = rows.select(key).distinct()
+    found = fixed.summary().select(key, *NUMBERS, "audit")
+    digests = fixed.digests().select(key, "digest")
+    met = every.join(found, "conv", "left").join(digests, "conv", "left")
+    return met.select(
+        "conv.conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in NUMBERS],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+NUMBERS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+#: crc32 of an ASCII string, bit by bit
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"""
+REPAIR_SQL = r"""
+WITH RECURSIVE marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC} % 20 AS code FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked
+), placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged
+), judged AS (
+  SELECT *, left(role, 1) AS initial, left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), inserts(q, mid, letters, lines) AS (
+  VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', E'
+user:'), (0, 3, 'II', E'
+user:
+assistant:'),
+    (1, 2, 'I', E'
+user:'), (1, 3, 'II', E'
+user:
+assistant:'), (2, 3, 'I', E'
+assistant:'), (3, 2, 'I', E'
+user:')
+), edits(mid, edit, initial, role, q) AS (
+  VALUES (0, 'K', 's', NULL, 1), (0, 'K', 'u', NULL, 2), (1, 'K', 'u', NULL, 2), (2, 'K', 'a', NULL, 3), (3, 'K', 'u', NULL, 2),
+    (0, 'R', NULL, 'user', 2), (1, 'R', NULL, 'user', 2), (2, 'R', NULL, 'assistant', 3), (3, 'R', NULL, 'user', 2),
+    (0, 'D', NULL, NULL, 0), (1, 'D', NULL, NULL, 1), (2, 'D', NULL, NULL, 2), (3, 'D', NULL, NULL, 3)
+), moves AS (
+  SELECT inserts.q, letters || edit AS letters, lines, edit, initial, role, edits.q AS then_q,
+    3 * length(letters) + CASE edit WHEN 'K' THEN 0 WHEN 'R' THEN 3 ELSE 4 END AS price
+  FROM inserts JOIN edits USING (mid)
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'lines': ''} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT s.conv_id, s.i + 1, m.then_q, min({
+    'cost': (s.best.cost + m.price + CASE WHEN r.fault = 'truncated' AND m.edit <> 'D' THEN 3 ELSE 0 END)::BIGINT, 'audit': s.best.audit || m.letters,
+    'lines': s.best.lines || m.lines || CASE m.edit WHEN 'D' THEN '' ELSE E'
+' || coalesce(m.role, r.role) || ':' || r.text END})
+  FROM steps s JOIN judged r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1
+  JOIN moves m ON m.q = s.q AND (m.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (m.initial IS NULL OR m.initial = r.initial)
+  GROUP BY s.conv_id, s.i, m.then_q
+), numbers AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), ends(q, letters, lines) AS (
+  VALUES (0, '', ''), (1, 'II', E'
+user:
+assistant:'), (2, 'I', E'
+assistant:'), (3, '', '')
+), repaired AS (
+  SELECT s.conv_id, any_value(n) AS n,
+    min({'cost': s.best.cost + 3 * length(e.letters), 'audit': s.best.audit || e.letters, 'lines': s.best.lines || e.lines}) AS best
+  FROM steps s JOIN ends e USING (q) LEFT JOIN numbers x ON x.conv_id IS NOT DISTINCT FROM s.conv_id
+  WHERE s.i = coalesce(x.n, 0) GROUP BY s.conv_id
+)
+SELECT r.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit, sha256(substr(best.lines, 2)) AS repaired_sha256
+FROM repaired r LEFT JOIN numbers x ON x.conv_id IS NOT DISTINCT FROM r.conv_id
+""".replace("{CRC}", CRC_SQL.replace("{s}", "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), Scratch(spark), components=4)
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op5_quality": op5_quality, "op6_rollups": op6_rollups, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats, "op12_repair": op12_repair, "op13_whitening": op13_whitening}
+ORACLE = {"op3_minhash": MINHASH_SQL, "op6_rollups": ROLLUPS_SQL, "op7_urls": URLS_SQL, "op10_repeats": REPEATS_SQL, "op12_repair": REPAIR_SQL}
