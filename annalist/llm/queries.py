@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, forest, language, minhash, packing, phrases, quality, repair, repeats, rollups, urls, whitening
+from annalist.llm import bpe, forest, language, minhash, packing, phrases, quality, repair, repeats, rollups, toxicity, urls, whitening
 from annalist.llm.common import crc_bucket, table
 from annalist.operators.lineage import Scratch
 
@@ -176,6 +176,13 @@ FROM kept
 """.replace("{CHARACTER}", CHARACTER).replace("{BROKEN}", BROKEN)
 
 
+def op11_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs.withColumn("held_out", held_out), model, keys=("doc_id", "held_out"))
+
+
 def damaged(conversations):
     """The rows after the query's damage, chosen by crc32 of ``conv_id:turn``."""
     one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -219,9 +226,11 @@ WITH RECURSIVE marked AS (
   SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged
 ), judged AS (
   SELECT *, left(role, 1) AS initial, left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-         WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault
+         WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault
   FROM placed
 ), inserts(q, mid, letters, lines) AS (
   VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', E'
@@ -277,5 +286,5 @@ FROM repaired r LEFT JOIN numbers x ON x.conv_id IS NOT DISTINCT FROM r.conv_id
 def op13_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"), Scratch(spark), components=4)
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op5_quality": op5_quality, "op6_rollups": op6_rollups, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats, "op12_repair": op12_repair, "op13_whitening": op13_whitening}
+QUERIES = {"op1_bpe": op1_bpe, "op2_forest": op2_forest, "op3_minhash": op3_minhash, "op4_language": op4_language, "op5_quality": op5_quality, "op6_rollups": op6_rollups, "op7_urls": op7_urls, "op8_packing": op8_packing, "op9_phrases": op9_phrases, "op10_repeats": op10_repeats, "op11_toxicity": op11_toxicity, "op12_repair": op12_repair, "op13_whitening": op13_whitening}
 ORACLE = {"op3_minhash": MINHASH_SQL, "op6_rollups": ROLLUPS_SQL, "op7_urls": URLS_SQL, "op10_repeats": REPEATS_SQL, "op12_repair": REPAIR_SQL}
