@@ -175,12 +175,16 @@ def different(sets: list[np.ndarray]) -> list[np.ndarray]:
 
 def telling(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
     """Features that toxic text has more often than chance and clean text allow."""
-    of_toxic, of_all = (np.bincount(np.concatenate([*sets, np.zeros(0, np.int32)]), minlength=2 * FEATURES) for sets in (toxic, unlabelled))
+    kinds, of_toxic = np.unique(np.concatenate(toxic), return_counts=True)
+    of_all = np.zeros(len(kinds), np.int64)
+    for columns in unlabelled if len(kinds) else ():
+        at = np.minimum(np.searchsorted(kinds, columns), len(kinds) - 1)
+        of_all[at[kinds[at] == columns]] += 1
     share = of_toxic / len(toxic)
     clean = np.maximum(of_all / len(unlabelled) - prior * share, 0) / (1 - prior)
     by_chance = len(toxic) * (of_all + 1) / (len(unlabelled) + 1)
     ratio = 2 * (of_toxic * np.log(np.maximum(of_toxic, 1) / by_chance) - (of_toxic - by_chance))
-    return np.flatnonzero((of_toxic > by_chance) & (ratio >= EVIDENCE) & (share >= LIFT * clean))
+    return kinds[(of_toxic > by_chance) & (ratio >= EVIDENCE) & (share >= LIFT * clean)]
 
 
 class Model:
@@ -235,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, key: str = "doc_id", text: s
     marked = known.filter("label = 1").select("key", F.xxhash64("key").alias("order"), F.lit(1).alias("toxic"))
     confirmed = smallest(marked, "toxic", "order", TOXIC)
     toxic = smallest(texts.join(F.broadcast(confirmed.select("key", "toxic")), "key").select("toxic", "order").distinct(), "toxic", "order", TOXIC)
-    open_ = smallest(texts.select(F.lit(0).alias("toxic"), "order").distinct(), "toxic", "order", UNLABELLED)
+    open_ = texts.select(F.lit(0).alias("toxic"), "order").distinct().orderBy("order").limit(UNLABELLED)
     # two small tables of hashes, at most TOXIC + UNLABELLED rows
     chosen = F.broadcast(toxic.select("toxic", "order").unionByName(open_.select("toxic", "order")))
     rows = texts.join(chosen, "order").select("toxic", "order", "text").dropDuplicates(["toxic", "order"])
