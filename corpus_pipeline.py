@@ -82,10 +82,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over documents; each one's rows are written to the shared folder and read again."""
+    """All stages over documents; each one's rows are written to the shared folder and read again.
+
+    A stage's rows are deleted when those of the next are written; the last stage reads its input.
+    """
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = scratch.keep(docs)
+            scratch.drop(before)
     return docs
