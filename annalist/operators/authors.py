@@ -9,6 +9,7 @@ from annalist.operators import series as T
 from annalist.operators.activity import commit_totals
 from annalist.operators.facts import facts, is_rollup
 from annalist.operators.grouping import leaders, name_others, ranked, top_rows, with_totals
+from annalist.operators.lineage import Scratch
 
 
 def _by_commits():
@@ -132,15 +133,17 @@ def _totals(counted, period, by):
     )
 
 
-def author_ranking(commits: DataFrame, period: str = "year", by=(), limit: int | None = None) -> DataFrame:
+def author_ranking(
+    commits: DataFrame, period: str = "year", by=(), limit: int | None = None, scratch: Scratch | None = None
+) -> DataFrame:
     """Authors of every ``year`` or ``month`` (``yyyy-MM``) ranked by commits.
 
     All of them by default, through positions that spread one crowded period over many
-    tasks; with ``limit`` only the first ranks of each period.
+    tasks, in a table that ``scratch`` owns; with ``limit`` only the first ranks of each period.
     """
     by = list(by)
     counted = _period_counts(commits, period, by)
-    order = ranked(counted, [*by, period], _by_commits(), limit)
+    order = ranked(counted, [*by, period], _by_commits(), limit, scratch=scratch)
     return _shown(order, period).select(*by, period, "rank", "author_name", "commits_count")
 
 

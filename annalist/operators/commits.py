@@ -7,6 +7,7 @@ from annalist.functions import scalars as S
 from annalist.operators import carry
 from annalist.operators.graph import first_parent_chain, merge_flags
 from annalist.operators.identity import resolve_identities
+from annalist.operators.lineage import Scratch
 
 
 def commit_line_stats(commit_files: DataFrame, by=()) -> DataFrame:
@@ -77,13 +78,15 @@ def linear_history(
     file_changes: DataFrame | None = None,
     tree_entries: DataFrame | None = None,
     by=(),
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Commits on the first-parent chain of the heads; merges count their lines against
-    the first parent. Files are counted from tree listings if given, else from changes."""
+    the first parent. Files are counted from tree listings if given, else from changes.
+    ``scratch`` owns the chain's table."""
     by = list(by)
     keys = [*by, "commit_id"]
     chain = raw_commits.select(*keys, "walk_pos", "committer_timestamp").join(
-        first_parent_chain(parents, heads, by), keys, "left_semi"
+        first_parent_chain(parents, heads, by, scratch), keys, "left_semi"
     )
     if tree_entries is not None:
         files = tree_file_counts(tree_entries, by)

@@ -1,14 +1,16 @@
 """Commit-graph operators on the parents table ``(by..., commit_id, parent_id, ordinal)``.
 
 Histories are deep, so nothing walks one generation per round. Chains of first parents
-are followed by pointer doubling: 2, 4, 8 ... generations per join. Rounds are written to
-the shared folder while a plan is built. ``scratch`` is the owner of these tables: pass one
-to delete them after using the result, else they stay until the folder is cleaned.
+are contracted (``contraction.py``), times along them rise by pointer doubling: 2, 4, 8 ...
+generations per join. Rounds are written to the shared folder while a plan is built.
+``scratch`` is the owner of these tables: pass one to delete them after using the result,
+else they stay until the folder is cleaned.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.operators.contraction import Forest
 from annalist.operators.grouping import positions
 from annalist.operators.lineage import Scratch
 
@@ -35,46 +37,15 @@ def _twice(jumps: DataFrame, by) -> DataFrame:
     return jumps.join(second, [*by, "target"]).select(*by, "node", F.col("_next").alias("target"))
 
 
-def _jump_tables(first_parents: DataFrame, by, scratch: Scratch) -> list:
-    """Where 1, 2, 4 ... generations lead; the tables shrink as chains end.
+def first_parent_chain(parents: DataFrame, heads: DataFrame, by=(), scratch: Scratch | None = None) -> DataFrame:
+    """Commits met by going from each head to first parents only, heads included.
 
-    ``first_parents`` has at most one row per ``node``.
-    """
-    jumps, found = scratch.counted(first_parents.select(*by, "node", "target"))
-    tables = []
-    while found:
-        tables.append(jumps)
-        if len(tables) > MAX_DOUBLINGS:
-            raise RuntimeError("chain of first parents does not end; the parents table has a cycle")
-        jumps, found = scratch.counted(_twice(jumps, by))
-    return tables
-
-
-def _follow(tables, starts: DataFrame, by, seen: DataFrame | None = None) -> DataFrame:
-    """``starts`` and all nodes on the chains that leave them, up to those in ``seen``.
-
-    The longest jumps go first: each step is one join that adds, for every marked node, the
-    node it leads to. What a seen node leads to is seen too, so a jump that ends there is
-    too long and a shorter one covers the rest.
+    Writes at most four times the first-parent edges, however long chains are.
     """
-    keys = [*by, "node"]
-    marked = starts.select(*keys).distinct()
-    for jumps in reversed(tables):
-        both = F.explode(F.array_compact(F.array("node", "target")))
-        if seen is not None:
-            jumps = jumps.join(seen.select(*by, F.col("node").alias("target")), [*by, "target"], "left_anti")
-        marked = marked.join(jumps, keys, "left").select(*by, both.alias("node")).distinct()
-    return marked
-
-
-def first_parent_chain(parents: DataFrame, heads: DataFrame, by=(), scratch: Scratch | None = None) -> DataFrame:
-    """Commits met by going from each head to first parents only, heads included."""
     by, scratch = list(by), scratch or Scratch(parents.sparkSession)
-    tables = _jump_tables(_edges(parents, by).filter("ordinal = 0"), by, scratch)
-    starts = heads.select(*by, F.col("commit_id").alias("node"))
-    chain = scratch.keep(_follow(tables, starts, by))
-    for jumps in tables:
-        scratch.drop(jumps)
+    forest = Forest(_edges(parents, by).filter("ordinal = 0"), by, scratch)
+    chain = scratch.keep(forest.above(heads.select(*by, F.col("commit_id").alias("node"))))
+    forest.release()
     return chain.select(*by, F.col("node").alias("commit_id"))
 
 
@@ -82,25 +53,27 @@ def reachable(parents: DataFrame, heads: DataFrame, by=(), scratch: Scratch | No
     """Commits reachable from the heads, heads included.
 
     One round marks whole first-parent chains, then steps over the other parents of what
-    it marked. Rounds thus count how deep merges nest, not how long the history is. Jump
-    tables are built once. Every round marks something new, so the loop ends by itself.
+    it marked. Rounds thus count how deep merges nest, not how long the history is. Chains
+    are contracted once. Every round marks something new, so the loop ends by itself.
     """
     by, scratch = list(by), scratch or Scratch(parents.sparkSession)
     keys = [*by, "node"]
     edges = _edges(parents, by)
     sideways = scratch.keep(edges.filter("ordinal > 0").drop("ordinal"))
-    tables = _jump_tables(edges.filter("ordinal = 0"), by, scratch)
-    frontier = heads.select(*by, F.col("commit_id").alias("node")).distinct()
-    seen = None
+    forest = Forest(edges.filter("ordinal = 0"), by, scratch)
+    frontier, seen = heads.select(*by, F.col("commit_id").alias("node")).distinct(), None
     while True:
+        found = forest.above(frontier, seen)
+        if seen is not None:
+            found = found.join(seen, keys, "left_anti")
         # rounds share a folder, so what has been marked is one scan however many there were
-        seen, marked = scratch.append("marked", _follow(tables, frontier, by, seen))
+        seen, marked = scratch.append("marked", found)
         beside = sideways.join(marked, keys).select(*by, F.col("target").alias("node")).distinct()
-        frontier, found = scratch.counted(beside.join(seen, keys, "left_anti"))
-        if not found:
+        frontier, more = scratch.counted(beside.join(seen, keys, "left_anti"))
+        if not more:
             break
-    for table in (*tables, sideways):
-        scratch.drop(table)
+    forest.release()
+    scratch.drop(sideways)
     return seen.select(*by, F.col("node").alias("commit_id"))
 
 

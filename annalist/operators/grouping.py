@@ -62,10 +62,10 @@ def positions(df: DataFrame, by, order, name: str = "rank", scratch: Scratch | N
     )
 
 
-def ranked(df: DataFrame, by, order, limit: int | None = None, rank: str = "rank") -> DataFrame:
-    """Ranks inside groups; all rows when ``limit`` is absent."""
+def ranked(df: DataFrame, by, order, limit: int | None = None, rank: str = "rank", scratch: Scratch | None = None) -> DataFrame:
+    """Ranks inside groups; all rows when ``limit`` is absent, through a table that ``scratch`` owns."""
     if limit is None:
-        return positions(df, by, order, rank)
+        return positions(df, by, order, rank, scratch)
     return top_rows(df, by, order, limit, rank)
 
 

@@ -672,10 +672,14 @@ sql(
 sql(
     "topological_order_equal_clocks",
     """
-    WITH RECURSIVE raised(x, t) AS (
-        SELECT o_orderkey, CAST(7 AS BIGINT) FROM orders UNION
-        SELECT e.child, r.t + 1 FROM raised r JOIN {{edges}} e ON e.parent = r.x),
-    top AS (SELECT x, max(t) AS t FROM raised GROUP BY x)
+    -- longest paths from the last key down; parents of a key are at most ten keys later
+    WITH RECURSIVE keys AS (SELECT list(o_orderpriority = '1-URGENT' ORDER BY o_orderkey) AS two, count(*) AS n FROM orders),
+    top(x, t, later) AS (
+        SELECT n - 1, CAST(7 AS BIGINT), [CAST(7 AS BIGINT)] FROM keys UNION ALL
+        SELECT x, t, list_prepend(t, later)[1:10]
+        FROM (SELECT x, later, greatest(7, coalesce(later[1 + x % 3], 6) + 1,
+                     CASE WHEN two[x + 1] THEN coalesce(later[4 + x % 7], 6) + 1 ELSE 7 END) AS t
+              FROM (SELECT x - 1 AS x, later FROM top WHERE x > 0), keys))
     SELECT lpad(CAST(x AS VARCHAR), 9, '0') AS commit_id, row_number() OVER (ORDER BY t DESC, x) - 1 AS walk_pos FROM top""",
 )
 FILE_COUNTS = """

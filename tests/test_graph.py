@@ -6,7 +6,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from annalist import schemas as T
-from annalist.operators import graph
+from annalist.operators import contraction, graph
 from annalist.operators.grouping import positions
 from annalist.operators.lineage import Scratch
 
@@ -76,10 +76,36 @@ def test_several_heads_and_repositories(spark):
     assert sorted(rows(counts)) == [("r", 8), ("s", 3)]
 
 
-def test_a_cycle_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(graph, "MAX_DOUBLINGS", 3)
+@pytest.mark.parametrize("few", [0, 100])
+def test_a_cycle_is_an_error(spark, monkeypatch, few):
+    monkeypatch.setattr(contraction, "FEW", few)
+    ring = [(str(i), str((i + 1) % 9), 0) for i in range(9)]
     with pytest.raises(RuntimeError):
-        graph.first_parent_chain(parents(spark, [("a", "b", 0), ("b", "a", 0)]), heads(spark, "a"))
+        graph.first_parent_chain(parents(spark, [("x", "3", 0), *ring]), heads(spark, "x"))
+
+
+@pytest.mark.parametrize("few", [6, 1000])
+def test_contracted_histories(spark, monkeypatch, few, seed=3):
+    """Heads in the middle, several on one chain, unknown ones; every level of contraction."""
+    monkeypatch.setattr(contraction, "FEW", few)
+    edges = random_history(100, seed)
+    table = parents(spark, [(str(c), str(p), o) for c, p, o in edges])
+    starts = (0, 31, 32, 90, 500)
+    found = ids(graph.first_parent_chain(table, heads(spark, *map(str, starts))))
+    assert found == {str(n) for s in starts for n in walk(edges, s, {0})}
+    assert ids(graph.reachable(table, heads(spark, "31", "90"))) == {str(n) for s in (31, 90) for n in walk(edges, s, {0, 1})}
+
+
+def test_contraction_writes_four_times_the_edges_at_most(spark):
+    """A line of 30,000 commits and a star of as many."""
+    line = spark.range(30_000).selectExpr("cast(id as string) as node", "cast(id + 1 as string) as target")
+    star = spark.range(30_000).selectExpr("concat('s', id) as node", "'hub' as target")
+    with Scratch(spark) as scratch:
+        forest = contraction.Forest(line.unionByName(star), [], scratch, few=500)
+        assert sum(forest.rows) <= 4 * 60_000 and forest.rows[-1] <= 500
+        starts = spark.createDataFrame([("29000",), ("s5",)], "node string")
+        found = {r.node for r in forest.above(starts).collect()}
+        assert found == {str(n) for n in range(29_000, 30_001)} | {"s5", "hub"}
 
 
 def test_topological_order_repairs_clocks(spark):
