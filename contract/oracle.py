@@ -753,6 +753,38 @@ sql(
            CAST(epoch(CAST(period AS TIMESTAMP)) AS BIGINT) * 1000 AS epoch_millis FROM ({MONTH_SERIES})""",
 )
 
+HEAT = "CAST(floor(CAST(commits_count AS DOUBLE) / max(commits_count) OVER () * 9) AS BIGINT) AS heat"
+sql(
+    "report_months_of_year",
+    f"""
+    SELECT *, {HEAT}
+    FROM (SELECT m AS month, strftime(make_date(2024, m, 1), '%b') AS month_name, count(ts) AS commits_count
+          FROM (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS m) LEFT JOIN {{{{commits}}}} ON month(ts) = m GROUP BY m)""",
+)
+sql("report_timezones", f"SELECT *, {HEAT} FROM ({TEXTS['timezones']})")
+sql("report_weekday_hours", TEXTS["heat_levels"])
+sql("report_author_series", TEXTS["author_top_others_w"])
+sql("report_extensions", TEXTS["extension_shares"].replace(_extensions("{{page_files}}"), TEXTS["extensions_folded"]))
+sql("report_tags", TEXTS["tags_recent"])
+#: tables of a written report, and the query whose rows they have
+REPORT = {
+    "author_days": "author_days", "general": "general", "months_of_current_year": "current_year_months", "years": "history_y",
+    "years_and_months": "year_month", "review_durations": "review_bins", "weekday_hours": "heat_levels",
+    "weekday_hour_margins": "weekday_hour_margins", "timezones": "timezones", "months_of_year": "report_months_of_year",
+    "top_authors": "top_authors", "remaining_authors": "remaining_authors", "authors_of_months": "author_of_month",
+    "authors_of_years": "author_of_year", "author_series": "author_top_others_w", "domains": "domains_others",
+    "files_overview": "files_page", "file_series": "linear_history_w", "extensions": "report_extensions",
+    "contribution": "contribution_others", "knowledge_carriers": "carriers_top", "top_files": "top_files",
+    "tags": "tags_recent", "tag_contributors": "tag_contributors", "tags_count": "tags_count",
+}
+sql(
+    "report_written",
+    " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, count(*) AS rows_count FROM ({text})"
+        for table, text in {**{t: TEXTS[q] for t, q in REPORT.items()}, "recent_weeks": "SELECT * FROM range(32)"}.items()
+    ),
+)
+
 TEXTS["authors_by_lines"], ORACLE["authors_by_lines"] = TEXTS["authors_sorted"], ORACLE["authors_sorted"]
 
 # --- parsed exports -----------------------------------------------------------------

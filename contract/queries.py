@@ -1,10 +1,14 @@
 """One query per operator, on history tables derived from the driver's tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import scalars as S
 from annalist.operators import activity, authors, commits as extract, facts, graph, identity, revision, tags
 from annalist.operators.grouping import positions
+from annalist.operators.lineage import Scratch
 from annalist.plans import report
 from annalist.sources import exports
 from contract import views as V
@@ -625,6 +629,33 @@ def file_series(spark, sf):
     return report.file_series(_history_of(spark, sf), report.Options(time_sampling="M"))
 
 
+#: settings of the report queries, as a user writes them; keys that no setting has are left out
+SETTINGS = """{"max_domains": 3, "max_recent_tags": 4, "orphaned_extension_count": 2, "colormap": "classic"}"""
+
+
+def _report_table(name):
+    def run(spark, sf):
+        options = report.Options.from_json(SETTINGS)
+        return report.report_tables(_history_of(spark, sf), V.BLAME_AS_OF, options)[name]
+
+    run.__name__ = f"report_{name}"
+    query(run)
+
+
+for _name in ("months_of_year", "timezones", "weekday_hours", "author_series", "extensions", "tags"):
+    _report_table(_name)
+
+
+@query
+def report_written(spark, sf):
+    """Writes the whole report to the shared folder and counts the rows of every table there."""
+    folder = f"{Scratch(spark).folder}/report"
+    options = report.Options.from_json(SETTINGS)
+    names = report.write_report(_history_of(spark, sf), folder, V.BLAME_AS_OF, options)
+    tables = [spark.read.parquet(f"{folder}/{n}").select(F.lit(n).alias("table_name")) for n in names]
+    return reduce(DataFrame.unionAll, [t.groupBy("table_name").count() for t in tables]).withColumnRenamed("count", "rows_count")
+
+
 # --- keyed forms: many repositories in one job, one of them with most rows --------------
 
 BY = ["repo_id"]
