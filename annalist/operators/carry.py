@@ -13,6 +13,21 @@ from annalist.functions.scalars import integer_div
 CHUNK = 100_000
 
 
+def running_max(df: DataFrame, by, position: str, value: str, chunk: int = CHUNK) -> DataFrame:
+    """Replace ``value`` by its maximum over all rows up to ``position``; NULLs count as nothing.
+
+    Rows with equal positions may see each other or not.
+    """
+    by = list(by)
+    cut = df.withColumn("_chunk", integer_div(position, chunk))
+    ends = cut.groupBy(*by, "_chunk").agg(F.max(value).alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "_chunk", F.max("_end").over(before).alias("_carry"))
+    inside = Window.partitionBy(*by, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ran = cut.withColumn(value, F.max(value).over(inside)).join(ends, [*by, "_chunk"], "left")
+    return ran.select(*[F.greatest(value, "_carry").alias(value) if c == value else c for c in df.columns])
+
+
 def carry(df: DataFrame, by, position: str, sums=(), fills=(), chunk: int = CHUNK) -> DataFrame:
     """Replace ``sums`` by their sum over all rows up to ``position``, and NULLs in
     ``fills`` by the last value at a lower ``position``. Positions are unique."""

@@ -1,8 +1,8 @@
 """Commit-graph operators on the parents table ``(by..., commit_id, parent_id, ordinal)``.
 
-Histories are deep, so nothing walks one generation per round. Chains of first parents
-are contracted (``contraction.py``), times along them rise by pointer doubling: 2, 4, 8 ...
-generations per join. Rounds are written to the shared folder while a plan is built.
+Histories are deep, so nothing walks one generation per round. Chains of first parents are
+contracted and numbered (``contraction.py``), so that rounds step from chain to chain. Rounds
+are written to the shared folder while a plan is built.
 ``scratch`` is the owner of these tables: pass one to delete them after using the result,
 else they stay until the folder is cleaned.
 """
@@ -10,13 +10,11 @@ else they stay until the folder is cleaned.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.operators.contraction import Forest
+from annalist.operators.carry import running_max
+from annalist.operators.contraction import Chains, Forest
 from annalist.operators.grouping import positions
 from annalist.operators.lineage import Scratch
 
-#: doublings; 2 ** 40 generations
-MAX_DOUBLINGS = 40
-
 
 def merge_flags(parents: DataFrame, by=()) -> DataFrame:
     """Commits that have parents, with their number and whether they merge."""
@@ -31,12 +29,6 @@ def _edges(parents: DataFrame, by) -> DataFrame:
     )
 
 
-def _twice(jumps: DataFrame, by) -> DataFrame:
-    """Jumps of double length, for nodes whose chain is that long."""
-    second = jumps.select(*by, F.col("node").alias("target"), F.col("target").alias("_next"))
-    return jumps.join(second, [*by, "target"]).select(*by, "node", F.col("_next").alias("target"))
-
-
 def first_parent_chain(parents: DataFrame, heads: DataFrame, by=(), scratch: Scratch | None = None) -> DataFrame:
     """Commits met by going from each head to first parents only, heads included.
 
@@ -52,29 +44,32 @@ def first_parent_chain(parents: DataFrame, heads: DataFrame, by=(), scratch: Scr
 def reachable(parents: DataFrame, heads: DataFrame, by=(), scratch: Scratch | None = None) -> DataFrame:
     """Commits reachable from the heads, heads included.
 
-    One round marks whole first-parent chains, then steps over the other parents of what
-    it marked. Rounds thus count how deep merges nest, not how long the history is. Chains
-    are contracted once. Every round marks something new, so the loop ends by itself.
+    History is cut into numbered chains once. What is reached of a chain is all up to one
+    height, so a round holds one row for each chain whose mark rose: it crosses the edges
+    between the old and the new mark, and raises the marks of the chains they lead to. Rounds
+    count how deep merges nest, times log2 N at most, not how long the history is. Every
+    round raises a mark, so the loop ends by itself.
     """
     by, scratch = list(by), scratch or Scratch(parents.sparkSession)
-    keys = [*by, "node"]
+    keys = [*by, "chain"]
     edges = _edges(parents, by)
-    sideways = scratch.keep(edges.filter("ordinal > 0").drop("ordinal"))
-    forest = Forest(edges.filter("ordinal = 0"), by, scratch)
-    frontier, seen = heads.select(*by, F.col("commit_id").alias("node")).distinct(), None
-    while True:
-        found = forest.above(frontier, seen)
-        if seen is not None:
-            found = found.join(seen, keys, "left_anti")
-        # rounds share a folder, so what has been marked is one scan however many there were
-        seen, marked = scratch.append("marked", found)
-        beside = sideways.join(marked, keys).select(*by, F.col("target").alias("node")).distinct()
-        frontier, more = scratch.counted(beside.join(seen, keys, "left_anti"))
-        if not more:
-            break
-    forest.release()
-    scratch.drop(sideways)
-    return seen.select(*by, F.col("node").alias("commit_id"))
+    chains = Chains(edges.filter("ordinal = 0"), edges.filter("ordinal > 0"), by, scratch)
+    start = chains.placed(heads.select(*by, F.col("commit_id").alias("node")))
+    start = start.groupBy(*keys).agg(F.max("height").alias("height"))
+    marks, fresh = scratch.append("marks", start.withColumn("before", F.lit(-1).cast("long")))
+    while not fresh.isEmpty():
+        risen = fresh.select(*keys, F.col("before").alias("_from"), F.col("height").alias("_to"))
+        crossed = chains.cross.join(risen, keys).filter("height > _from and height <= _to")
+        met = crossed.groupBy(*by, F.col("to_chain").alias("chain")).agg(F.max("to_height").alias("height"))
+        known = marks.groupBy(*keys).agg(F.max("height").alias("before"))
+        before = F.coalesce("before", F.lit(-1)).alias("before")
+        # rounds share a folder, so all marks are one scan however many rounds there were
+        marks, fresh = scratch.append("marks", met.join(known, keys, "left").select(*keys, "height", before).filter("height > before"))
+    chains.release()
+    reached = marks.groupBy(*keys).agg(F.max("height").alias("_reached"))
+    inside = chains.places.join(reached, keys).filter("height <= _reached")
+    ends = reached.select(*by, F.col("chain").alias("commit_id"))
+    return inside.select(*by, F.col("node").alias("commit_id")).unionByName(ends)
 
 
 def topological_order(
@@ -83,47 +78,76 @@ def topological_order(
     """Children-before-parents positions from 0 for exports without row numbers.
 
     Every commit gets the smallest time that is at least its own and later than that of
-    each parent; newest first is then a valid walk. Times rise along chains of first
-    parents by doubling: after a step of 2 ** k generations every commit is later than its
-    ancestors up to 2 ** (k + 1) - 1 generations back. A step that moves nothing shows that
-    no longer one would. Other parents follow, again until nothing moves. Rounds grow with
-    the logarithm of the longest run of late clocks times how deep such runs nest in
-    merges; only commits that moved are written. A time beyond the latest one by more than
-    the number of commits proves a cycle.
+    each parent; newest first is then a valid walk. Clocks are mostly right, so commits rise
+    generation by generation first, as long as each round moves at most half as many as the
+    one before: all these rounds together move at most twice as many as the first. Longer
+    runs of late clocks are settled along chains (``_along_chains``). Parents that are no
+    commits are left out.
     """
     by, scratch = list(by), scratch or Scratch(commits.sparkSession)
     keys = [*by, "commit_id"]
+    known = commits.groupBy(*keys).agg(F.max(F.col(time).cast("long")).alias("_time"))
+    times, moved = scratch.append("times", known)
     edges = _edges(parents, by)
-    others = scratch.keep(edges.filter("ordinal > 0").drop("ordinal"))
-    first = scratch.keep(edges.filter("ordinal = 0").drop("ordinal"))
-    jumps = [first]
-    times, rows = scratch.append("times", commits.select(*keys, F.col(time).cast("long").alias("_time")))
-    limits = rows.agg(F.max("_time").alias("latest"), F.count(F.lit(1)).alias("n")).first()
-
-    def rise(times, edges, generations):
-        """Moves commits behind the targets of their edges; the times, and how many moved."""
-        now = times.groupBy(*keys).agg(F.max("_time").alias("_time"))
-        targets = now.select(*by, F.col("commit_id").alias("target"), (F.col("_time") + generations).alias("_due"))
-        due = edges.join(targets, [*by, "target"]).groupBy(*by, "node").agg(F.max("_due").alias("_due"))
-        late = due.withColumnRenamed("node", "commit_id").join(now, keys).filter("_due > _time")
-        times, moved = scratch.append("times", late.select(*keys, F.col("_due").alias("_time")))
-        found = moved.agg(F.count(F.lit(1)).alias("n"), F.max("_time").alias("latest")).first()
-        if found["n"] and found["latest"] > limits["latest"] + limits["n"]:
-            raise RuntimeError("times rise without end; the parents table has a cycle")
-        return times, found["n"]
-
+    for name in ("node", "target"):
+        edges = edges.join(times.select(*by, F.col("commit_id").alias(name)), [*by, name], "left_semi")
+    edges = scratch.keep(edges)
+    before = None
     while True:
-        for k in range(MAX_DOUBLINGS):
-            if k == len(jumps):
-                jumps.append(scratch.keep(_twice(jumps[-1], by)))
-            times, moved = rise(times, jumps[k], 1 << k)
-            if not moved:
-                break
-        times, moved = rise(times, others, 1)
-        if not moved:
+        targets = moved.select(*by, F.col("commit_id").alias("target"), (F.col("_time") + 1).alias("_due"))
+        due = edges.join(targets, [*by, "target"]).groupBy(*by, F.col("node").alias("commit_id")).agg(F.max("_due").alias("_due"))
+        # times never fall, so of the rows that rounds added for one commit the latest counts
+        now = times.groupBy(*keys).agg(F.max("_time").alias("_time"))
+        times, moved = scratch.append("times", due.join(now, keys).filter("_due > _time").select(*keys, F.col("_due").alias("_time")))
+        count = moved.count()
+        if not count or (before is not None and count > before / 2):
             break
-    for table in (*jumps, others):
-        scratch.drop(table)
+        before = count
     final = times.groupBy(*keys).agg(F.max("_time").alias("_time"))
+    if count:
+        final = _along_chains(scratch.keep(final), edges, by, scratch)
+    scratch.drop(edges)
     ordered = positions(final, by, [F.desc("_time"), F.asc("commit_id")], "walk_pos", scratch)
     return ordered.select(*by, "commit_id", (F.col("walk_pos") - 1).alias("walk_pos"))
+
+
+def _along_chains(own: DataFrame, edges: DataFrame, by: list, scratch: Scratch) -> DataFrame:
+    """``own (by..., commit_id, _time)`` with the smallest times that are later than those of all parents.
+
+    History is cut into numbered chains once. Along a chain, time less height never falls,
+    so late clocks there are settled by one running maximum in chunks. Between chains only
+    the places where edges leave or arrive are compared, round after round, and only in
+    chains where one rose; rounds count how often the longest run of late clocks changes its
+    chain. A time beyond the latest one by more than the number of commits proves a cycle.
+    """
+    keys, chain, place = [*by, "commit_id"], [*by, "chain"], [*by, "chain", "height"]
+    limits = own.agg(F.max("_time").alias("latest"), F.count(F.lit(1)).alias("n")).first()
+    chains = Chains(edges.filter("ordinal = 0"), edges.filter("ordinal > 0"), by, scratch)
+    placed = chains.placed(own.select(*by, F.col("commit_id").alias("node"), "_time"))
+    rise = placed.select(*place, F.col("node").alias("commit_id"), (F.col("_time") - F.col("height")).alias("rise"))
+    base = scratch.keep(running_max(rise, chain, "height", "rise"))
+    arrivals = [F.col(f"to_{c}").alias(c) for c in ("chain", "height")]
+    ends = chains.cross.select(*place).unionByName(chains.cross.select(*by, *arrivals)).distinct()
+    points, changed = scratch.append("points", base.join(ends, place, "left_semi").select(*place, "rise"))
+    lifts = None
+    while chains.crossings:
+        due = (F.col("_rise") + F.col("to_height") + 1 - F.col("height")).alias("lift")
+        targets = changed.select(*by, F.col("chain").alias("to_chain"), F.col("height").alias("to_height"), F.col("rise").alias("_rise"))
+        dues = chains.cross.join(targets, [*by, "to_chain", "to_height"]).select(*place, due).groupBy(*place).agg(F.max("lift").alias("lift"))
+        # rises never fall, so of the rows that rounds added for one place the largest counts
+        now = points.groupBy(*place).agg(F.max("rise").alias("rise"))
+        lifts, raised = scratch.append("lifts", dues.join(now, place).filter("lift > rise").select(*place, "lift"))
+        found = raised.agg(F.max(F.col("lift") + F.col("height")).alias("latest")).first()
+        if found["latest"] is None:
+            break
+        if found["latest"] > limits["latest"] + limits["n"]:
+            raise RuntimeError("times rise without end; the parents table has a cycle")
+        moved = now.join(raised.select(*chain).distinct(), chain, "left_semi").join(raised, place, "left")
+        moved = moved.select(*place, F.col("rise").alias("_before"), F.greatest("rise", "lift").alias("rise"))
+        points, changed = scratch.append("points", running_max(moved, chain, "height", "rise").filter("rise > _before").select(*place, "rise"))
+    chains.release()
+    if lifts is not None:
+        highest = lifts.groupBy(*place).agg(F.max("lift").alias("lift"))
+        lifted = base.join(highest, place, "left").withColumn("rise", F.greatest("rise", "lift")).drop("lift")
+        base = running_max(lifted, chain, "height", "rise")
+    return base.select(*keys, (F.col("rise") + F.col("height")).alias("_time"))

@@ -108,6 +108,61 @@ def test_contraction_writes_four_times_the_edges_at_most(spark):
         assert found == {str(n) for n in range(29_000, 30_001)} | {"s5", "hub"}
 
 
+@pytest.mark.parametrize("few", [6, 1000])
+def test_chains_of_a_tree(spark, few, monkeypatch):
+    """Chains hold each edge's place, follow the heaviest neighbour and are few on every walk."""
+    monkeypatch.setattr(contraction, "FEW", few)
+    rng = random.Random(6)
+    target = {n: rng.randint(max(0, n - 4), n - 1) for n in range(1, 150)}
+    size = dict.fromkeys(range(150), 1)
+    for n in range(149, 0, -1):
+        size[target[n]] += size[n]
+    first = spark.createDataFrame([(str(n), str(t)) for n, t in target.items()], "node string, target string")
+    others = spark.createDataFrame([("140", "3"), ("0", "new")], "node string, target string")
+    with Scratch(spark) as scratch:
+        chains = contraction.Chains(first, others, [], scratch)
+        place = {r.node: (r.chain, r.height) for r in chains.places.collect()}
+        cross = sorted(rows(chains.cross))
+    at = lambda n: place.get(str(n), (str(n), 0))
+    kept = {n for n, t in target.items() if at(n)[0] == at(t)[0]}
+    assert all(at(n)[1] == at(target[n])[1] + 1 for n in kept)
+    below = {}
+    for n, t in target.items():
+        below.setdefault(t, []).append(n)
+    for t, nodes in below.items():
+        on = [n for n in nodes if n in kept]
+        assert len(on) == 1 and size[on[0]] == max(size[n] for n in nodes)
+    light = [(n, t) for n, t in target.items() if n not in kept] + [(140, 3), (0, "new")]
+    assert cross == sorted((*at(n), *at(t)) for n, t in light)
+
+
+@pytest.mark.parametrize(("few", "span"), [(6, 0), (1000, 0), (1000, 400)])
+def test_topological_order_of_equal_clocks(spark, few, span, monkeypatch):
+    """Times are the smallest that are later than those of all parents."""
+    monkeypatch.setattr(contraction, "FEW", few)
+    edges, rng = random_history(150, 8), random.Random(9)
+    own = {i: 1000 + rng.randint(0, span) for i in range(150)}
+    late = dict(own)
+    for c, p, _ in sorted(edges, reverse=True):
+        late[c] = max(late[c], late[p] + 1)
+    commits = spark.createDataFrame([(str(i), t) for i, t in own.items()], "commit_id string, t long")
+    table = parents(spark, [(str(c), str(p), o) for c, p, o in [*edges, (149, 777, 0)]]).drop("repo_id")
+    with Scratch(spark) as scratch:
+        order = dict(rows(graph.topological_order(commits, table, time="t", scratch=scratch), "commit_id", "walk_pos"))
+    assert [n for n, _ in sorted(order.items(), key=lambda r: r[1])] == [str(n) for n in sorted(own, key=lambda n: (-late[n], str(n)))]
+
+
+def test_rounds_hold_one_row_of_each_chain(spark):
+    """A comb: 3,000 commits with 300 branches off it, merged again."""
+    edges = [(str(i), str(i + 1), 0) for i in range(3000)]
+    edges += [e for i in range(0, 3000, 10) for e in ((str(i), f"b{i}", 1), (f"b{i}", str(i + 5), 0))]
+    with Scratch(spark) as scratch:
+        found = ids(graph.reachable(parents(spark, edges), heads(spark, "1000"), scratch=scratch))
+        marks = spark.read.parquet(f"{scratch.folder}/marks")
+        assert found == {str(i) for i in range(1000, 3001)} | {f"b{i}" for i in range(1000, 3000, 10)}
+        assert marks.count() == 201 and scratch.appended["marks"] <= 3
+
+
 def test_topological_order_repairs_clocks(spark):
     edges = random_history(120, 3)
     table = parents(spark, [(str(c), str(p), o) for c, p, o in edges])
