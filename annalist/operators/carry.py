@@ -7,6 +7,7 @@ So no history, however long, is ordered inside one task.
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annalist.functions.scalars import integer_div
 
@@ -30,26 +31,43 @@ def running_max(df: DataFrame, by, position: str, value: str, chunk: int = CHUNK
 
 def carry(df: DataFrame, by, position: str, sums=(), fills=(), chunk: int = CHUNK) -> DataFrame:
     """Replace ``sums`` by their sum over all rows up to ``position``, and NULLs in
-    ``fills`` by the last value at a lower ``position``. Positions are unique."""
+    ``fills`` by the last value at a lower ``position``. Positions are unique.
+
+    ``df`` is read twice: whole, and the columns named here for one row per chunk. Fills
+    that are not numbers are taken to be sparse or to repeat: their values are keys of a
+    first aggregation that hashes numbers only, so each task hands on one row per chunk
+    and different value.
+    """
     by, sums, fills = list(by), list(sums), list(fills)
+    numbers = [c for c in fills if isinstance(df.schema[c].dataType, T.NumericType)]
+    marks = [c for c in fills if c not in numbers]
     cut = df.withColumn("_chunk", integer_div(position, chunk))
-    # one row per chunk; of a fill only the place is aggregated, which hashes whatever the
-    # type of the value, and the few values that are carried on are looked up after
-    ends = cut.groupBy(*by, "_chunk").agg(
-        *[F.sum(c).alias(f"_end_{c}") for c in sums],
-        *[F.max(F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_end_{c}") for c in fills],
-    )
+
+    def place(c):
+        return F.max(F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_at_{c}")
+
+    def latest(c, at):
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(f"_end_{c}")
+
+    totals = [F.sum(c).alias(f"_end_{c}") for c in sums]
+    if marks:
+        runs = cut.groupBy(*by, "_chunk", *marks).agg(
+            *totals, *[latest(c, position) for c in numbers], *[place(c) for c in fills]
+        )
+        ends = runs.groupBy(*by, "_chunk").agg(
+            *[F.sum(f"_end_{c}").alias(f"_end_{c}") for c in sums],
+            *[F.max_by(f"_end_{c}", f"_at_{c}").alias(f"_end_{c}") for c in numbers],
+            *[latest(c, f"_at_{c}") for c in marks],
+        )
+    else:
+        ends = cut.groupBy(*by, "_chunk").agg(*totals, *[latest(c, position) for c in numbers])
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         *by,
         "_chunk",
         *[F.sum(f"_end_{c}").over(before).alias(f"_carry_{c}") for c in sums],
-        *[F.max(f"_end_{c}").over(before).alias(f"_at_{c}") for c in fills],
+        *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in fills],
     )
-    for c in fills:
-        known = df.filter(F.col(c).isNotNull())
-        known = known.select(*by, F.col(position).alias(f"_at_{c}"), F.col(c).alias(f"_carry_{c}"))
-        carried = carried.join(known, [*by, f"_at_{c}"], "left").drop(f"_at_{c}")
     inside = (
         Window.partitionBy(*by, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

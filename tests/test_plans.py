@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import contract.queries as contract
 from annalist import schemas as T
-from annalist.operators import activity, authors
+from annalist.operators import activity, authors, tags
 
 SF_DIR = "/root/testdata/sf0.001"
 # these run jobs while the plan is built
@@ -85,3 +85,22 @@ def test_top_ranks_are_cut_before_the_shuffle(spark, tmp_path):
     spark.createDataFrame([], T.COMMITS).write.parquet(path)
     plan = plan_of(authors.author_ranking(spark.read.schema(T.COMMITS).parquet(path), "month", limit=3))
     assert re.search(r"row_number\(\), 3, Partial", plan)
+
+
+def scans(df):
+    """The columns that every scan reads."""
+    return [set(re.findall(r"(\w+)#", read)) for read in re.findall(r"FileScan parquet \[(.*?)\]", plan_of(df))]
+
+
+@pytest.fixture
+def stored_commits(unbroadcast, tmp_path):
+    path = str(tmp_path / "commits")
+    unbroadcast.createDataFrame([], T.COMMITS).write.parquet(path)
+    return unbroadcast.read.schema(T.COMMITS).parquet(path)
+
+
+def test_tags_read_the_commits_once_whole_and_once_narrow(stored_commits):
+    refs = stored_commits.sparkSession.createDataFrame([("r", "c", "v1", None, None, 0)], T.TAG_REFS)
+    for by in ([], ["repo_id"]):
+        narrow, wide = sorted(scans(tags.assign_tags(stored_commits, refs, by)), key=len)
+        assert narrow == {"commit_id", "walk_pos", *by} and narrow < wide

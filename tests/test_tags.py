@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annalist import schemas as T
-from annalist.operators import tags
+from annalist.operators import carry, tags
 
 # One unreleased commit above a tag of three.
 ASSIGNED = [
@@ -87,3 +87,16 @@ def test_repositories_do_not_share_tags(spark):
     found = tags.assign_tags(one.unionByName(two), refs(spark, [("c2", "v1", "m", 1)]), ["repo_id"], chunk=2)
     assert rows(found.filter("repo_id = 's' and tag_name is not null")) == []
     assert found.filter("repo_id = 'r' and tag_name = 'v1'").count() == 4
+
+
+def test_sums_numbers_and_texts_are_carried_together(spark):
+    """Over chunks of every size, with values that come back and chunks that hold none."""
+    data = [("r" if i % 4 else "s", i, i % 3, i if i % 7 == 3 else None, "ab"[i % 2] if i % 9 == 5 else None) for i in range(60)]
+    df = spark.createDataFrame(data, "repo_id string, place long, n long, number long, text string")
+    window = Window.partitionBy("repo_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    whole = df.select(
+        "repo_id", "place", F.sum("n").over(window), *[F.last(c, ignorenulls=True).over(window) for c in ("number", "text")]
+    )
+    for chunk in (1, 4, 11, 100):
+        ran = carry.carry(df, ["repo_id"], "place", sums=["n"], fills=["number", "text"], chunk=chunk)
+        assert sorted(rows(ran), key=repr) == sorted(rows(whole), key=repr)
