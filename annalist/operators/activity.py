@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annalist.functions import scalars as S
 from annalist.functions.periods import Sampling
 from annalist.operators import series as T
-from annalist.operators.facts import facts, is_rollup
+from annalist.operators.facts import cells, facts, is_rollup
 from annalist.operators.grouping import fill_cells, fold_others, leaders
 
 
@@ -16,6 +16,10 @@ def _count():
     return F.count(F.lit(1)).alias("commits_count")
 
 
+def _sum():
+    return F.sum("commits_count").alias("commits_count")
+
+
 def commit_totals(commits: DataFrame, by=()) -> DataFrame:
     """Commits, merges, first and last commit time, active UTC days, age in days."""
     totals = (
@@ -63,13 +67,13 @@ def review_durations(commits: DataFrame, by=()) -> DataFrame:
     """
     by = list(by)
     labels = [label for _, label in S.DURATION_BINS]
-    binned = commits.select(*by, S.duration_bin("review_duration").alias("_bin"))
-    counted = binned.groupBy(*by).agg(
+
+    def commits_in(label):
+        return F.coalesce(F.sum(F.when(F.col("bin") == label, F.col("commits_count"))), F.lit(0)).alias("commits_count")
+
+    counted = cells(commits, ["bin"], by).groupBy(*by).agg(
         F.array(
-            *[
-                F.struct(F.lit(i).alias("bin_order"), F.lit(b).alias("bin"), F.count_if(F.col("_bin") == b).alias("commits_count"))
-                for i, b in enumerate(labels)
-            ]
+            *[F.struct(F.lit(i).alias("bin_order"), F.lit(b).alias("bin"), commits_in(b)) for i, b in enumerate(labels)]
         ).alias("_bins")
     )
     return counted.select(*by, F.inline("_bins")).orderBy(*by, "bin_order")
@@ -78,8 +82,9 @@ def review_durations(commits: DataFrame, by=()) -> DataFrame:
 def timezones(commits: DataFrame, by=()) -> DataFrame:
     """Commits per author time zone, west to east."""
     return (
-        commits.groupBy(*by, "author_tz_offset")
-        .agg(_count())
+        cells(commits, ["author_tz_offset"], by)
+        .groupBy(*by, "author_tz_offset")
+        .agg(_sum())
         .select(*by, "author_tz_offset", S.offset_label("author_tz_offset").alias("timezone"), "commits_count")
         .orderBy(*by, "author_tz_offset")
     )
@@ -88,8 +93,9 @@ def timezones(commits: DataFrame, by=()) -> DataFrame:
 def domains(commits: DataFrame, by=()) -> DataFrame:
     """Commits per e-mail domain, most frequent first."""
     return (
-        commits.groupBy(*by, S.email_domain("author_email").alias("domain"))
-        .agg(_count())
+        cells(commits, ["domain"], by)
+        .groupBy(*by, "domain")
+        .agg(_sum())
         .orderBy(*by, F.desc("commits_count"), "domain")
     )
 
@@ -97,7 +103,7 @@ def domains(commits: DataFrame, by=()) -> DataFrame:
 def domains_with_others(commits: DataFrame, max_domains: int = 10, by=()) -> DataFrame:
     """Most frequent domains, all further ones added up as ``Others``."""
     by = list(by)
-    counted = commits.groupBy(*by, S.email_domain("author_email").alias("domain")).agg(_count())
+    counted = cells(commits, ["domain"], by).groupBy(*by, "domain").agg(_sum())
     kept = leaders(counted, by, "domain", [F.desc("commits_count"), F.asc("domain")], max_domains)
     return fold_others(counted, kept, by, "domain", "commits_count")
 
@@ -167,17 +173,16 @@ def months_of_year(commits: DataFrame, by=(), all_months: bool = False) -> DataF
 
 
 def _weekday_hours(commits, by):
-    local = S.local_seconds("author_timestamp", "author_tz_offset")
-    return commits.groupBy(*by, S.utc_weekday(local).alias("weekday"), S.utc_hour(local).alias("hour")).agg(_count())
+    return cells(commits, ["weekday", "hour"], by).groupBy(*by, "weekday", "hour").agg(_sum())
 
 
 def weekday_hours(commits: DataFrame, by=()) -> DataFrame:
     """Commits per weekday (Monday = 0) and hour on the author's clock, all 168 cells."""
     by = list(by)
     counted = _weekday_hours(commits, by).withColumn("_cell", F.col("weekday") * 24 + F.col("hour"))
-    cells = fill_cells(counted, by, "_cell", "commits_count", 0, 167)
+    filled = fill_cells(counted, by, "_cell", "commits_count", 0, 167)
     weekday = F.call_function("div", F.col("_cell"), F.lit(24)).cast("int")
-    return cells.select(
+    return filled.select(
         *by,
         weekday.alias("weekday"),
         S.weekday_name(weekday).alias("weekday_name"),
@@ -216,13 +221,13 @@ def weekday_hour_margins(commits: DataFrame, by=()) -> DataFrame:
     )
 
 
-def heat_levels(cells: DataFrame, levels: int, by=(), value: str = "commits_count") -> DataFrame:
+def heat_levels(table: DataFrame, levels: int, by=(), value: str = "commits_count") -> DataFrame:
     """Add ``heat``: the value's place among ``levels`` steps up to the largest value.
 
-    ``cells`` is one of the small tables above (weekdays and hours, months, time zones).
+    ``table`` is one of the small ones above (weekdays and hours, months, time zones).
     """
     largest = F.max(value).over(Window.partitionBy(*by))
-    return cells.withColumn("heat", S.heat_level(value, largest, levels))
+    return table.withColumn("heat", S.heat_level(value, largest, levels))
 
 
 def commit_history(commits: DataFrame, sampling: str = "W", by=()) -> DataFrame:

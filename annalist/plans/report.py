@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from annalist.functions import scalars as S
 from annalist.functions.periods import Sampling, label_epoch_millis
 from annalist.operators import activity, authors, revision, tags
-from annalist.operators.facts import author_days
+from annalist.operators.facts import cells_of, days_of, rollups
 from annalist.operators.grouping import with_totals
+from annalist.operators.lineage import Scratch
 
 
 @dataclass(frozen=True)
@@ -116,24 +117,31 @@ def file_series(history: History, options: Options) -> DataFrame:
     return series.withColumn("epoch_millis", label_epoch_millis(F.col("period"), sample))
 
 
-def report_tables(history: History, as_of, options: Options = Options(), days: DataFrame | None = None) -> dict:
-    """All report tables by name. ``days`` may hold the author-day rollup of the commits;
-    statistics without time of day then read it instead of the commits."""
+def report_tables(
+    history: History,
+    as_of,
+    options: Options = Options(),
+    days: DataFrame | None = None,
+    cells: DataFrame | None = None,
+) -> dict:
+    """All report tables by name. ``days`` and ``cells`` may hold the rollups of the commits
+    per author and day and per cell. With both, only the recent weeks read the commits, as
+    they cut days (behind a bound on time), and an author series of periods below a day."""
     by = list(history.by)
     commits = history.commits
     facts = commits if days is None else days
     sampled = commits if Sampling.parse(options.time_sampling).is_clock else facts
-    cells = activity.weekday_hours(commits, by)
+    clocks = commits if cells is None else cells
     tables = {
         "general": general(history, facts),
         "recent_weeks": activity.recent_weeks(commits, as_of, options.recent_weeks, by, histories=facts),
         "months_of_current_year": activity.months_of_current_year(facts, as_of, by),
         "years": activity.commit_history(facts, "Y", by),
         "years_and_months": activity.years_and_months(facts, by),
-        "review_durations": activity.review_durations(commits, by),
-        "weekday_hours": activity.heat_levels(cells, options.heat_levels, by),
-        "weekday_hour_margins": activity.weekday_hour_margins(commits, by),
-        "timezones": activity.heat_levels(activity.timezones(commits, by), options.heat_levels, by),
+        "review_durations": activity.review_durations(clocks, by),
+        "weekday_hours": activity.heat_levels(activity.weekday_hours(clocks, by), options.heat_levels, by),
+        "weekday_hour_margins": activity.weekday_hour_margins(clocks, by),
+        "timezones": activity.heat_levels(activity.timezones(clocks, by), options.heat_levels, by),
         "months_of_year": activity.heat_levels(
             activity.months_of_year(facts, by, all_months=True), options.heat_levels, by
         ),
@@ -146,7 +154,7 @@ def report_tables(history: History, as_of, options: Options = Options(), days: D
         "author_series": authors.top_author_history(
             sampled, options.time_sampling, options.max_plot_authors_count, by
         ),
-        "domains": activity.domains_with_others(commits, options.max_domains, by),
+        "domains": activity.domains_with_others(clocks, options.max_domains, by),
         "files_overview": files_overview(history, options, as_of),
         "file_series": file_series(history, options),
         "extensions": revision.extension_shares(
@@ -177,15 +185,20 @@ def write_report(
 ) -> list:
     """Write every report table to ``path/<table>`` and return the table names.
 
-    The author-day rollup is written first (``path/author_days``) and read back: later
-    tables scan it instead of the commits, and it survives a lost executor.
+    The rollups ``author_days`` and ``commit_cells`` come first, from one pass over the
+    commits, and are read back: later tables scan them instead, and they survive a lost
+    executor. The commits are read twice in all, the second time for the recent weeks.
     """
-    spark = history.commits.sparkSession
-    rollup = f"{path}/author_days"
-    days = author_days(history.commits, list(history.by))
-    days.write.format(format).mode(mode).save(rollup)
-    days = spark.read.format(format).schema(days.schema).load(rollup)
-    tables = report_tables(history, as_of, options, days)
-    for name, table in tables.items():
+    spark, by = history.commits.sparkSession, list(history.by)
+
+    def save(table, name):
         table.write.format(format).mode(mode).save(f"{path}/{name}")
-    return ["author_days", *tables]
+        return spark.read.format(format).schema(table.schema).load(f"{path}/{name}")
+
+    with Scratch(spark) as scratch:
+        both = scratch.keep(rollups(history.commits, by))
+        days, cells = save(days_of(both, by), "author_days"), save(cells_of(both, by), "commit_cells")
+    tables = report_tables(history, as_of, options, days, cells)
+    for name, table in tables.items():
+        save(table, name)
+    return ["author_days", "commit_cells", *tables]

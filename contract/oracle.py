@@ -178,15 +178,17 @@ LINES = """
            CAST(sum(insertions) - sum(deletions) AS BIGINT) AS total_lines_count FROM {{linear}}"""
 sql("line_totals", LINES)
 sql("active_days", "SELECT count(DISTINCT strftime(ts, '%Y-%m-%d')) AS active_days_count FROM {{commits}}")
-sql(
-    "review_bins",
-    """
-    WITH bins(bin_order, bin, low, high) AS (VALUES
+# The review-duration bins.
+BINS = """(VALUES
         (0, '= 0s', -1, 1), (1, '< 1hour', 1, 3600), (2, '< 1day', 3600, 86400), (3, '< 2days', 86400, 172800),
         (4, '< 1week', 172800, 604800), (5, '< 2weeks', 604800, 1209600), (6, '< 1month', 1209600, 2592000),
-        (7, '< 6 months', 2592000, 15811200), (8, '< 3 years', 15811200, 94608000))
+        (7, '< 6 months', 2592000, 15811200), (8, '< 3 years', 15811200, 94608000)) bins(bin_order, bin, low, high)"""
+BIN = f"(SELECT bin FROM {BINS} WHERE review_duration > low AND review_duration <= high) AS bin"
+sql(
+    "review_bins",
+    f"""
     SELECT CAST(bin_order AS BIGINT) AS bin_order, bin, count(commit_id) AS commits_count
-    FROM bins LEFT JOIN {{commits}} ON review_duration > low AND review_duration <= high
+    FROM {BINS} LEFT JOIN {{{{commits}}}} ON review_duration > low AND review_duration <= high
     GROUP BY ALL""",
 )
 sql(
@@ -709,12 +711,7 @@ sql(
              || lpad(CAST(abs(author_tz_offset) % 60 AS VARCHAR), 2, '0') AS timezone,
            isodow(l) - 1 AS weekday, strftime(l, '%A') AS weekday_name, hour(l) AS hour,
            strftime(ts, '%Y-%m') AS month, strftime(ts, '%b') AS month_name,
-           CASE WHEN review_duration < 0 THEN NULL WHEN review_duration <= 1 THEN '= 0s'
-                WHEN review_duration <= 3600 THEN '< 1hour' WHEN review_duration <= 86400 THEN '< 1day'
-                WHEN review_duration <= 172800 THEN '< 2days' WHEN review_duration <= 604800 THEN '< 1week'
-                WHEN review_duration <= 1209600 THEN '< 2weeks' WHEN review_duration <= 2592000 THEN '< 1month'
-                WHEN review_duration <= 15811200 THEN '< 6 months' WHEN review_duration <= 94608000 THEN '< 3 years'
-           END AS bin,
+           {BIN},
            author_timestamp * 1000 AS epoch_millis,
            CASE WHEN walk_pos % 3 = 0 THEN 0.0::DOUBLE ELSE CAST(walk_pos AS DOUBLE) / (walk_pos % 3) END AS ratio
     FROM (SELECT *, ts + to_minutes(author_tz_offset) AS l FROM {{{{commits}}}})""",
@@ -766,6 +763,14 @@ sql("report_weekday_hours", TEXTS["heat_levels"])
 sql("report_author_series", TEXTS["author_top_others_w"])
 sql("report_extensions", TEXTS["extension_shares"].replace(_extensions("{{page_files}}"), TEXTS["extensions_folded"]))
 sql("report_tags", TEXTS["tags_recent"])
+sql(
+    "commit_cells",
+    f"""
+    SELECT CAST(author_tz_offset AS BIGINT) AS author_tz_offset, isodow(l) - 1 AS weekday, hour(l) AS hour, bin, domain,
+           count(*) AS commits_count
+    FROM (SELECT *, {BIN}, {_domain("author_email")} AS domain, ts + to_minutes(author_tz_offset) AS l FROM {{{{commits}}}})
+    GROUP BY ALL""",
+)
 #: tables of a written report, and the query whose rows they have
 REPORT = {
     "author_days": "author_days", "general": "general", "months_of_current_year": "current_year_months", "years": "history_y",
@@ -776,6 +781,7 @@ REPORT = {
     "files_overview": "files_page", "file_series": "linear_history_w", "extensions": "report_extensions",
     "contribution": "contribution_others", "knowledge_carriers": "carriers_top", "top_files": "top_files",
     "tags": "tags_recent", "tag_contributors": "tag_contributors", "tags_count": "tags_count",
+    "commit_cells": "commit_cells",
 }
 sql(
     "report_written",

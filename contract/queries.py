@@ -189,6 +189,11 @@ def author_days(spark, sf):
     return facts.author_days(V.commits(spark, sf, lines=True))
 
 
+@query
+def commit_cells(spark, sf):
+    return facts.cells_of(facts.rollups(V.commits(spark, sf, lines=True)))
+
+
 @query
 def author_summary_of_rollup(spark, sf):
     return authors.author_summary(facts.author_days(V.commits(spark, sf, lines=True)))
@@ -680,6 +685,7 @@ for _name, _build in {
     "current_year_months": lambda c: activity.months_of_current_year(c, V.BLAME_AS_OF, BY),
     "weekday_hour": lambda c: activity.weekday_hours(c, BY),
     "weekday_hour_margins": lambda c: activity.weekday_hour_margins(c, BY),
+    "commit_cells": lambda c: facts.cells_of(facts.rollups(c, BY), BY),
     "history_2w": lambda c: activity.commit_history(c, "2W", BY),
     "linear_history_w": lambda c: activity.line_history(c, "W", BY),
     "author_summary": lambda c: authors.author_summary(c, BY),

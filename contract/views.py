@@ -38,6 +38,7 @@ KEYED = {
     "current_year_months": ("commits", "walk_pos"),
     "weekday_hour": ("event_commits", "walk_pos"),
     "weekday_hour_margins": ("commits", "walk_pos"),
+    "commit_cells": ("commits", "walk_pos"),
     "history_2w": ("commits", "walk_pos"),
     "linear_history_w": ("linear", "CAST(commit_id AS BIGINT)"),
     "author_summary": ("commits", "walk_pos"),

@@ -1,11 +1,13 @@
 import pytest
 from helpers import rows
+from pyspark.sql import types
 from samples import blame, commits, files
 from test_tags import history as tagged_history
 from test_tags import refs
 
 from annalist import schemas as T
 from annalist.operators import tags
+from annalist.operators.facts import author_days, cells_of, commit_cells, days_of, rollups
 from annalist.plans.report import History, Options, general, report_tables, write_report
 
 
@@ -33,7 +35,7 @@ def test_written_report_equals_the_lazy_tables(spark, tmp_path, by, format):
     path = str(tmp_path / "report")
     names = write_report(history, path, 1583449674, format=format)
     tables = report_tables(history, 1583449674)
-    assert names == ["author_days", *tables]
+    assert names == ["author_days", "commit_cells", *tables]
     for name, table in tables.items():
         read = spark.read.format(format).schema(table.schema).load(f"{path}/{name}")
         assert sorted(map(repr, rows(read))) == sorted(map(repr, rows(table))), name
@@ -52,3 +54,36 @@ def test_optional_parts(spark):
 def test_clock_sampling_reads_the_commits(spark, tmp_path):
     names = write_report(sample(spark), str(tmp_path / "report"), 1583449674, Options(time_sampling="12H"))
     assert "author_series" in names
+
+
+@pytest.mark.parametrize("by", [(), ("repo_id",)])
+def test_one_pass_makes_both_rollups(spark, by):
+    """Also of merged rollups, and with NULLs in every key."""
+    loose = types.StructType([types.StructField(f.name, f.dataType) for f in T.COMMITS])
+    odd = spark.createDataFrame([("r", *[None] * 10)], loose)
+    history = commits(spark).unionByName(odd)
+    both = rollups(history, by)
+    for found, alone in ((days_of(both, by), author_days(history, by)), (cells_of(both, by), commit_cells(history, by))):
+        assert found.columns == alone.columns
+        assert sorted(map(repr, rows(found))) == sorted(map(repr, rows(alone)))
+    twice = commit_cells(commit_cells(commits(spark), by).unionByName(commit_cells(odd, by)), by)
+    assert sorted(map(repr, rows(twice))) == sorted(map(repr, rows(cells_of(both, by))))
+
+
+@pytest.mark.parametrize("by", [(), ("repo_id",)])
+def test_commits_are_read_by_the_rollups_and_the_recent_weeks_only(spark, tmp_path, by):
+    def stored(name, table):
+        table.write.parquet(str(tmp_path / name))
+        return spark.read.schema(table.schema).parquet(str(tmp_path / name))
+
+    given = sample(spark, by)
+    names = ("commits", "linear_history", "files", "blame", "assigned_tags")
+    history = History(*[stored(name, getattr(given, name)) for name in names], by)
+    plan = rollups(history.commits, by)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Expand") == 1
+    both = rollups(history.commits, by)
+    days, cells = stored("days", days_of(both, by)), stored("cells", cells_of(both, by))
+    tables = report_tables(history, 1583449674, Options(), days, cells)
+    assert {n for n, t in tables.items() if any("/commits/" in f for f in t.inputFiles())} == {"recent_weeks"}
+    plan = tables["recent_weeks"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("GreaterThanOrEqual(author_timestamp") == plan.count("author_timestamp:bigint") == 1
