@@ -636,6 +636,12 @@ sql("tags_count", "SELECT count(*) AS tags_count FROM (SELECT DISTINCT tag_name
 # --- identities, extraction, graph --------------------------------------------------
 
 sql("identities", "SELECT commit_id, author_name, author_email FROM {{mapped}}")
+sql(
+    "identities_crowded",
+    """
+    SELECT commit_id, CASE WHEN walk_pos % 2 = 0 THEN 'Builder' ELSE author_name END AS author_name,
+           CASE WHEN walk_pos % 2 = 0 THEN 'robot@team.example' ELSE author_email END AS author_email FROM {{mapped}}""",
+)
 sql(
     "merge_flags",
     """SELECT lpad(CAST(child AS VARCHAR), 9, '0') AS commit_id, count(*) AS parents_count, count(*) > 1 AS is_merge

@@ -462,6 +462,13 @@ def identities(spark, sf):
     return mapped.select("commit_id", "author_name", "author_email")
 
 
+@query
+def identities_crowded(spark, sf):
+    """One e-mail holds half of the rows."""
+    mapped = identity.resolve_identities(V.crowded_commits(spark, sf), V.crowded_mailmap(spark, sf))
+    return mapped.select("commit_id", "author_name", "author_email")
+
+
 @query
 def merge_flags(spark, sf):
     return graph.merge_flags(V.parents(spark, sf))

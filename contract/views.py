@@ -371,3 +371,21 @@ def mailmap(spark, sf_dir):
         f"upper({EMAIL}) as match_email",
         "c_custkey as rule_order",
     )
+
+
+def crowded_commits(spark, sf_dir):
+    """Half of the commits are of one person."""
+    return raw_commits(spark, sf_dir).selectExpr(
+        "* except (author_name, author_email)",
+        "if(walk_pos % 2 = 0, 'Build Robot', author_name) as author_name",
+        "if(walk_pos % 2 = 0, 'robot@team.example', author_email) as author_email",
+    )
+
+
+def crowded_mailmap(spark, sf_dir):
+    """The rules, and one for that person."""
+    robot = table(spark, sf_dir, "region").filter("r_regionkey = 0").selectExpr(
+        "'Builder' as canonical_name", "cast(null as string) as canonical_email", "'build robot' as match_name",
+        "'ROBOT@team.example' as match_email", "0L as rule_order",
+    )
+    return mailmap(spark, sf_dir).unionByName(robot)

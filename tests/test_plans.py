@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import contract.queries as contract
 from annalist import schemas as T
-from annalist.operators import activity, authors, tags
+from annalist.operators import activity, authors, identity, tags
 
 SF_DIR = "/root/testdata/sf0.001"
 # these run jobs while the plan is built
@@ -104,3 +104,15 @@ def test_tags_read_the_commits_once_whole_and_once_narrow(stored_commits):
     for by in ([], ["repo_id"]):
         narrow, wide = sorted(scans(tags.assign_tags(stored_commits, refs, by)), key=len)
         assert narrow == {"commit_id", "walk_pos", *by} and narrow < wide
+
+
+def test_a_crowded_identity_is_dealt_to_shares(stored_commits):
+    """Rules meet different pairs only; rows are shuffled once, by name, e-mail and share."""
+    rules = stored_commits.sparkSession.createDataFrame([("r", "A", None, None, "a@x", 0)], T.MAILMAP)
+    resolved = identity.resolve_identities(stored_commits, rules, by=["repo_id"])
+    narrow, wide = sorted(scans(resolved), key=len)
+    assert narrow == {"repo_id", "author_name", "author_email"} and len(wide) == len(T.COMMITS)
+    rows = [keys for keys in re.findall(r"hashpartitioning\((.*?), \d+\)", plan_of(resolved)) if "_share" in keys]
+    assert len(rows) == 2 and all("author" in keys or "_written" in keys for keys in rows)
+    bare = identity.resolve_identities(stored_commits, rules, by=["repo_id"]).select("commit_id", "author_name")
+    assert max(scans(bare), key=len) == {"repo_id", "commit_id", "author_name", "author_email"}

@@ -173,6 +173,33 @@ def test_a_rule_joins_two_people_and_keeps_both_addresses(spark):
     assert mapped == [("r", "John Doe", "author@author.net"), ("r", "John Doe", "john@doe.com")]
 
 
+def test_shares_change_no_name(spark):
+    """Repeated rows, names and addresses that are NULL, and a table without commits."""
+    rules = spark.createDataFrame(
+        [("r", "One", None, None, "a@x", 0), ("r", "Two", None, "b", "a@x", 1), ("r", None, "n@x", None, "", 2)], T.MAILMAP
+    )
+    people = [("r", n, e) for n in ("b", "B", "", None, "c") for e in ("a@x", "A@X", "", None, "z@x")] * 3
+    df = spark.createDataFrame(people, "repo_id string, author_name string, author_email string")
+
+    def name(n, e):
+        if e in ("a@x", "A@X"):
+            return "Two" if n in ("b", "B") else "One"
+        return n or "Empty Empty"
+
+    # the rule of the empty address names a new one, so a person with a name keeps the empty one
+    address = {None: "empty@empty.empty"}
+    expected = sorted(
+        ("r", name(n, e), "empty@empty.empty" if e == "" and not n else address.get(e, e)) for _, n, e in people
+    )
+    for salts in (1, 5):
+        assert sorted(rows(resolve_identities(df, rules, by=["repo_id"], salts=salts))) == expected
+    assert resolve_identities(df.limit(0), rules, by=["repo_id"]).count() == 0
+    other = df.withColumn("repo_id", F.lit("s"))
+    both = resolve_identities(df.unionByName(other), rules, by=["repo_id"])
+    assert sorted(rows(both.filter("repo_id = 'r'"))) == expected
+    assert both.filter("repo_id = 's' and author_name in ('One', 'Two')").count() == 0
+
+
 def test_committers_without_address_are_credited_to_the_author(spark):
     commit = ("r", "c", 0, "A", "a@x", 10, 0, "C", "", 20)
     commits = spark.createDataFrame([commit, ("r", "d", 1, "A", "a@x", 10, 0, "C", "c@x", 20)], T.RAW_COMMITS)
