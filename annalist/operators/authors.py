@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from annalist.functions import scalars as S
 from annalist.functions.periods import Sampling, label_epoch_millis
 from annalist.operators import series as T
-from annalist.operators.activity import commit_totals
 from annalist.operators.facts import facts, is_rollup
 from annalist.operators.grouping import leaders, name_others, ranked, top_rows, with_totals
 from annalist.operators.lineage import Scratch
@@ -66,11 +65,16 @@ def authors_count(commits: DataFrame, by=()) -> DataFrame:
     return commits.groupBy(*by).agg(F.count_distinct("author_name").alias("authors_count"))
 
 
-def top_authors(commits: DataFrame, max_authors: int = 20, by=()) -> DataFrame:
-    """Summaries of the authors with most commits, with their share of all commits."""
-    by = list(by)
-    kept = top_rows(author_summary(commits, by), by, _by_commits(), max_authors)
-    totals = commit_totals(commits, by).select(*by, F.col("commits_count").alias("_total"))
+def top_authors(commits: DataFrame, max_authors: int = 20, by=(), scratch: Scratch | None = None) -> DataFrame:
+    """Summaries of the authors with most commits, with their share of all commits.
+
+    The summary of all authors is written once, in a table that ``scratch`` owns; the top
+    and the total are taken from it, so commits are read once.
+    """
+    by, scratch = list(by), scratch or Scratch(commits.sparkSession)
+    summary = scratch.keep(author_summary(commits, by))
+    kept = top_rows(summary, by, _by_commits(), max_authors)
+    totals = summary.groupBy(*by).agg(F.sum("commits_count").alias("_total"))
     return (
         with_totals(kept, totals, by)
         .withColumn("commits_percent", S.guarded_percent("commits_count", "_total"))
@@ -205,27 +209,29 @@ def author_history(commits: DataFrame, sampling: str = "W", by=()) -> DataFrame:
 
 
 def top_author_history(
-    commits: DataFrame, sampling: str = "W", max_authors: int = 10, by=()
+    commits: DataFrame, sampling: str = "W", max_authors: int = 10, by=(), scratch: Scratch | None = None
 ) -> DataFrame:
     """Cumulative lines and commits of the authors with most commits and of all others.
 
     The tail is folded before rows are shuffled and gaps filled, so at most
     ``max_authors + 1`` lines per period and history travel. ``commits_delta`` is the change
     against the period before, 0 in the first one; ``period_commits_count`` the true count.
+
+    Sums per author and single period are written once, in a table that ``scratch`` owns;
+    the leaders and the series are taken from it, so commits are read once.
     """
-    by = list(by)
+    by, scratch = list(by), scratch or Scratch(commits.sparkSession)
     sample = Sampling.parse(sampling)
     measures = ["insertions", "commits_count"]
     rows, index = _timed_rows(commits, sample, by)
-    kept = leaders(commit_counts(commits, by), by, "author_name", _by_commits(), max_authors)
-    if by:
-        # the list grows with the histories, so the join may shuffle: sum up first
-        rows = rows.groupBy(*by, "author_name", index.alias("_single")).agg(*[F.sum(m).alias(m) for m in measures])
-        index = F.col("_single")
+    summed = rows.groupBy(*by, "author_name", index.alias("_single")).agg(*[F.sum(m).alias(m) for m in measures])
+    rows = scratch.keep(summed)
+    counted = rows.groupBy(*by, "author_name").agg(F.sum("commits_count").alias("commits_count"))
+    kept = leaders(counted, by, "author_name", _by_commits(), max_authors)
     # rank is NULL in the folded line, and join keys must be comparable
     named = name_others(rows, kept, by, "author_name").fillna(0, subset=["rank"])
     labels = ["author_name", "is_others", "rank"]
-    folded = T.aggregate_periods(named, index, sample, by, labels, measures)
+    folded = T.aggregate_periods(named, F.col("_single"), sample, by, labels, measures)
     filled = T.fill_gaps(folded, sample, by, measures, labels)
     filled = filled.withColumn("period_commits_count", F.col("commits_count"))
     ran = T.running(filled, sample, [*by, *labels], sums=measures)

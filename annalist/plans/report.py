@@ -123,41 +123,44 @@ def report_tables(
     options: Options = Options(),
     days: DataFrame | None = None,
     cells: DataFrame | None = None,
+    scratch: Scratch | None = None,
+    names: list | None = None,
 ) -> dict:
-    """All report tables by name. ``days`` and ``cells`` may hold the rollups of the commits
+    """All report tables by name, or those of ``names``. ``days`` and ``cells`` may hold the rollups of the commits
     per author and day and per cell. With both, only the recent weeks read the commits, as
-    they cut days (behind a bound on time), and an author series of periods below a day."""
+    they cut days (behind a bound on time), and an author series of periods below a day.
+    ``scratch`` owns the summaries of authors that are written while the tables are built."""
     by = list(history.by)
     commits = history.commits
     facts = commits if days is None else days
     sampled = commits if Sampling.parse(options.time_sampling).is_clock else facts
     clocks = commits if cells is None else cells
     tables = {
-        "general": general(history, facts),
-        "recent_weeks": activity.recent_weeks(commits, as_of, options.recent_weeks, by, histories=facts),
-        "months_of_current_year": activity.months_of_current_year(facts, as_of, by),
-        "years": activity.commit_history(facts, "Y", by),
-        "years_and_months": activity.years_and_months(facts, by),
-        "review_durations": activity.review_durations(clocks, by),
-        "weekday_hours": activity.heat_levels(activity.weekday_hours(clocks, by), options.heat_levels, by),
-        "weekday_hour_margins": activity.weekday_hour_margins(clocks, by),
-        "timezones": activity.heat_levels(activity.timezones(clocks, by), options.heat_levels, by),
-        "months_of_year": activity.heat_levels(
+        "general": lambda: general(history, facts),
+        "recent_weeks": lambda: activity.recent_weeks(commits, as_of, options.recent_weeks, by, histories=facts),
+        "months_of_current_year": lambda: activity.months_of_current_year(facts, as_of, by),
+        "years": lambda: activity.commit_history(facts, "Y", by),
+        "years_and_months": lambda: activity.years_and_months(facts, by),
+        "review_durations": lambda: activity.review_durations(clocks, by),
+        "weekday_hours": lambda: activity.heat_levels(activity.weekday_hours(clocks, by), options.heat_levels, by),
+        "weekday_hour_margins": lambda: activity.weekday_hour_margins(clocks, by),
+        "timezones": lambda: activity.heat_levels(activity.timezones(clocks, by), options.heat_levels, by),
+        "months_of_year": lambda: activity.heat_levels(
             activity.months_of_year(facts, by, all_months=True), options.heat_levels, by
         ),
-        "top_authors": authors.top_authors(facts, options.max_authors, by),
-        "remaining_authors": authors.remaining_authors(facts, options.max_authors, by),
-        "authors_of_months": authors.authors_of_periods(
+        "top_authors": lambda: authors.top_authors(facts, options.max_authors, by, scratch),
+        "remaining_authors": lambda: authors.remaining_authors(facts, options.max_authors, by),
+        "authors_of_months": lambda: authors.authors_of_periods(
             facts, "month", options.max_authors_of_months, options.next_authors_of_month, by
         ),
-        "authors_of_years": authors.authors_of_periods(facts, "year", None, options.authors_top, by),
-        "author_series": authors.top_author_history(
-            sampled, options.time_sampling, options.max_plot_authors_count, by
+        "authors_of_years": lambda: authors.authors_of_periods(facts, "year", None, options.authors_top, by),
+        "author_series": lambda: authors.top_author_history(
+            sampled, options.time_sampling, options.max_plot_authors_count, by, scratch
         ),
-        "domains": activity.domains_with_others(clocks, options.max_domains, by),
-        "files_overview": files_overview(history, options, as_of),
-        "file_series": file_series(history, options),
-        "extensions": revision.extension_shares(
+        "domains": lambda: activity.domains_with_others(clocks, options.max_domains, by),
+        "files_overview": lambda: files_overview(history, options, as_of),
+        "file_series": lambda: file_series(history, options),
+        "extensions": lambda: revision.extension_shares(
             revision.extensions_folded(history.files, options.orphaned_extension_count, by),
             history.files,
             activity.line_totals(history.linear_history, by),
@@ -166,18 +169,18 @@ def report_tables(
     }
     if history.blame is not None:
         blame = history.blame
-        tables["contribution"] = revision.contribution_with_others(blame, options.max_plot_authors_count, by)
-        tables["knowledge_carriers"] = revision.knowledge_carriers(
+        tables["contribution"] = lambda: revision.contribution_with_others(blame, options.max_plot_authors_count, by)
+        tables["knowledge_carriers"] = lambda: revision.knowledge_carriers(
             blame, as_of, options.knowledge_loss_months, options.authors_top, by
         )
-        tables["top_files"] = revision.top_files(blame, options.top_files, by)
+        tables["top_files"] = lambda: revision.top_files(blame, options.top_files, by)
     wants_tags = options.max_recent_tags is None or options.max_recent_tags > 0
     if history.assigned_tags is not None and wants_tags:
         assigned = history.assigned_tags
-        tables["tags"] = tags.recent_tags(tags.tag_summary(assigned, by), options.max_recent_tags, by)
-        tables["tag_contributors"] = tags.tag_contributors(assigned, by)
-        tables["tags_count"] = tags.tags_count(assigned, by)
-    return tables
+        tables["tags"] = lambda: tags.recent_tags(tags.tag_summary(assigned, by), options.max_recent_tags, by)
+        tables["tag_contributors"] = lambda: tags.tag_contributors(assigned, by)
+        tables["tags_count"] = lambda: tags.tags_count(assigned, by)
+    return {name: build() for name, build in tables.items() if names is None or name in names}
 
 
 def write_report(
@@ -198,7 +201,7 @@ def write_report(
     with Scratch(spark) as scratch:
         both = scratch.keep(rollups(history.commits, by))
         days, cells = save(days_of(both, by), "author_days"), save(cells_of(both, by), "commit_cells")
-    tables = report_tables(history, as_of, options, days, cells)
-    for name, table in tables.items():
-        save(table, name)
+        tables = report_tables(history, as_of, options, days, cells, scratch)
+        for name, table in tables.items():
+            save(table, name)
     return ["author_days", "commit_cells", *tables]

@@ -648,7 +648,7 @@ SETTINGS = """{"max_domains": 3, "max_recent_tags": 4, "orphaned_extension_count
 def _report_table(name):
     def run(spark, sf):
         options = report.Options.from_json(SETTINGS)
-        return report.report_tables(_history_of(spark, sf), V.BLAME_AS_OF, options)[name]
+        return report.report_tables(_history_of(spark, sf), V.BLAME_AS_OF, options, names=[name])[name]
 
     run.__name__ = f"report_{name}"
     query(run)

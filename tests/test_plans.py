@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import contract.queries as contract
 from annalist import schemas as T
 from annalist.operators import activity, authors, identity, tags
+from annalist.operators.lineage import Scratch
 
 SF_DIR = "/root/testdata/sf0.001"
 # these run jobs while the plan is built
@@ -116,3 +117,29 @@ def test_a_crowded_identity_is_dealt_to_shares(stored_commits):
     assert len(rows) == 2 and all("author" in keys or "_written" in keys for keys in rows)
     bare = identity.resolve_identities(stored_commits, rules, by=["repo_id"]).select("commit_id", "author_name")
     assert max(scans(bare), key=len) == {"repo_id", "commit_id", "author_name", "author_email"}
+
+
+@pytest.mark.parametrize("by", [[], ["repo_id"]])
+def test_leaders_and_totals_come_from_one_written_sum(stored_commits, by):
+    """Commits are read by the written table alone, which its owner deletes."""
+    folder = stored_commits.inputFiles()[0].rsplit("/", 1)[0]
+    for build in (authors.top_authors, lambda *a: authors.top_author_history(a[0], "W", *a[1:])):
+        with Scratch(stored_commits.sparkSession) as scratch:
+            found = build(stored_commits, 3, by, scratch)
+            assert len(scratch.paths) == 1
+            assert found.count() == 0
+            assert not [f for f in found.inputFiles() if f.startswith(folder)]
+            (path,) = scratch.paths
+            assert os.path.isdir(path.removeprefix("file:"))
+        assert not os.path.isdir(path.removeprefix("file:"))
+
+
+@pytest.mark.parametrize("by", [[], ["repo_id"]])
+def test_the_written_sums_read_the_commits_once(stored_commits, by, monkeypatch):
+    written = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: written.append(df) or keep(self, df))
+    authors.top_authors(stored_commits, 3, by)
+    authors.top_author_history(stored_commits, "W", 3, by)
+    authors.top_author_history(stored_commits, "12H", 3, by)
+    assert [len(scans(df)) for df in written] == [1, 1, 1]
