@@ -6,8 +6,11 @@ how many phrases two texts have in common.
 """
 
 import hashlib
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -98,34 +101,42 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def _with_following(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows dealt to ranges of keys, sorted, each range followed by the next one's first row.
+    """Rows dealt to ranges of (key, hash of the text), sorted, each range followed by the next
+    one's first row.
 
-    The number of ranges follows the session's shuffle partitions; the driver gets one bound
-    and one smallest key for each. A range's ``_guest`` rows have the smallest key of the next.
+    The number of ranges follows the session's shuffle partitions; the driver gets the first
+    key and hash of each, and tasks look rows up in that list. So rows of one key spread over
+    many ranges; only rows equal in key and text stay together. A range's ``_guest`` rows equal
+    the first of the next range, at most one from each task that reads such rows.
     """
     spark = docs.sparkSession
     order = F.coalesce(F.col(key).cast("bigint"), F.lit(LOWEST)).alias("_order")
     value = F.coalesce(F.col(text), F.lit("")).alias("_text")
-    source = docs.select(F.col(key).alias("_key"), order, value)
+    source = docs.select(F.col(key).alias("_key"), order, value).withColumn("_hash", F.xxhash64("_text"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = source.agg(F.percentile_approx("_order", shares, 20 * ranges).alias("b")).first()["b"] or []
-    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<bigint>")
-    placed = source.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col("_order"))))
-    heads = {r["_range"]: r["head"] for r in placed.groupBy("_range").agg(F.min("_order").alias("head")).collect()}
-    filled = sorted(heads)
-    # the range before; the first one's head goes to the last
-    before = F.create_map(*[F.lit(x) for a, b in zip(filled, [*filled[-1:], *filled[:-1]]) for x in (a, b)]) if filled else F.create_map(F.lit(0), F.lit(0))
-    head = F.create_map(*[F.lit(x) for r in filled for x in (r, heads[r])]) if filled else F.create_map(F.lit(0), F.lit(LOWEST))
-    own = F.struct(F.col("_range").alias("to"), F.lit(False).alias("guest"))
-    guest = F.struct(F.element_at(before, F.col("_range")).alias("to"), F.lit(True).alias("guest"))
-    is_head = F.col("_order") == F.element_at(head, F.col("_range"))
-    dealt = placed.withColumn("_to", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))))
-    return (
-        dealt.select("_key", "_text", "_order", F.col("_to.to").alias("_range"), F.col("_to.guest").alias("_guest"))
-        .repartition(ranges, "_range")
-        .sortWithinPartitions("_range", "_guest", "_order", F.xxhash64("_text"))
-    )
+    cut = source.select("_order", "_hash").repartitionByRange(ranges, "_order", "_hash")
+    first = cut.groupBy(F.spark_partition_id()).agg(F.min(F.struct("_order", "_hash")).alias("head"))
+    heads = sorted(tuple(row["head"]) for row in first.collect())
+
+    @F.pandas_udf("array<int>")
+    def places(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """The row's range and, for a range's first row, the one before, the last before the first."""
+        sent = set()
+        for orders, hashes in batches:
+            out = []
+            for pair in zip(orders.tolist(), hashes.tolist()):
+                place = bisect_right(heads, pair) - 1
+                if heads[place] == pair and place not in sent:
+                    sent.add(place)
+                    out.append([place, (place - 1) % len(heads)])
+                else:
+                    out.append([place])
+            yield pd.Series(out)
+
+    # which of several equal rows is sent depends on the task, so it must be asked once only
+    to = F.posexplode(places.asNondeterministic()("_order", "_hash")).alias("_guest", "_range")
+    dealt = source.select("_key", "_text", "_order", "_hash", to).withColumn("_guest", F.col("_guest") == 1)
+    return dealt.repartition(ranges, "_range").sortWithinPartitions("_range", "_guest", "_order", "_hash")
 
 
 def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

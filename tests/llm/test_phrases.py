@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from annalist.llm import phrases
 
@@ -48,6 +49,41 @@ def test_against_brute_force(spark, ranges):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def in_order(spark, rows):
+    """Rows as the operator orders them: by key, NULL first, then by the hash of the text."""
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(
+        F.asc_nulls_first("doc_id"), F.xxhash64("text")
+    )
+    return docs, [tuple(r) for r in hashed.collect()]
+
+
+def test_rows_of_one_key_spread_over_tasks(spark):
+    """Most rows have one key, many have none, and some are equal."""
+    rows = [(7, f"text {i} {i * i}") for i in range(4000)] + [(None, f"none {i % 300}") for i in range(600)]
+    rows += [(8, "same")] * 40 + [(9, None)]
+    docs, ordered = in_order(spark, rows)
+    dealt = phrases._with_following(docs, "doc_id", "text").filter("not _guest").groupBy("_range").count().collect()
+    assert sum(r["count"] for r in dealt) == len(rows)
+    assert len(dealt) >= 8 and max(r["count"] for r in dealt) < len(rows) // 4
+    guests = phrases._with_following(docs, "doc_id", "text").filter("_guest")
+    assert guests.count() <= len(dealt) * docs.rdd.getNumPartitions()
+    assert sorted((tuple(r) for r in phrases.compare_with_edits(docs).collect()), key=str) == brute(ordered)
+
+
+def test_the_plan_does_not_grow_with_the_partitions(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    sizes = []
+    try:
+        for ranges in ("2", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            sizes.append(len(phrases._with_following(docs, "doc_id", "text")._jdf.queryExecution().logical().toString()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert abs(sizes[1] - sizes[0]) < 50
+
+
 def test_repeats_nulls_and_empty(documents, nothing):
     rows = phrases.compare_with_edits(documents).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in documents.select("doc_id").collect())
