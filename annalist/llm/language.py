@@ -18,6 +18,8 @@ HIDDEN, SEGMENT = 8, 96
 #: training reads at most this many texts of each language, and this many segments of each text
 TEXTS, SEGMENTS_OF_TEXT = 150, 4
 STEPS, BATCH, RATE = 260, 160, 0.02
+#: languages that are learned at most, those with most rows: bounds the sample to LANGUAGES * TEXTS texts
+LANGUAGES = 512
 #: a step reads segments of this many languages; steps grow with their number, features with its
 #: root, and fewer segments of longer lists of languages are scored at once
 TOGETHER, SCORED = 32, 4096
@@ -182,13 +184,17 @@ class Model:
 
 
 def fit(docs: DataFrame, usable, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learns every language of the ``usable`` rows with a text and a language.
+    """Learns the languages of the ``usable`` rows with a text and a language: all of them, or
+    of a column with more than ``LANGUAGES`` values those with most rows, ties to the name that
+    sorts first.
 
     Of each the ``TEXTS`` rows with the smallest hash of key and text, so that the sample is
-    the same on every run and bounded by ``TEXTS`` rows a language.
+    the same on every run and bounded by ``LANGUAGES * TEXTS`` rows.
     """
     rows = docs.filter(usable & F.col(text).isNotNull() & (F.col(text) != "") & F.col(lang).isNotNull())
     rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("order"), F.col(text).alias("text"))
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    rows = rows.join(F.broadcast(common), "lang", "left_semi")
     narrow = rows.select("lang", "order").distinct()
     chosen = smallest(narrow, "lang", "order", TEXTS)
     # only bytes near the segments that training reads

@@ -37,6 +37,59 @@ def test_segments_cover_whole_texts():
     assert used.sum() == sum(map(len, texts)) and owner.tolist() == [1, 2, 2, 3]
 
 
+def by_position(model, text):
+    """Probabilities of one text, one byte, one direction and one unit after the other."""
+    net, h = model.network, model.network.hidden
+    size = language.SEGMENT
+    total = np.zeros(len(model.languages))
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def states(direction, data):
+        state, out = [0.0] * h, []
+        for byte in data:
+            kept = [sum(float(net.recurrent[direction, g, j]) * state[j] for j in range(h)) for g in range(3 * h)]
+            read = [float(net.inputs[direction, g, byte]) for g in range(3 * h)]
+            update = [sigmoid(read[i] + kept[i]) for i in range(h)]
+            reset = [sigmoid(read[h + i] + kept[h + i]) for i in range(h)]
+            new = [np.tanh(read[2 * h + i] + reset[i] * kept[2 * h + i]) for i in range(h)]
+            state = [u * s + (1 - u) * n for u, s, n in zip(update, state, new)]
+            out.append(state)
+        return out
+
+    for start in range(0, len(text), size):
+        part = text[start : start + size]
+        padded = part + bytes(size - len(part))
+        ahead, back = states(0, padded), states(1, padded[::-1])[::-1]
+        for t in range(len(part)):
+            scores = net.output[0].astype(float) @ ahead[t] + net.output[1].astype(float) @ back[t] + net.bias[:, 0]
+            shares = np.exp(scores - scores.max())
+            total += shares / shares.sum()
+    return total / len(text)
+
+
+def test_pooled_probabilities_against_one_position_at_a_time(spark):
+    texts = ["a", "größer als " * 15, "x" * 96, "été " * 40 + "\0 end"]
+    model = language.Model(["de", "en", "fr"], language.train([t.encode() for t in texts[:3]], [0, 1, 2], 3))
+    expected = [by_position(model, t.encode()) for t in texts]
+    assert np.allclose(model.predict([t.encode() for t in texts]), expected, atol=1e-4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for row in language.predict(docs, model).collect():
+        best = expected[row.doc_id].argmax()
+        assert row.lang_pred == model.languages[best] and row.score == pytest.approx(expected[row.doc_id][best], abs=1e-4)
+
+
+def test_a_dirty_column_of_languages_is_bounded(spark, monkeypatch):
+    """100,000 different values: those with most rows are learned."""
+    monkeypatch.setattr(language, "STEPS", 20)
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    dirty = spark.range(100_000).selectExpr("id as doc_id", "concat('word ', id) as text", "concat('x', id) as lang")
+    clean = spark.range(30).selectExpr("-1 - id as doc_id", "concat('text ', id) as text", "element_at(array('fr', 'en', 'de'), cast(id % 3 as int) + 1) as lang")
+    assert language.fit(dirty.unionByName(clean), F.lit(True)).languages == ["de", "en", "fr"]
+    assert language.fit(dirty, F.lit(True)).languages == ["x0", "x1", "x10"]
+
+
 def test_held_out_accuracy(spark, sf_dir):
     sf_dir = sf_dir.replace("0.001", "0.01")
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
