@@ -854,3 +854,5 @@ sql(
 
 for _name, (_view, _key) in KEYED.items():
     keyed_sql(_name, _view, _key)
+for _name in ("tag_assign", "tag_summary"):
+    keyed_sql(_name, "raw_commits", "walk_pos")

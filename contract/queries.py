@@ -705,3 +705,19 @@ for _name, _build in {
     "lost_knowledge": lambda b: revision.lost_knowledge(b, V.BLAME_AS_OF, by=BY),
 }.items():
     _keyed(_name, _build)
+
+
+def _assigned_keyed(spark, sf):
+    commits = V.commits(spark, sf).selectExpr("*", f"{V.repository('walk_pos')} as repo_id")
+    refs = V.tag_refs(spark, sf).selectExpr("*", f"{V.repository('ref_order')} as repo_id")
+    return tags.assign_tags(commits, refs, BY, chunk=1000)
+
+
+@query
+def tag_assign_keyed(spark, sf):
+    return _assigned_keyed(spark, sf)
+
+
+@query
+def tag_summary_keyed(spark, sf):
+    return tags.tag_summary(_assigned_keyed(spark, sf), BY)
