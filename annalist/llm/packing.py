@@ -25,7 +25,7 @@ from annalist.operators.lineage import Scratch
 #: pieces of one length that are ranked in one task
 RANKED_TOGETHER = 100_000
 #: runs kept in a worker's cache (about 200 bytes each), and the longest one that is kept
-CACHE_WORDS, CACHE_LENGTH = 1_000_000, 48
+CACHE_WORDS, CACHE_LENGTH = 400_000, 48
 #: Fixed value: what the tokenizer's last token of a word ends with
 WORD_END = "</w>"
 #: marks that are neither letters, numbers nor apostrophes and combine with no character
@@ -70,15 +70,16 @@ class WordIds:
             known.clear()
             known.update(self.special)
         new = set(chain.from_iterable(split)).difference(known)
-        self.learn(new)
+        parts = self.learn(new)
         last = np.array([end], "<u4").tobytes()
         out = [np.frombuffer(b"".join(map(known.__getitem__, words)) + last, "<u4") for words in split]
-        for word in new:
+        for word in new | parts:
             if len(word) > CACHE_LENGTH:
                 del known[word]
         return out
 
-    def learn(self, runs) -> None:
+    def learn(self, runs) -> set:
+        """Caches runs; returns the letters and marks that they were cut into, which are cached too."""
         known, apart, letters, joined = self.known, set(), set(), []
         for run in runs:
             stem = run.rstrip(MARKS)
@@ -95,6 +96,7 @@ class WordIds:
         self.encode_together(list(letters.difference(known)))
         for run, stem, tail in joined:
             known[run] = known[stem] + known[tail]
+        return letters | apart
 
     def encode_apart(self, runs) -> None:
         runs = list(runs)

@@ -37,6 +37,25 @@ def test_ids_by_runs_are_those_of_whole_texts(texts):
         assert ids.tolist() == [*PEER.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_a_worker_keeps_few_words():
+    words = packing.WordIds(PEER.to_str())
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    for start in range(0, 600_000, 20_000):
+        number = np.arange(start, start + 20_000)
+        new = ["".join(x) for x in letters[number[:, None] // 26 ** np.arange(5) % 26]]
+        words.of_texts([" ".join(new), "w" * 100 + "."], 1)
+        assert len(words.known) <= 450_000
+    assert all(len(k) <= packing.CACHE_LENGTH for k in words.known if k not in words.special)
+
+
+def test_ids_stay_equal_when_the_cache_is_emptied(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 4)
+    words = packing.WordIds(PEER.to_str())
+    texts = ["one, two three.", "two four five 5", "one six, seven", "", "eight one. nine", "Two THREE three. " + "long" * 20 + "!"]
+    for text in texts * 3:
+        assert words.of_texts([text], 1)[0].tolist() == [*PEER.encode(text, add_special_tokens=False).ids, 1]
+
+
 def check(docs, scratch, size, monkeypatch):
     monkeypatch.setattr(packing, "RANKED_TOGETHER", 3)
     ids = defaultdict(list)
