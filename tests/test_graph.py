@@ -189,6 +189,17 @@ def test_topological_order_of_a_long_line_with_one_clock(spark):
         assert order.count() == 20_000
 
 
+def test_topological_order_of_one_clock_takes_one_round_before_chains(spark):
+    """A line without forks writes its commits, their edges and one round, and joins no runs."""
+    line = spark.range(300).selectExpr("lpad(cast(id as string), 6, '0') as commit_id", "7L as t")
+    table = spark.range(299).selectExpr("lpad(cast(id as string), 6, '0') as commit_id", "lpad(cast(id + 1 as string), 6, '0') as parent_id", "0 as ordinal")
+    with Scratch(spark) as scratch:
+        order = rows(graph.topological_order(line, table, time="t", scratch=scratch), "walk_pos", "commit_id")
+        assert sorted(order) == [(n, f"{n:06d}") for n in range(300)]
+        assert scratch.appended["times"] == 2
+        assert len([n for n in scratch.appended if n.startswith("forest")]) == 1
+
+
 @pytest.mark.parametrize("ordinals", [(0, 0), (0, 1), (1, 1)])
 def test_topological_order_notices_cycles(spark, ordinals):
     commits = spark.createDataFrame([("a", 1), ("b", 1), ("c", 9)], "commit_id string, t long")
